@@ -54,6 +54,58 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+_LETTERS = np.zeros(256, bool)
+_LETTERS[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
+_LETTERS[128:] = True
+
+
+def lowered(buf: np.ndarray) -> np.ndarray:
+    """Lower case of ASCII and Latin-1 letters in UTF-8."""
+    out = buf.copy()
+    out[(buf >= 65) & (buf <= 90)] += 32
+    if len(buf) > 1:
+        tail = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][tail] += 32
+    return out
+
+
+def word_prefixes(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the letter-and-digit words of lowered text, each whole and by its first bytes; and the document of each hash."""
+    hashes, docs = [], []
+    low = lowered(buf)
+    for i, j in steps(offsets):
+        a, b = int(offsets[i]), int(offsets[j])
+        while a < b:
+            end = b
+            if b - a > 2 * STEP_BYTES:  # one long document: cut between words
+                gap = np.flatnonzero(~_LETTERS[low[a : a + STEP_BYTES]])
+                end = a + (int(gap[-1]) + 1 if len(gap) else STEP_BYTES)
+            part = low[a:end]
+            w = _LETTERS[part]
+            cut = np.zeros(len(part) + 1, bool)
+            cut[np.clip(offsets[i:j] - a, 0, len(part))] = True
+            cut[-1] = True
+            first, last = w.copy(), w.copy()
+            first[1:] &= ~w[:-1] | cut[1:-1]
+            last[:-1] &= ~w[1:] | cut[1:-1]
+            s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
+            up, down = _powers(len(part))
+            sums = np.empty(len(part) + 1, np.uint64)
+            sums[0] = 0
+            np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+            doc = np.searchsorted(offsets, s + a, side="right") - 1
+            hashes.append(mix((sums[e] - sums[s]) * down[s]))
+            docs.append(doc)
+            for p in prefixes:
+                long = np.flatnonzero(e - s > p)
+                hashes.append(mix((sums[s[long] + p] - sums[s[long]]) * down[s[long]] + np.uint64(p)))
+                docs.append(doc[long])
+            a = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(docs)
+
+
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string (or binary) column and its n + 1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, repeats, secrets
+from . import decontaminate, jaccard_join, mixing, repeats, secrets, toxicity
 from .tables import load
 
 
@@ -36,6 +36,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(repeats.dedup(load(spark, sf_dir, "documents"), repeats.SENTENCE_SPANS), "n_sentences")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
+
+
 def _digest(rows: DataFrame, pieces: str) -> DataFrame:
     kept = F.sha2(F.coalesce("_gs_kept", F.lit("")).cast("binary"), 256)
     return rows.select("doc_id", F.col("_gs_pieces").alias(pieces), F.col("_gs_removed").alias("n_removed"), kept.alias("kept_sha256"))
