@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, mixing, repeats, secrets, toxicity
+from . import decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, suffix_dedup, toxicity
 from .tables import load
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_next(load(spark, sf_dir, "documents"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(load(spark, sf_dir, "documents"))
 
@@ -36,6 +40,14 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(repeats.dedup(load(spark, sf_dir, "documents"), repeats.SENTENCE_SPANS), "n_sentences")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(load(spark, sf_dir, "documents"))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
@@ -52,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_document_fingerprints": fingerprints.SQL,
         "op3_benchmark_decontamination": decontaminate.SQL,
         "op5_source_mixing": mixing.SQL,
         "op6_line_dedup": repeats.LINE_SQL,
