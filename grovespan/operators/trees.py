@@ -57,9 +57,9 @@ def online_merges(spark: SparkSession, k: int) -> DataFrame:
     n = F.col("id") + 1
     level = F.explode(F.sequence(F.lit(1), F.lit(max(1, k.bit_length()))))
     rows = spark.range(k).select(F.col("id").cast("int").alias("leaf"), n.alias("n"), level.alias("level"))
-    width = F.shiftleft(F.lit(1).cast("bigint"), F.col("level"))
+    width = F.expr("shiftleft(1L, level)")
     rows = rows.where(F.pmod(F.col("n"), width) == 0)
-    lo, half = (F.col("n") - width).cast("int"), F.shiftleft(F.lit(1).cast("bigint"), F.col("level") - 1).cast("int")
+    lo, half = (F.col("n") - width).cast("int"), F.expr("cast(shiftleft(1L, level - 1) as int)")
     name = lambda a, b, at: F.when(at == 0, _leaf(a)).otherwise(F.format_string("node_OB_%d_%d_L%d", a, b, at))
     return rows.select("leaf", "level", name(lo, F.col("leaf"), F.col("level")).alias("node"), name(lo, lo + half - 1, F.col("level") - 1).alias("left"), name(lo + half, F.col("leaf"), F.col("level") - 1).alias("right"), lo.alias("lo"), F.col("leaf").alias("hi"))
 
@@ -68,9 +68,9 @@ def live_forest(spark: SparkSession, k: int) -> DataFrame:
     """prefix, position, node, level, lo, hi: after n = prefix + 1 leaves the roots are the set bits of n, widest first."""
     rows = spark.range(k).select(F.col("id").cast("int").alias("prefix"), (F.col("id") + 1).alias("n"))
     rows = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(max(1, k.bit_length())))))
-    rows = rows.where(F.shiftright("n", F.col("level")).bitwiseAND(F.lit(1)) == 1)
-    lo = F.shiftleft(F.shiftright("n", F.col("level") + 1), F.col("level") + 1).cast("int")
-    hi = (lo + F.shiftleft(F.lit(1), F.col("level")) - 1).cast("int")
+    rows = rows.where(F.expr("shiftright(n, level) & 1") == 1)
+    lo = F.expr("cast(shiftleft(shiftright(n, level + 1), level + 1) as int)")
+    hi = (lo + F.expr("shiftleft(1, level)") - 1).cast("int")
     node = F.when(F.col("level") == 0, _leaf(lo)).otherwise(F.format_string("node_OB_%d_%d_L%d", lo, hi, F.col("level")))
     out = rows.select("prefix", node.alias("node"), "level", lo.alias("lo"), hi.alias("hi"))
     return out.withColumn("position", F.row_number().over(Window.partitionBy("prefix").orderBy("lo")) - 1)

@@ -57,7 +57,7 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("attempt_id"), F.col("user_id").alias("run_id"), stage.alias("stage"), F.floor(F.col("event_id") / 8).cast("bigint").alias("logical_call_id"),
         outcome.alias("outcome"), F.when(~failed, tokens + 10).alias("input_tokens"), F.when(~failed, F.floor(tokens / 3)).alias("cached_tokens"),
         F.when(~failed, F.floor(tokens / 2) + 1).alias("output_tokens"), F.when(~failed & (F.col("event_id") % 11 != 0), F.floor(tokens / 5)).alias("reasoning_tokens"),
-        F.col("ts").alias("started_at"), (tokens % 60).alias("seconds"),
+        F.col("ts").cast("timestamp").alias("started_at"), (tokens % 60).alias("seconds"),
     )
 
 
