@@ -23,14 +23,14 @@ from .kernel import _powers, mix
 def classify(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which positions are S, and the LMS positions in order."""
     n = len(t)
-    step = np.ones(n, np.int8)
-    step[:-1] = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
-    # An equal pair has the type of the next unequal one.
-    last = np.where(step != 0, np.arange(n), n)
-    nearest = np.minimum.accumulate(last[::-1])[::-1]
-    small = step[np.minimum(nearest, n - 1)] > 0
+    small = np.empty(n, bool)
+    np.less(t[:-1], t[1:], out=small[:-1])
     small[-1] = True
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    # An equal pair has the type of the next unequal one.
+    unequal = np.append(np.flatnonzero(t[:-1] != t[1:]), n - 1)
+    equal = np.flatnonzero(t[:-1] == t[1:])
+    small[equal] = small[unequal[np.searchsorted(unequal, equal)]]
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     return small, lms
 
 
@@ -146,46 +146,55 @@ def suffix_array(t: np.ndarray, sigma: int, depth: int) -> np.ndarray:
     content = mix((sums[ends] - sums[lms]) * down[lms]) ^ (ends - lms).astype(np.uint64)
     place = np.empty(len(t), np.int32)
     place[lms] = np.arange(len(lms))
+    del sums, first
     sorted_content = content[place[order]]
-    name = np.cumsum(np.append(False, sorted_content[1:] != sorted_content[:-1]))
-    names = np.empty(len(lms), np.int64)
+    name = np.cumsum(np.append(False, sorted_content[1:] != sorted_content[:-1]), dtype=np.int32)
+    names = np.empty(len(lms), np.int32)
     names[place[order]] = name
     rank = _ordered(names, max(1, int(np.ceil(np.log2(depth)))))
     return induce(t, small, lms[np.argsort(rank, kind="stable")], sigma)
 
 
-def common_prefixes(t: np.ndarray, order: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """phi (the suffix before each one in order, -1 for the first) and the permuted common prefixes, up to ``most``.
+def common_prefixes(t: np.ndarray, raw: np.ndarray, order: np.ndarray, left: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """The permuted common prefixes: of each suffix with the one before it in order, up to ``most``.
 
-    Where phi(i) = phi(i - 1) + 1 and the symbols before are equal, the prefix is one
-    shorter than that of i - 1; only the other positions, and those in ``starts``, are compared, eight bytes
-    at a time.
+    ``raw`` has the symbols as bytes, ``left`` the number of symbols up to the end
+    of each position's text, beyond which nothing is compared. Where the suffix
+    before i follows that before i - 1 and the symbols before are equal, the
+    prefix is one shorter than that of i - 1; only the other positions, and those
+    in ``starts``, are compared, eight bytes at a time.
     """
     n = len(t)
-    phi = np.full(n, -1, np.int64)
+    phi = np.full(n, -1, np.int32)
     phi[order[1:]] = order[:-1]
-    led = np.append(True, (phi[1:] != phi[:-1] + 1) | (phi[1:] < 1) | (phi[:-1] < 0) | (t[:-1] != t[np.maximum(phi[1:] - 1, 0)]))
+    led = np.empty(n, bool)
+    led[0] = True
+    led[1:] = (phi[1:] != phi[:-1] + 1) | (phi[1:] < 1) | (phi[:-1] < 0)
+    inner = np.flatnonzero(~led)
+    led[inner[t[inner - 1] != t[phi[inner] - 1]]] = True
     led[starts] = True
-    pad = np.zeros(n + 8, t.dtype)
-    pad[:n] = t
-    at = np.flatnonzero(led & (phi >= 0))
-    a, b = at, phi[at]
-    length = np.zeros(len(at), np.int64)
-    live = np.arange(len(at))
-    words = np.lib.stride_tricks.as_strided(pad.view(np.uint8), (n + 8 - 4 + 1, 8), (pad.itemsize, 1)) if pad.itemsize == 2 else None
+    at = np.flatnonzero(led & (phi >= 0)).astype(np.int32)
+    other = phi[at]
+    bound = np.minimum(np.minimum(left[at], left[other]), most).astype(np.int32)
+    pad = np.zeros(n + 8, np.uint8)
+    pad[:n] = raw
+    word = np.lib.stride_tricks.as_strided(pad[:8].view(np.uint64), (n,), (1,))
+    length = np.zeros(len(at), np.int32)
+    live = np.flatnonzero(bound > 0).astype(np.int32)
+    done = 0
     while len(live):
-        x, y = a[live] + length[live], b[live] + length[live]
-        inside = np.maximum(x, y) < n
-        x, y = np.where(inside, x, n), np.where(inside, y, n)
-        if words is not None:  # four 16-bit symbols are eight bytes
-            same = (words[x] == words[y]).reshape(len(live), 4, 2).all(2)
-        else:
-            same = np.stack([pad[x + k] == pad[y + k] for k in range(4)], 1)
-        run = np.where(same.all(1), 4, same.argmin(1))
-        run[~inside] = 0
-        length[live] += run
-        live = live[(run == 4) & (length[live] < most)]
-    led_at = np.maximum.accumulate(np.where(led, np.arange(n), 0))
-    known = np.zeros(n, np.int64)
+        x = word[at[live] + done] ^ word[other[live] + done]
+        apart = np.flatnonzero(x)
+        if len(apart):
+            # The lowest byte that is not zero is the first that differs.
+            low = x[apart] & (~x[apart] + np.uint64(1))
+            length[live[apart]] = done + (np.log2(low.astype(np.float64)).astype(np.int32) >> 3)
+        live = live[x == 0]
+        done += 8
+        length[live] = done
+        live = live[bound[live] > done]
+    length = np.minimum(length, bound)
+    last = np.maximum.accumulate(np.where(led, np.arange(n, dtype=np.int32), 0))
+    known = np.zeros(n, np.int32)
     known[at] = length
-    return phi, np.maximum(known[led_at] - (np.arange(n) - led_at), 0)
+    return np.maximum(known[last] - (np.arange(n, dtype=np.int32) - last), 0)

@@ -13,8 +13,10 @@ covered bytes are cut out.
    context found twice is covered whole. An anchor with one distinct context is
    settled; only distinct contexts of one gram go on, each once.
 3. *Shards.* These contexts are dealt by gram into shards of about
-   ``SHARD_BYTES``; in each, induced sorting gives the suffix array, and permuted
-   common prefixes of ``LENGTH`` or more mark the strings that start at two places.
+   ``SHARD_BYTES``. In a shard, parts of contexts whose middle no other has, and
+   parts equal to others, are settled by hashes; of the rest, induced sorting
+   gives the suffix array, and permuted common prefixes of ``LENGTH`` or more mark
+   the strings that start at two places.
    A gram of over ``HOT`` contexts would make a shard that grows with the
    input; its windows are instead counted one by one as 128-bit hashes, with
    partial counts in each batch and before the shuffle, which gives the same rows.
@@ -136,37 +138,103 @@ def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
 _SPANS = "did {0}, th bigint, begin bigint, end bigint"
 
 
-def repeated_starts(texts: list[bytes], doc: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Where a repeated string starts in the concatenation of ``texts``, by the suffix array of the shard.
+def repeated_starts(texts: list[bytes], doc: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place in it of each start of a repeated string, by the suffix array of all ``texts``, in order.
 
     ``doc`` and ``begin`` place each text; the same place in two texts is one place.
     """
     sizes = np.array([len(x) for x in texts], np.int64)
     starts = np.cumsum(sizes + 1) - (sizes + 1)
-    t = np.ones(int((sizes + 1).sum()) + 1, np.uint16)  # 1 parts the texts, 0 ends the whole
-    inner = np.ones(len(t), bool)
-    inner[starts + sizes] = False
-    inner[-1] = False
-    t[inner] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 2
-    t[-1] = 0
+    n = int((sizes + 1).sum()) + 1
+    raw = np.frombuffer(b"\0".join(texts) + b"\0\0", np.uint8)
+    t = raw.astype(np.uint16) + np.uint16(2)
+    t[starts + sizes] = 1  # parts the texts
+    t[-1] = 0  # ends the whole
+    owner = np.append(np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1), len(texts) - 1)
+    left = (starts + sizes)[owner] - np.arange(n)
+    left[-1] = 0
     order = suffix_array(t, 258, LENGTH)
-    _, plcp = common_prefixes(t, order, starts, 2 * LENGTH)
-    owner = np.repeat(np.arange(len(texts)), sizes + 1)
-    owner = np.append(owner, len(texts) - 1)
-    inside = np.arange(len(t)) - starts[owner]
-    ok = inside + LENGTH <= sizes[owner]
-    ok[-1] = False
-    line = order[ok[order]].astype(np.int64)
+    plcp = common_prefixes(t, raw, order, left.astype(np.int32), starts, 2 * LENGTH)
+    line = order[left[order] >= LENGTH]
     if not len(line):
-        return np.zeros(0, np.int64)
-    # Runs of starts that agree in LENGTH bytes; a shorter one between two of them cannot be.
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # Runs of starts that agree in LENGTH bytes; what lies between two of them agrees as well.
     joined = plcp[line] >= LENGTH
     joined[0] = False
     head = np.flatnonzero(~joined)
-    place_doc, place_at = doc[owner[line]], (begin[owner[line]] + inside[line])
-    code = place_doc * np.int64(1 << 40) + place_at
+    inside = line - starts[owner[line]]
+    code = doc[owner[line]] * np.int64(1 << 40) + begin[owner[line]] + inside
     differ = np.minimum.reduceat(code, head) != np.maximum.reduceat(code, head)
-    return np.sort(line[np.repeat(differ, np.diff(np.append(head, len(line))))])
+    hit = np.flatnonzero(np.repeat(differ, np.diff(np.append(head, len(line)))))
+    hit = hit[np.argsort(line[hit])]
+    return owner[line[hit]].astype(np.int64), inside[hit]
+
+
+#: A context's windows begin at -_BEFORE to 0 from its gram; they are handled in so many parts.
+_PARTS = 4
+_PART = -(-(_BEFORE + 1) // _PARTS)
+#: Bytes that one suffix array sorts at most before the parts are sorted one by one.
+_AT_ONCE = 2_500_000
+
+
+def covered(gram: np.ndarray, doc: np.ndarray, begin: np.ndarray, before: np.ndarray, n: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, first and end byte (of its document) of the spans that repeated strings cover in the contexts of a shard.
+
+    The windows of a part all hold the same middle piece, and lie in one extent.
+    A part whose piece no other context of the gram has is settled: nothing
+    repeats. Of equal extents, which are covered whole, one goes on. If that
+    leaves a gram's piece with one extent, it is settled too. The extents that are
+    left are sorted.
+    """
+    size = np.array([len(x) for x in texts], np.int64)
+    rows = []
+    for q in range(_PARTS):
+        r1 = -_BEFORE + q * _PART
+        r2 = min(0, r1 + _PART - 1)
+        a, z = np.maximum(before + r1, 0), np.minimum(before + r2 + LENGTH, size)
+        p, e = before + r2, before + r1 + LENGTH
+        fits = np.flatnonzero((z - a >= LENGTH) & (p >= 0) & (e <= size))
+        if len(fits):
+            rows.append(np.stack([fits, np.full(len(fits), q), a[fits], z[fits], p[fits], e[fits]], 1))
+    if not rows:
+        return (np.zeros(0, np.int64),) * 3
+    rows = np.concatenate(rows)
+    own, part, a, z, p, e = rows.T
+    digest = xxhash.xxh3_64_intdigest
+    piece = np.array([digest(texts[k][x:y], q) for k, q, x, y in zip(own.tolist(), part.tolist(), p.tolist(), e.tolist())], np.uint64)
+    lead = before[own] - a
+    whole = np.array([digest(texts[k][x:y], w * _PARTS + q) for k, q, x, y, w in zip(own.tolist(), part.tolist(), a.tolist(), z.tolist(), lead.tolist())], np.uint64)
+    key = kernel.mix(gram[own].view(np.uint64)) ^ piece
+    whole = kernel.mix(key) ^ whole
+    _, first, kind, count = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
+    many = (count > 1) | (np.bincount(kind, weights=(n[own] > 1)) > 0)
+    # The same place twice (two contexts of one document, or one again) is no repeat by itself.
+    place = doc[own] * np.int64(1 << 40) + begin[own] + a
+    least, most = np.full(len(count), np.iinfo(np.int64).max), np.full(len(count), -1)
+    np.minimum.at(least, kind, place)
+    np.maximum.at(most, kind, place)
+    many &= (least != most) | (np.bincount(kind, weights=(n[own] > 1)) > 0)
+    done = np.flatnonzero(many[kind])
+    spans_ = [(own[done], begin[own[done]] + a[done], begin[own[done]] + z[done])]
+    _, group, kinds = np.unique(key[first], return_inverse=True, return_counts=True)
+    left = first[kinds[group] > 1]
+    if len(left):
+        left = left[np.lexsort((part[left], own[left]))]
+        runs = [left] if (z[left] - a[left]).sum() <= _AT_ONCE else [left[part[left] == q] for q in range(_PARTS)]
+        for run in runs:
+            if not len(run):
+                continue
+            new = np.append(True, (own[run][1:] != own[run][:-1]) | (part[run][1:] != part[run][:-1] + 1))
+            edge = np.flatnonzero(new)
+            last = np.append(edge[1:], len(run)) - 1
+            k, s, t = own[run][edge], a[run][edge], z[run][last]
+            text, at = repeated_starts([texts[i][x:y] for i, x, y in zip(k.tolist(), s.tolist(), t.tolist())], doc[k], begin[k] + s)
+            if len(text):
+                cut = np.flatnonzero(np.append(True, (text[1:] != text[:-1]) | (at[1:] > at[:-1] + LENGTH)))
+                tail = np.append(cut[1:], len(text)) - 1
+                c = text[cut]
+                spans_.append((k[c], begin[k[c]] + s[c] + at[cut], begin[k[c]] + s[c] + at[tail] + LENGTH))
+    return tuple(np.concatenate(x) for x in zip(*spans_))
 
 
 def _sorted_shards(batches):
@@ -175,26 +243,16 @@ def _sorted_shards(batches):
 
     def shard(rows: pa.Table):
         texts = rows["context"].to_pylist()
-        size = np.array([len(x) for x in texts], np.int64)
         ids = rows["did"].combine_chunks().dictionary_encode()
         did = ids.indices.fill_null(len(ids.dictionary)).to_numpy(zero_copy_only=False).astype(np.int64)
         _, doc = np.unique(np.stack([did, rows["th"].to_numpy()], 1), axis=0, return_inverse=True)
-        begin = rows["begin"].to_numpy()
-        hit = repeated_starts(texts, doc.ravel().astype(np.int64), begin)
-        if not len(hit):
-            return None
-        starts = np.cumsum(size + 1) - (size + 1)
-        owner = np.searchsorted(starts, hit, side="right") - 1
-        once = rows["n"].to_numpy()[owner] == 1
-        owner, hit = owner[once], hit[once]
-        if not len(hit):
+        n = rows["n"].to_numpy()
+        own, begin, end = covered(rows["gram"].to_numpy(), doc.ravel().astype(np.int64), rows["begin"].to_numpy(), rows["before"].to_numpy().astype(np.int64), n, texts)
+        once = n[own] == 1  # contexts found twice are covered whole already
+        if not once.any():
             return None
-        new = np.append(True, (owner[1:] != owner[:-1]) | (hit[1:] > hit[:-1] + LENGTH))
-        edge = np.flatnonzero(new)
-        last = np.append(edge[1:], len(hit)) - 1
-        own = owner[edge]
-        at = pa.array(own)
-        return pa.RecordBatch.from_arrays([rows["did"].combine_chunks().take(at), rows["th"].combine_chunks().take(at), pa.array(begin[own] + hit[edge] - starts[own]), pa.array(begin[own] + hit[last] - starts[own] + LENGTH)], ["did", "th", "begin", "end"])
+        at = pa.array(own[once])
+        return pa.RecordBatch.from_arrays([rows["did"].combine_chunks().take(at), rows["th"].combine_chunks().take(at), pa.array(begin[once]), pa.array(end[once])], ["did", "th", "begin", "end"])
 
     last = None
     for batch in batches:
@@ -252,9 +310,9 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     shards = max(1, -(-int(total) // SHARD_BYTES))
     texts = _picked(docs, wanted.select(F.col("did").alias("doc_id"))).dropDuplicates(["doc_id", "th"])
     cut = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("wth"))).select("did", "th", F.col("text").cast("binary").alias("b"), F.explode("want").alias("w"))
-    cut = cut.select("did", "th", "w.gram", "w.kinds", "w.n", (F.col("w.pos") - F.col("w.before")).cast("bigint").alias("begin"), F.expr("substring(b, w.pos - w.before + 1, w.before + w.after)").alias("context"))
+    cut = cut.select("did", "th", "w.gram", "w.kinds", "w.n", "w.before", (F.col("w.pos") - F.col("w.before")).cast("bigint").alias("begin"), F.expr("substring(b, w.pos - w.before + 1, w.before + w.after)").alias("context"))
     shard = F.when(F.col("kinds") > OWN_SHARD, F.xxhash64("gram")).otherwise(F.pmod(F.xxhash64("gram"), F.lit(shards)))
-    cold = cut.where(F.col("kinds") <= hot).select(shard.alias("shard"), "did", "th", "n", "begin", "context")
+    cold = cut.where(F.col("kinds") <= hot).select(shard.alias("shard"), "gram", "did", "th", "n", "before", "begin", "context")
     sorted_ = cold.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sorted_shards, _SPANS.format(id_type))
     out = whole.unionByName(sorted_)
     if several.where(F.col("kinds") > hot).limit(1).count():
