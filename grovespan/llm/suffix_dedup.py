@@ -7,8 +7,8 @@ covered bytes are cut out.
 1. *Anchors.* Of the ``GRAM``-byte grams in every window of ``LENGTH`` bytes, the
    one of least hash (leftmost of equals) is the window's anchor. Equal windows
    have equal anchors at the same offset, so a repeated string is found among
-   the surroundings of one gram. An anchor's *context* is all bytes that windows
-   around it can cover: 736 of them, cut at the document's ends.
+   the surroundings of one gram. An anchor's *context* is the bytes of the windows
+   whose anchor it is, some 570. Every window is in one context.
 2. *Equal contexts* are counted as 128-bit hashes, partial counts first. A
    context found twice is covered whole. An anchor with one distinct context is
    settled; only distinct contexts of one gram go on, each once.
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .suffix_array import common_prefixes, suffix_array
-from .tables import saved
+from .tables import dropped, saved
 
 LENGTH = 400
 GRAM = 64
@@ -67,9 +67,9 @@ def grams(buf: np.ndarray) -> np.ndarray:
     return kernel.mix((sums[GRAM:] - sums[: n - GRAM + 1]) * down[: n - GRAM + 1])
 
 
-def anchors_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of the anchors of all windows of ``buf``, and their grams' hashes."""
-    at, key = [], []
+def anchors_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of the anchors of all windows of ``buf``, their grams' hashes, and the first and last start of each one's windows."""
+    found = []
     width = LENGTH - GRAM + 1
     for a in range(0, max(0, len(buf) - LENGTH + 1), kernel.STEP_BYTES):
         part = buf[a : a + kernel.STEP_BYTES + LENGTH - 1]
@@ -84,13 +84,13 @@ def anchors_of(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rest = width - done
             least = np.minimum(least[:-rest], least[rest:])
         pos = (least & np.uint64((1 << 24) - 1)).astype(np.int64)
-        pos = pos[np.append(True, pos[1:] != pos[:-1])]
-        at.append(pos + a)
-        key.append(h[pos])
-    if not at:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at, first = np.unique(np.concatenate(at), return_index=True)
-    return at, np.concatenate(key)[first]
+        edge = np.flatnonzero(np.append(True, pos[1:] != pos[:-1]))
+        found.append((pos[edge] + a, h[pos[edge]], edge + a, np.append(edge[1:], len(pos)) - 1 + a))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, key, first, last = (np.concatenate(x) for x in zip(*found))
+    new = np.flatnonzero(np.append(True, at[1:] != at[:-1]))  # an anchor may be met on both sides of a step
+    return at[new], key[new], first[new], np.append(last[new[1:] - 1], last[-1])
 
 
 def _anchors(docs: DataFrame) -> DataFrame:
@@ -103,12 +103,12 @@ def _anchors(docs: DataFrame) -> DataFrame:
             buf, offsets = kernel.string_buffers(batch.column(2))
             for i, j in kernel.steps(offsets):
                 part, at = buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                pos, key = anchors_of(part)
+                pos, key, first, last = anchors_of(part)
                 doc = np.searchsorted(at, pos, side="right") - 1
-                begin, end = at[doc], at[doc + 1]
-                keep = (pos + GRAM <= end) & (end - begin >= LENGTH)
-                pos, key, doc, begin, end = pos[keep], key[keep], doc[keep], begin[keep], end[keep]
-                before, after = np.minimum(pos - begin, _BEFORE), np.minimum(end - pos, LENGTH)
+                first, last = np.maximum(first, at[doc]), np.minimum(last, at[doc + 1] - LENGTH)
+                keep = first <= last  # windows inside the document
+                pos, key, doc, begin = pos[keep], key[keep], doc[keep], at[doc[keep]]
+                before, after = pos - first[keep], last[keep] + LENGTH - pos
                 raw = memoryview(np.ascontiguousarray(part))
                 digest = xxhash.xxh3_128_digest
                 both = b"".join(digest(raw[a:b], seed=s) for a, b, s in zip((pos - before).tolist(), (pos + after).tolist(), before.tolist()))
@@ -170,7 +170,7 @@ def repeated_starts(texts: list[bytes], doc: np.ndarray, begin: np.ndarray) -> t
     return owner[line[hit]].astype(np.int64), inside[hit]
 
 
-#: A context's windows begin at -_BEFORE to 0 from its gram; they are handled in so many parts.
+#: A context's windows begin somewhere at -_BEFORE to 0 from its gram; they are handled in so many parts.
 _PARTS = 4
 _PART = -(-(_BEFORE + 1) // _PARTS)
 #: Bytes that one suffix array sorts at most before the parts are sorted one by one.
@@ -297,11 +297,13 @@ def _windows(batches):
 def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """did, th, begin, end: covered bytes of each document, in spans that may overlap."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    found = saved(_anchors(docs))
+    every = saved(_anchors(docs))
+    again = every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
+    found = saved(every.join(again, "gram"))  # grams found once are settled
+    dropped(every)
     place = F.struct("gram", F.col("doc_id").alias("did"), "th", "pos", "before", "after")
     context = found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("c1", "c2", "n", "p.*")
-    kinds = context.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("n").alias("most")).where("kinds > 1 or most > 1")
-    open_ = saved(context.join(kinds.select("gram", "kinds"), "gram"))
+    open_ = saved(context.join(context.groupBy("gram").agg(F.count("*").alias("kinds")), "gram"))
     twice = open_.where("n > 1").select("c1", "c2")
     whole = found.join(twice, ["c1", "c2"]).select(F.col("doc_id").alias("did"), "th", (F.col("pos") - F.col("before")).cast("bigint").alias("begin"), (F.col("pos") + F.col("after")).cast("bigint").alias("end")).where(f"end - begin >= {LENGTH}")
     several = open_.where("kinds > 1")
