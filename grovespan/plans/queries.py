@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cost, graph, partition, scores, stats, trees, worklog
+from ..operators import cost, derived, graph, partition, scores, stats, trees, worklog
 from ..sources.tables import ATTEMPTS_SQL, EVIDENCE_SQL, SCORES_SQL, attempts, evidence, load, score_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -560,3 +560,70 @@ def cost_envelope(spark, sf_dir):
 def gate_status(spark, sf_dir):
     rows = [("network", "passed", "h1", None), ("audit", "passed", "h2", "h1"), ("power", "passed", "h3", "other"), ("judge", "passed", "h4", "h3")]
     return cost.gate(spark.createDataFrame(rows, "stage string, status string, hash string, upstream_hash string"), ("network", "audit", "power", "judge"))
+
+
+# Frozen formulas
+
+BUDGETS = (128, 256, 512, 1024)
+
+
+@query(f"WITH {EVIDENCE_SQL}, e AS (SELECT episode_id, sum(token_count) AS t FROM evidence GROUP BY 1) SELECT b::INT AS budget, avg((t <= b)::INT) AS fit FROM e, (SELECT unnest({list(BUDGETS)}) AS b) GROUP BY b")
+def raw_fit(spark, sf_dir):
+    return derived.raw_fit(evidence(spark, sf_dir).groupBy("episode_id").agg(F.sum("token_count").alias("tokens")), BUDGETS)
+
+
+@query(f"WITH {EVIDENCE_SQL}, q AS (SELECT quantile_disc(token_count, 0.25) AS a, quantile_disc(token_count, 0.5) AS b, quantile_disc(token_count, 0.75) AS c FROM evidence) SELECT x::INT AS budget, a / x::DOUBLE AS p25, b / x::DOUBLE AS p50, c / x::DOUBLE AS p75 FROM q, (SELECT unnest({list(BUDGETS)}) AS x)")
+def leaf_load(spark, sf_dir):
+    return derived.leaf_load(evidence(spark, sf_dir).withColumnRenamed("token_count", "tokens"), BUDGETS)
+
+
+@query(f"{PAIRED} SELECT count(*) FILTER (diff > 1e-12)::BIGINT AS wins, count(*) FILTER (abs(diff) <= 1e-12)::BIGINT AS ties, count(*) FILTER (diff < -1e-12)::BIGINT AS losses FROM d")
+def win_tie_loss(spark, sf_dir):
+    return derived.win_tie_loss(_paired(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT l_suppkey % 10 AS g, l_partkey % 500 AS cost, max(l_discount)::DOUBLE AS quality FROM lineitem GROUP BY ALL)
+SELECT g, cost, quality FROM p WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.g = p.g AND o.cost <= p.cost AND o.quality >= p.quality AND (o.cost < p.cost OR o.quality > p.quality))""")
+def pareto_front(spark, sf_dir):
+    rows = load(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("g"), (F.col("l_partkey") % 500).alias("cost")).agg(F.max(F.col("l_discount").cast("double")).alias("quality"))
+    return derived.pareto(rows, ["g"], "cost", "quality")
+
+
+@query(f"WITH {SCORES_SQL}, m AS (SELECT plan_id, replicate_id, avg(score) AS m FROM scores GROUP BY ALL) SELECT plan_id, round(max(m) - min(m), 9) AS range FROM m GROUP BY plan_id")
+def plan_seed_range(spark, sf_dir):
+    return derived.plan_seed_range(score_rows(spark, sf_dir)).withColumn("range", F.round("range", 9))
+
+
+@query("""WITH c AS (SELECT event_id % 4 AS concurrency, event_type <> 'error' AS ok, abs(value) AS seconds FROM events)
+SELECT concurrency, count(*)::BIGINT AS calls, count(*) FILTER (ok)::BIGINT AS successes, quantile_disc(seconds, 0.95) AS p95, (count(*) - count(*) FILTER (ok)) / count(*)::DOUBLE AS error_rate,
+(count(*) - count(*) FILTER (ok)) / count(*)::DOUBLE <= 0.05 AND quantile_disc(seconds, 0.95) <= 180 AS passes FROM c GROUP BY concurrency""")
+def call_rollup(spark, sf_dir):
+    rows = load(spark, sf_dir, "events").select((F.col("event_id") % 4).alias("concurrency"), (F.col("event_type") != "error").alias("ok"), F.abs("value").alias("seconds"))
+    return derived.call_rollup(rows, "concurrency")
+
+
+@query("""WITH u AS (SELECT l_orderkey, avg(l_discount::DOUBLE) FILTER (l_returnflag = 'A') AS a, avg(l_discount::DOUBLE) FILTER (l_returnflag = 'N') AS b FROM lineitem GROUP BY 1)
+SELECT count(*)::BIGINT AS pairs, round(avg(b - a), 9) AS effect FROM u WHERE a IS NOT NULL AND b IS NOT NULL""")
+def paired_effect(spark, sf_dir):
+    rows = score_rows(spark, sf_dir).withColumnRenamed("episode_id", "unit_id")
+    return derived.paired_effect(rows).withColumn("effect", F.round("effect", 9))
+
+
+@query(f"""{NODES}, m AS (SELECT n.*, l.hi AS mid, ((hash_key % 100) / 50.0::DOUBLE) AS pressure, hash_key % 3 <> 0 AS generative FROM (SELECT *, lo * 7 + hi * 3 AS hash_key FROM nodes WHERE kind = 'internal') n JOIN nodes l ON l.plan_id = n.plan_id AND l.k = n.k AND l.node = n."left"),
+f AS (SELECT plan_id, k, lo AS leaf FROM nodes WHERE kind = 'leaf')
+SELECT f.plan_id, f.k, f.leaf, count(m.node)::BIGINT AS rewrites, round(avg((f.leaf <= m.mid)::INT), 9) AS earlier_share, round(sum(m.pressure), 9) AS pressure_sum, max(m.pressure) AS pressure_max
+FROM f LEFT JOIN m ON m.plan_id = f.plan_id AND m.k = f.k AND m.generative AND f.leaf BETWEEN m.lo AND m.hi GROUP BY ALL""")
+def evidence_exposure(spark, sf_dir):
+    nodes = _nodes(spark)
+    key = F.col("lo") * 7 + F.col("hi") * 3
+    pressures = nodes.where("kind = 'internal'").select("plan_id", "k", "node", (key % 3 != 0).alias("generative"), (key % 100 / 50.0).alias("pressure"))
+    e = trees.evidence_exposure(nodes, pressures)
+    return e.select("plan_id", "k", "leaf", "rewrites", F.round("earlier_share", 9).alias("earlier_share"), F.round("pressure_sum", 9).alias("pressure_sum"), "pressure_max")
+
+
+@query("""WITH q AS (SELECT source AS category, count(*)::BIGINT AS have FROM documents GROUP BY 1) SELECT category, 50::BIGINT AS want, have FROM q WHERE have <> 50""")
+def quota_shortfalls(spark, sf_dir):
+    from ..functions import contracts
+
+    cases = load(spark, sf_dir, "documents").select(F.col("source").alias("category"))
+    return contracts.quota_shortfalls(cases, {f"src{i}": 50 for i in range(20)})
