@@ -105,7 +105,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
 
     def near(a: tuple[int, int], others: list[tuple[int, int]], order: np.ndarray) -> bool:
         """Interval join: another part, disjoint, within the scope on either side."""
-        lo, hi = np.searchsorted(order, [a[0] - scope - 4096, a[1] + scope + 1])
+        lo, hi = np.searchsorted(order, [a[0] - scope - longest, a[1] + scope + 1])
         for s, e in others[lo:hi]:
             gap = max(a[0] - e, s - a[1])
             if 0 <= gap <= scope and np.searchsorted(blanks, min(a[0], s)) == np.searchsorted(blanks, max(a[0], s)):
@@ -113,6 +113,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
         return False
 
     parts = {k: sorted(v) for k, v in parts.items()}
+    longest = max((e - s for v in parts.values() for s, e in v), default=0)
     begins = {k: np.array([s for s, _ in v], np.int64) for k, v in parts.items()}
     needs = {"link_id": ("secret",), "link_endpoint": ("secret",), "link_secret": ("id", "endpoint")}
     return [(*x, kind) for kind, spans in weak.items() for x in spans if any(near(x, parts[p], begins[p]) for p in needs[kind])]
@@ -137,9 +138,8 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
                 base = []
                 if hexes[i] or "AKIA" in text or any(h in low for h in _HINTS):
                     base = base_spans(text)
-                more = []
-                if base or long[i] or "://" in text or ":" in text:
-                    more = linked_spans(text, base, scope) if base or long[i] else []
+                # Every link needs a secret, strong (base) or weak (a long run).
+                more = linked_spans(text, base, scope) if base or long[i] else []
                 order = lambda x: (x[0], KINDS.index(x[2]), x[1])
                 base_out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(base, key=order)])
                 all_out.append([{"start": s, "end": e, "kind": k} for s, e, k in sorted(base + more, key=order)])
