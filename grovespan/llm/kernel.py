@@ -69,9 +69,9 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def word_prefixes(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the letter-and-digit words of lowered text, each whole and by its first bytes; and the document of each hash."""
-    hashes, docs = [], []
+def word_prefixes(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the letter-and-digit words of lowered text, each whole and by its first bytes; the document of each hash; words of each document."""
+    hashes, docs, words_of = [], [], np.zeros(len(offsets) - 1, np.int64)
     low = lowered(buf)
     for i, j in steps(offsets):
         a, b = int(offsets[i]), int(offsets[j])
@@ -96,14 +96,15 @@ def word_prefixes(buf: np.ndarray, offsets: np.ndarray, prefixes: tuple[int, ...
             doc = np.searchsorted(offsets, s + a, side="right") - 1
             hashes.append(mix((sums[e] - sums[s]) * down[s]))
             docs.append(doc)
+            words_of += np.bincount(doc, minlength=len(words_of))
             for p in prefixes:
                 long = np.flatnonzero(e - s > p)
                 hashes.append(mix((sums[s[long] + p] - sums[s[long]]) * down[s[long]] + np.uint64(p)))
                 docs.append(doc[long])
             a = end
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(docs)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), words_of
+    return np.concatenate(hashes), np.concatenate(docs), words_of
 
 
 def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-The classifier is linear over the presence of lowered words and of their first
-4, 5 and 6 bytes. It is trained in numpy from confirmed toxic examples and
+The classifier is linear over lowered words and their first 4, 5 and 6 bytes, each
+by how often the text has it: at least once, twice, three times, and (twice or
+more) once in 400 and once in 150 words. It is trained in numpy from confirmed toxic examples and
 unlabelled text by the class-prior-corrected risk estimator
 
     R = prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])
@@ -13,7 +14,8 @@ Labels are read only from the training folds (crc32 of the id as text, modulo 4,
 is not 2), and only toxic = 1 rows act as labels of texts; the prior is the share
 of toxic rows among the training folds' labelled rows. The training sample is
 bounded: at most ``POSITIVES`` toxic rows and about ``UNLABELLED`` texts, both by
-hash of the id. Everything else, the scores included, covers all rows. The model
+hash of the id; one task trains on it, not the driver. Everything else, the scores
+included, covers all rows. The model
 is ``FEATURES`` hashes and weights, a fixed bound, and is broadcast.
 
 Null and empty texts score like a text without any known word. Without a toxic
@@ -31,25 +33,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
+from .tables import dropped, saved
 
-POSITIVES = 3_000
-UNLABELLED = 9_000
+POSITIVES = 2_000
+UNLABELLED = 6_000
 FEATURES = 4_096
 LEAST_DOCS = 5
+#: A feature must be this many times as common in toxic rows as in unlabelled texts (where a share of ``prior`` is toxic, so 1 / prior is the most).
+LEAST_LIFT = 3.0
 #: Two-proportion z score below which a feature tells nothing.
 LEAST_Z = 4.0
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.3
 STEPS, RATE, DECAY = 400, 0.05, 1e-4
 HELD_OUT, FOLDS = 2, 4
+#: Levels of a feature: least count, and one in at most so many words.
+LEVELS = ((1, None), (2, None), (3, None), (2, 400), (2, 150))
 
 
 def fold(name: str):
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def levels(count: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Which levels each count reaches in a text of so many words (counts x levels)."""
+    return np.stack([(count >= c) & (True if r is None else count * r >= words) for c, r in LEVELS], 1)
+
+
 class Model:
-    """Hashes (sorted), their weights and the bias."""
+    """Hashes (sorted), their weights by level, and the bias."""
 
     def __init__(self, keys: np.ndarray, weights: np.ndarray, bias: float, known: bool = True):
         self.keys, self.weights, self.bias, self.known = keys, weights, bias, known
@@ -62,49 +74,71 @@ class Model:
             return np.zeros(n)
         margin = np.full(n, self.bias)
         for i, j in kernel.steps(offsets):
-            hashes, docs = kernel.word_prefixes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], PREFIXES)
+            hashes, docs, words = kernel.word_prefixes(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], PREFIXES)
             maybe = np.flatnonzero(self.hint[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)])
             hashes, docs = hashes[maybe], docs[maybe]
             at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
             hit = self.keys[at] == hashes
-            pair = np.unique(docs[hit] * np.int64(len(self.keys)) + at[hit])
-            margin[i:j] += np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], minlength=j - i)
+            pair, count = np.unique(docs[hit] * np.int64(len(self.keys)) + at[hit], return_counts=True)
+            doc, key = pair // len(self.keys), pair % len(self.keys)
+            margin[i:j] += np.bincount(doc, (levels(count, words[doc]) * self.weights[key]).sum(1), minlength=j - i)
         return 1 / (1 + np.exp(-np.clip(margin, -60, 60)))
 
 
+def none() -> Model:
+    return Model(np.zeros(1, np.uint64), np.zeros((1, len(LEVELS))), 0.0, known=False)
+
+
 def _features(docs: DataFrame) -> DataFrame:
-    """_gs_pos and the distinct feature hashes of each text, as bytes."""
+    """_gs_pos, and of each text the distinct feature hashes, as bytes, their levels, as bits, and a hash of both."""
     kernel.bounded_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
             buf, offsets = kernel.string_buffers(batch.column(1))
-            out = []
+            keys, bits = [], []
             for k in range(batch.num_rows):
-                hashes, _ = kernel.word_prefixes(buf[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], PREFIXES)
-                out.append(np.unique(hashes).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_gs_pos", "f"])
+                hashes, _, words = kernel.word_prefixes(buf[offsets[k] : offsets[k + 1]], offsets[k : k + 2] - offsets[k], PREFIXES)
+                own, count = np.unique(hashes, return_counts=True)
+                keys.append(own.tobytes())
+                bits.append((levels(count, words[:1]) << np.arange(len(LEVELS))).sum(1).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["_gs_pos", "f", "b"])
 
-    return docs.select("_gs_pos", "text").mapInArrow(run, "_gs_pos boolean, f binary")
+    return docs.select("_gs_pos", "text").mapInArrow(run, "_gs_pos boolean, f binary, b binary")
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Train from the distinct feature hashes of each text."""
+def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> Model:
+    """Train from each text's distinct feature hashes and their levels as bits."""
     if not positive or not unlabelled:
-        return Model(np.zeros(1, np.uint64), np.zeros(1), 0.0, known=False)
+        return none()
     n_p, n_u = len(positive), len(unlabelled)
-    flat = np.concatenate(positive + unlabelled)
-    row = np.repeat(np.arange(n_p + n_u), [len(x) for x in positive + unlabelled])
+    texts = [*positive, *unlabelled]
+    # Hashes that too few toxic texts have are dropped by a table of counts (which may keep some), before any is sorted.
+    few = np.zeros(1 << 22, np.int32)
+    slot = lambda x: (x >> np.uint64(42)).astype(np.int64)
+    for x, _ in positive:
+        np.add.at(few, slot(x), 1)
+    chosen = [few[slot(x)] >= LEAST_DOCS for x, _ in texts]
+    flat = np.concatenate([x[c] for (x, _), c in zip(texts, chosen)])
+    if not len(flat):
+        return none()
+    bits = np.concatenate([b[c] for (_, b), c in zip(texts, chosen)])
+    row = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [int(c.sum()) for c in chosen])
     keys, code = np.unique(flat, return_inverse=True)
-    in_p = np.bincount(code[row < n_p], minlength=len(keys))
-    in_u = np.bincount(code[row >= n_p], minlength=len(keys))
+    # A column for each hash and level.
+    cells = [np.flatnonzero(bits >> k & 1) for k in range(len(LEVELS))]
+    row = np.concatenate([row[c] for c in cells])
+    code = np.concatenate([code[c] * len(LEVELS) + k for k, c in enumerate(cells)])
+    width = len(keys) * len(LEVELS)
+    in_p = np.bincount(code[row < n_p], minlength=width)
+    in_u = np.bincount(code[row >= n_p], minlength=width)
     both = (in_p + in_u) / (n_p + n_u)
-    z = np.abs(in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u))
-    z[in_p + in_u < LEAST_DOCS] = -1
-    best = np.sort(np.lexsort((keys, -z))[: min(FEATURES, int((z >= LEAST_Z).sum()))])
+    z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u))
+    z[(in_p < LEAST_DOCS) | (in_p / n_p < min(LEAST_LIFT, 0.5 + 0.5 / prior) * in_u / n_u)] = -1
+    best = np.sort(np.lexsort((np.arange(width), -z))[: min(FEATURES, int((z >= LEAST_Z).sum()))])
     if not len(best):
-        return Model(np.zeros(1, np.uint64), np.zeros(1), 0.0, known=False)
-    number = np.full(len(keys), -1)
+        return none()
+    number = np.full(width, -1)
     number[best] = np.arange(len(best))
     keep = number[code] >= 0
     row, col = row[keep], number[code][keep]
@@ -120,13 +154,16 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
         if below:
             d[:n_p], d[n_p:] = prior * p[:n_p] / n_p, -p[n_p:] / n_u
         else:
-            d[:n_p], d[n_p:] = (-prior * (1 - p[:n_p]) - prior * p[:n_p]) / n_p, p[n_p:] / n_u
+            d[:n_p], d[n_p:] = -prior / n_p, p[n_p:] / n_u
         gw, gb = np.bincount(col, d[row], minlength=len(w)) + DECAY * w, d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w -= RATE * fix * m / (np.sqrt(v) + 1e-8)
         bias -= RATE * fix * mb / (np.sqrt(vb) + 1e-8)
-    return Model(keys[best], w, float(bias))
+    used = np.unique(best // len(LEVELS))
+    weights = np.zeros((len(used), len(LEVELS)))
+    weights[np.searchsorted(used, best // len(LEVELS)), best % len(LEVELS)] = w
+    return Model(keys[used], weights, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -134,18 +171,34 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = own.groupBy(F.col("doc_id").alias("_gs_id")).agg(F.max(F.col("toxic").cast("int")).alias("_gs_toxic"))
     count = own.agg(F.count("*").alias("n"), F.sum("_gs_toxic").alias("p")).first()
     if not count["n"] or not count["p"]:
-        return fit([], [], 0.5)
+        return none()
     prior = min(max(count["p"] / count["n"], 0.01), 0.9)
     chosen = own.where("_gs_toxic = 1").orderBy(F.xxhash64("_gs_id", F.lit(11)), "_gs_id").limit(POSITIVES).select("_gs_id", F.lit(True).alias("_gs_pos"))
     rows = docs.select("doc_id", "text").where(F.coalesce(fold("doc_id") != HELD_OUT, F.lit(True)))
     share = min(1.0, UNLABELLED / max(1, rows.count()))
     positive = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_gs_id")).select("_gs_pos", "text")
     some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.lit(False).alias("_gs_pos"), "text")
-    found = _features(positive.unionByName(some)).toLocalIterator()
-    sides: dict[bool, list[np.ndarray]] = {True: [], False: []}
-    for x in found:
-        sides[x["_gs_pos"]].append(np.frombuffer(x["f"], np.uint64))
-    return fit(sides[True], sides[False], prior)
+    found = saved(_features(positive.unionByName(some)))
+
+    def learn(batches):
+        """One task holds the bounded sample, in an order of its own, and returns the model."""
+        rows: list[tuple[bool, bytes, bytes]] = []
+        for batch in batches:
+            rows += zip(*(c.to_pylist() for c in batch.columns))
+        # Copies of a toxic text are one example, so that their words do not pass for what toxic texts share.
+        rows = sorted({r for r in rows if r[0]}) + sorted(r for r in rows if not r[0])
+        sides: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+        for pos, f, b in rows:
+            sides[pos].append((np.frombuffer(f, np.uint64), np.frombuffer(b, np.uint8)))
+        model = fit(sides[True], sides[False], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]), pa.array([model.known])], ["keys", "weights", "bias", "known"])
+
+    got = found.coalesce(1).mapInArrow(learn, "keys binary, weights binary, bias double, known boolean").collect()
+    dropped(found)
+    if not got:
+        return none()
+    keys = np.frombuffer(got[0]["keys"], np.uint64)
+    return Model(keys, np.frombuffer(got[0]["weights"]).reshape(len(keys), -1), got[0]["bias"], got[0]["known"])
 
 
 def score(docs: DataFrame, model: Model, held_out: bool = True) -> DataFrame:
