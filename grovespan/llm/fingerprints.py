@@ -104,15 +104,18 @@ def with_next(docs: DataFrame) -> DataFrame:
     after = successors(keys.select("k"), low, high).select("k", F.coalesce("nxt", F.lit(low)).alias("nxt"))
     needs = after.join(keys, "k").select(F.col("nxt").alias("id"), F.col("k").alias("prev"), F.floor(F.col("n") / 2).cast("int").alias("need"))
     needs = saved(needs.join(keys.select(F.col("k").alias("id"), "pick"), "id"))
-    placed = rows.join(needs, F.col("doc_id") == F.col("id"), "left").select("doc_id", "text", "prev", "need", "pick")
+    # Both sides read the same exchange of texts by id; only prefixes and packed hashes go on to the id before.
+    placed = rows.where("doc_id is not null")
+    sent = placed.join(needs, F.col("doc_id") == F.col("id")).where(F.xxhash64("text").bitwiseXOR(F.col("pick")) == 0)  # an equality would be a join key and another exchange
+    sent = sent.withColumn("t", tree(F.col("text"))).select("prev", F.expr("substring(text, 1, need)").alias("next_part"), F.col("t.root").alias("next_root"), F.unhex(F.array_join(leaves(F.col("t")), "")).alias("packed"))
+    both = placed.join(sent.dropDuplicates(["prev"]), F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "next_part", "next_root", "packed")
+    lone = rows.where("doc_id is null")
+    both = both.unionByName(lone, allowMissingColumns=True)
     own = tree(F.col("text"))
-    sent = placed.where(F.col("prev").isNotNull() & (F.xxhash64("text") == F.col("pick"))).dropDuplicates(["prev"])
-    sent = sent.withColumn("t", own).select("prev", F.expr("substring(text, 1, need)").alias("next_part"), F.col("t.root").alias("next_root"), leaves(F.col("t")).alias("next_leaves"))
-    both = placed.select("doc_id", "text").join(sent, F.col("doc_id") == F.col("prev"), "left")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.coalesce(F.col("next_part").substr(F.lit(1), half), F.lit("")))
-    out = both.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), own.alias("t"), "next_root", "next_leaves")
+    out = both.select("doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), own.alias("t"), "next_root", F.regexp_extract_all(F.lower(F.hex("packed")), F.lit(".{8}"), F.lit(0)).alias("next_leaves"))
     out = out.withColumn("e", tree(F.col("edited"))).withColumn("ls", leaves(F.col("t")))
     return out.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
