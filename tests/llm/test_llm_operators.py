@@ -308,6 +308,16 @@ def test_repeats_brute_force(spark):
     assert [spans[i] for i in range(len(texts))] == brute_repeats(texts, cut, "", 2, lambda x: x.rstrip(" \n\r\t"), repeats.SPAN_CHARS)
 
 
+def test_passages_of_any_sentence_lengths_are_cut(spark):
+    short = " ".join(f"W{k % 10}{'ab'[k % 2]}!" for k in range(60)) + " "
+    long = " ".join(f"word{k}" for k in range(51)) + ". "
+    texts = ["Begin one. " + short + "End one.", "Other start here. " + short + "Other end here.", "Begin two. " + long + "End two.", "Third begins. " + long + "Third ends.", long.rstrip(), "Fifty " + " ".join(f"word{k}" for k in range(49)) + ".", "Fifty " + " ".join(f"word{k}" for k in range(49)) + ". Tail."]
+    kept = {r["doc_id"]: r["_gs_kept"] for r in repeats.dedup(docs_of(spark, texts), repeats.SENTENCE_SPANS).collect()}
+    assert kept[1] == "Other start here. Other end here."
+    assert kept[3] == "Third begins. Third ends." and kept[4] == ""
+    assert kept[2] == texts[2] and kept[5] == texts[5] and kept[6] == texts[6]
+
+
 # op8, op10
 
 def test_language_held_out(spark):
