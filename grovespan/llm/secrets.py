@@ -50,21 +50,18 @@ _LONG_BYTE[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 
 
 def _has_run(buf: np.ndarray, offsets: np.ndarray, of: np.ndarray, least: int) -> np.ndarray:
-    """Which documents may hold a run of ``least`` such bytes (runs over a boundary make it say yes once too often)."""
+    """Which documents hold a run of ``least`` such bytes or more; a run ends with its document."""
     out = np.zeros(len(offsets) - 1, bool)
     for i, j in steps(offsets):
-        mark = of[buf[offsets[i] : offsets[j]]]
-        stops = np.flatnonzero(~mark)
-        edges = np.concatenate([[-1], stops, [len(mark)]])
-        for p in edges[:-1][np.diff(edges) > least] + 1:
-            a = int(np.searchsorted(offsets, offsets[i] + p, side="right")) - 1
-            while a < j and offsets[a] < offsets[i] + p + least + 1:
-                out[a] = True
-                a += 1
-            b = int(p) + least
-            while b < len(mark) and mark[b]:  # documents further on in the same run
-                b = min(b + 4096, len(mark))
-                out[min(j - 1, int(np.searchsorted(offsets, offsets[i] + b - 1, side="right")) - 1)] = True
+        starts = offsets[i : j + 1] - offsets[i]
+        # A run ends at each document's start and, after that, at each byte that is not of the kind.
+        stops = np.flatnonzero(~of[buf[offsets[i] : offsets[j]]])
+        edges = np.concatenate([starts, stops])
+        begins = np.concatenate([starts, stops + 1])
+        order = np.argsort(edges, kind="stable")
+        edges, begins = edges[order], begins[order]
+        long = np.flatnonzero(edges[1:] - begins[:-1] >= least)
+        out[i + np.searchsorted(starts, begins[long], side="right") - 1] = True
     return out
 
 

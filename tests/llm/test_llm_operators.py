@@ -228,6 +228,28 @@ def test_secrets_brute_force(spark, data):
         assert set(want) <= set(got[i]["spans"].split(",")) or not want
 
 
+def test_neighbouring_whole_texts_are_runs_of_their_own(spark):
+    rng = random.Random(5)
+    digests = ["".join(rng.choice("0123456789abcdef") for _ in range(rng.choice((23, 24, 30, 64)))) for _ in range(300)]
+    texts = [x for d in digests for x in rng.choice(([d], [d, ""], [d, None], [d, " "]))] + ["a" * 9000, "b" * 30]
+    got = {r["doc_id"]: r for r in secrets.digest(secrets.scan(docs_of(spark, texts).coalesce(1))).collect()}
+    for i, t in enumerate(texts):
+        want = brute_spans(t or "")
+        assert (got[i]["n_hex"], got[i]["base_sha256"]) == (len(want), hashlib.sha256(",".join(want).encode()).hexdigest()), (i, t)
+
+
+def test_run_prefilter_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    monkeypatch.setattr(kernel.steps, "__defaults__", (200,))
+    for _ in range(200):
+        texts = ["".join(rng.choice("aaaaaaaa.") for _ in range(rng.choice((0, 1, 5, 19, 20, 21, 90, 500)))) for _ in range(rng.randint(0, 30))]
+        buf, offsets = kernel.string_buffers(pa.array(texts, pa.string()))
+        got = secrets._has_run(buf, offsets, secrets._LONG_BYTE, 20)
+        assert got.tolist() == [re.search("a{20}", t) is not None for t in texts]
+
+
 def test_weak_parts_need_their_complement():
     text = "login: alice77 uses Zk39fjQpLw82mVnXc01bTy at https://db.example.org/x"
     kinds = {k for _, _, k in secrets.linked_spans(text, secrets.base_spans(text))}
