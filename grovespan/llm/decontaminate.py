@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernel
+from .tables import keyed
 
 CONTAINS_NUM, CONTAINS_DEN = 4, 5
 HASHES = 64
@@ -174,9 +175,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that contain no item. Rows of one doc_id go together."""
-    bad = matches(docs, items).select(F.col("doc_id").alias("_gs_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_gs_id")), "left_anti")
+    """The documents that contain no item. Rows of one doc_id and text go together."""
+    bad = matches(keyed(docs), items).select(F.col("doc_id.id").alias("_gs_id"), F.col("doc_id.t").alias("_gs_key")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_gs_id")) & (F.xxhash64("text") == F.col("_gs_key")), "left_anti")
 
 
 SQL = r"""

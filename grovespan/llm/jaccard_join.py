@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .components import components
-from .tables import saved
+from .tables import keyed, saved
 
 NUM, DEN = 4, 5
 TREES = 24
@@ -252,13 +252,18 @@ def blocks(members: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copy_id, n_links, n_texts: one row per row of ``docs``."""
+    return _joined(keyed(docs)).select(*[F.col(f"{c}.id").alias(c) for c in ("doc_id", "class_id", "copy_id")], "n_links", "n_texts")
+
+
+def _joined(docs: DataFrame) -> DataFrame:
+    """The columns of ``join`` for rows whose doc_id is that of ``keyed``, which tells rows of other texts apart."""
     rows = saved(signed(docs))
     classes = saved(rows.groupBy("wa", "wb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("c", F.struct("wa", "wb")))
     met = components(branch_links(classes)).withColumnRenamed("node", "c")
     members = saved(met.join(classes.select("c", "rep", "copies", "size"), "c"))
     texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
     # Texts first meet their members (once), then go to the blocks.
-    sent = blocks(members).join(texts, F.col("rep").eqNullSafe(F.col("_id")))
+    sent = blocks(members).join(texts, F.col("rep") == F.col("_id"))
     sent = sent.select("block", "side", "copies", F.col("c.wa").alias("wa"), F.col("c.wb").alias("wb"), "text")
     found = saved(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_verify, _LINKS))
     edges = found.select(F.struct("wa", "wb").alias("a"), F.struct(F.col("ra").alias("wa"), F.col("rb").alias("wb")).alias("b"))
@@ -273,6 +278,8 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group: that of its least doc_id."""
-    keep = join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gs_id")).distinct()
-    return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_gs_id")), "left_semi").dropDuplicates(["doc_id"])
+    """``docs`` with one row of each group: that of its least doc_id (null is last), and of its text's hash among equal ones."""
+    keep = _joined(keyed(docs)).where("doc_id = class_id").select(F.col("doc_id.id").alias("_gs_id"), F.col("doc_id.t").alias("_gs_key")).distinct()
+    own = docs.withColumn("_gs_text", F.xxhash64("text"))
+    kept = own.join(keep, F.col("doc_id").eqNullSafe(F.col("_gs_id")) & (F.col("_gs_text") == F.col("_gs_key")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_gs_text"]).drop("_gs_text")

@@ -55,3 +55,8 @@ def fold(column: Column | str, parts: int) -> Column:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text: doc_id as struct(z, id, t), null ids last, with a hash of the text, so that rows of equal or null doc_id and other text differ."""
+    return docs.select(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("t")).alias("doc_id"), "text")

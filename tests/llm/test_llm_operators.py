@@ -464,6 +464,23 @@ def test_pipeline_stages(spark, data, tmp_path):
     assert docs.where(F.col("copy") > 2).count() == 0
 
 
+def test_null_and_repeated_ids_lose_only_their_duplicates(spark):
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randint(0, 999)}" for _ in range(40)) for _ in range(9)]
+    rows = [(None, t) for t in texts[:5]] + [(None, texts[0]), (None, texts[1] + " more"), (7, texts[5]), (7, texts[6]), (8, texts[6]), (9, texts[2]), (10, texts[7]), (10, texts[8]), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    # texts[2] stays with doc_id 9, as null ids are last; texts[6] with 7; no words are one class.
+    kept = [tuple(r) for r in jaccard_join.one_of_each(docs).collect()]
+    named = Counter(k for k in kept if k[1])
+    one = [(None, texts[1]), (None, texts[1] + " more")]
+    assert sum(named[k] for k in one) == 1
+    assert named - Counter(one) == Counter([(None, texts[k]) for k in (0, 3, 4)] + [(7, texts[5]), (7, texts[6]), (9, texts[2]), (10, texts[7]), (10, texts[8])])
+    assert len(kept) - sum(named.values()) == 1
+    items = spark.createDataFrame([(1, texts[3]), (2, texts[7])], "item_id bigint, text string")
+    clean = Counter(tuple(r) for r in decontaminate.cleaned(docs, items).collect())
+    assert clean == Counter(r for r in rows if r[1] not in (texts[3], texts[7]))
+
+
 def test_pipeline_runs_on_awkward_tables(spark, data):
     for docs in (awkward(spark), awkward(spark).limit(0)):
         docs = docs.select(*[F.col(c) for c in DOCS.replace(" bigint", "").replace(" string", "").split(", ")])
