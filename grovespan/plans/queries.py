@@ -447,8 +447,9 @@ def lineage_generative(spark, sf_dir):
 # Leakage, splits, strata
 
 def _relations(spark, sf_dir) -> DataFrame:
-    li = load(spark, sf_dir, "lineitem").where("l_orderkey % 4 = l_partkey % 4 and l_quantity < 15")
-    return li.select(F.col("l_orderkey").cast("bigint").alias("episode_id"), F.explode(F.array(F.struct(F.lit("part").alias("relation"), F.col("l_partkey").cast("string").alias("value")))).alias("r")).select("episode_id", "r.*")
+    """Orders by the parts they take from a supplier; the part alone would join nearly all orders in one group."""
+    value = F.concat_ws(":", "l_partkey", "l_suppkey")
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("episode_id"), F.lit("part_supplier").alias("relation"), value.alias("value"))
 
 
 def leakage_components(spark, sf_dir):

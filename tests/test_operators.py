@@ -205,3 +205,28 @@ def test_gate_stops_at_first_failure(spark):
     rows = [("a", "passed", "1", None), ("b", "failed", "2", "1"), ("c", "passed", "3", "2")]
     got = cost.gate(spark.createDataFrame(rows, "stage string, status string, hash string, upstream_hash string"), ("a", "b", "c")).orderBy("position").collect()
     assert [r["open"] for r in got] == [True, False, False]
+
+
+def test_leakage_queries_group_every_order(spark, duck, data):
+    from grovespan.plans import queries
+
+    rows = duck.sql("SELECT DISTINCT l_orderkey, l_partkey || ':' || l_suppkey FROM lineitem").fetchall()
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for order, value in rows:
+        parent[root(("v", value))] = root(order)
+    want = {}
+    for order, _ in rows:
+        want.setdefault(root(order), set()).add(order)
+    got = {}
+    for r in queries.leakage_components(spark, data).collect():
+        got.setdefault((r["group_id"], r["group_size"]), set()).add(r["episode_id"])
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    assert all(size == len(x) for (_, size), x in got.items())
+    splits = [r["group_id"] for r in queries.split_assignment(spark, data).collect()]
+    assert sorted(splits) == sorted(g for g, _ in got)
