@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 Z = 1.959963984540054
-DISCORDANCE = (0.1, 0.2, 0.3, 0.4)
+DISCORDANCE = (0.10, 0.15, 0.25, 0.40)
+SIMULATION_EFFECTS = (-0.15, -0.125, -0.10, -0.075, -0.05, -0.025, 0.0, 0.025, 0.05, 0.075, 0.10, 0.125, 0.15)
+POWER_DRAWS = 1000
 DECISION_GRID = (0.05, 0.075, 0.10, 0.125, 0.15)
 LEFT = 0.65
 

@@ -525,7 +525,7 @@ def difference_distribution(spark, sf_dir):
 @query()
 def power_grid(spark, sf_dir):
     design = stats.strata_design(_strata(spark, sf_dir))
-    return stats.power(spark, design, stats.scenario_grid(spark, (0.05, 0.1, 0.15), (0.2, 0.3)), 99, 60, 17)
+    return stats.power(spark, design, stats.scenario_grid(spark, stats.SIMULATION_EFFECTS), 99, stats.POWER_DRAWS, 17)
 
 
 @query()

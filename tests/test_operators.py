@@ -230,3 +230,12 @@ def test_leakage_queries_group_every_order(spark, duck, data):
     assert all(size == len(x) for (_, size), x in got.items())
     splits = [r["group_id"] for r in queries.split_assignment(spark, data).collect()]
     assert sorted(splits) == sorted(g for g, _ in got)
+
+
+def test_power_grid_has_every_scenario(spark, data):
+    from grovespan.plans import queries
+
+    rows = queries.power_grid(spark, data).collect()
+    effects = (-0.15, -0.125, -0.1, -0.075, -0.05, -0.025, 0.0, 0.025, 0.05, 0.075, 0.1, 0.125, 0.15)
+    assert sorted((r["effect"], r["discordance"]) for r in rows) == [(e, d) for e in effects for d in (0.1, 0.15, 0.25, 0.4)]
+    assert {r["draws"] for r in rows} == {1000}
