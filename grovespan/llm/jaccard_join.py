@@ -1,17 +1,16 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH in bands of fixed depth with exact verification.
 
 Which documents share 0.8 or more of their shingles (runs of five words)?
 
 1. *Classes.* Documents of equal words, in order, are one class; only its least
    doc_id goes on, with the class size, so copies are never compared.
-2. *Forest.* Each class has a MinHash signature; ``TREES`` trees hold it as a
-   string of ``DEEP`` minima. Sorted, equal prefixes of a tree are neighbours.
-   Prefixes are shortened from ``DEEP`` minima, one at a time, until the
-   probability that a pair at the threshold has met in some tree,
-   1 - (1 - 0.8^d)^TREES, reaches ``RECALL``; that depth depends on the
-   parameters only, so every document is searched down to it, however full its
-   branch is. A branch links its members to its least member, so a branch of a
-   million members gives a million links, not their square.
+2. *Bands.* Each class has a MinHash signature of ``TREES`` bands. All bands have
+   the same number of minima, the most (up to ``DEEP``) at which the probability
+   that a pair at the threshold has met in some band, 1 - (1 - 0.8^d)^TREES,
+   reaches ``RECALL``; it depends on the parameters only. There are no sorted
+   prefixes or tries and no prefix is shortened by what was matched: a band is
+   one hash. A band's equal hashes link their members to the least of them, so a
+   million equal ones give a million links, not their square.
 3. *Verification.* The links' connected components hold every pair that met.
    The texts of a component's members go to one task once; a component of over
    ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is cut into bands of size and
@@ -106,7 +105,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def branch_links(classes: DataFrame) -> DataFrame:
-    """a, b: each class with the least class of every branch of the forest that it is in."""
+    """a, b: each class with the least class of every band hash that it has."""
     rows = classes.select("c", F.explode("keys").alias("key"))
     branch = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key", "a")
     return rows.join(branch, "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
