@@ -8,6 +8,7 @@ as empty and has no shingle. Upper and lower case differ.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,15 +27,27 @@ _POWERS: dict[str, np.ndarray] = {}
 
 
 def bounded_batches(spark, rows: int = 500, size: str = "16m") -> None:
-    """Bound the Arrow batches that reach Python workers, so their memory follows neither row count nor text length."""
+    """Bound the Arrow batches that reach Python workers, so their memory follows neither row count nor text length.
+
+    Plans are made when a result is read, so the two settings stay lowered in the
+    session; they are never raised.
+    """
     for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         try:
-            spark.conf.set(key, str(value))
+            now = _bytes(spark.conf.get(key, None))
+            if now is None or now <= 0 or now > _bytes(str(value)):
+                spark.conf.set(key, str(value))
         except Exception as e:  # a session may forbid a setting that it does not know
             if "CANNOT_MODIFY" not in str(e):
                 raise
 
 
+def _bytes(setting: str | None) -> int | None:
+    """The number that a setting such as 500, 16m or 16mb names."""
+    found = re.fullmatch(r"(-?\d+)([kmgt]?)b?", (setting or "").strip().lower())
+    return int(found[1]) << (10 * " kmgt".index(found[2] or " ")) if found else None
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset, one of this machine."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where that is unset and all run in one JVM, one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if not folder:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             folder = tempfile.mkdtemp(prefix="grovespan-")
             context.setCheckpointDir(folder)
     return folder
