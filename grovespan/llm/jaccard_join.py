@@ -1,25 +1,34 @@
-"""N-gram Jaccard join by MinHash LSH in bands of fixed depth with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Which documents share 0.8 or more of their shingles (runs of five words)?
 
 1. *Classes.* Documents of equal words, in order, are one class; only its least
    doc_id goes on, with the class size, so copies are never compared.
-2. *Bands.* Each class has a MinHash signature of ``TREES`` bands. All bands have
-   the same number of minima, the most (up to ``DEEP``) at which the probability
-   that a pair at the threshold has met in some band, 1 - (1 - 0.8^d)^TREES,
-   reaches ``RECALL``; it depends on the parameters only. There are no sorted
-   prefixes or tries and no prefix is shortened by what was matched: a band is
-   one hash. A band's equal hashes link their members to the least of them, so a
-   million equal ones give a million links, not their square.
-3. *Verification.* The links' connected components hold every pair that met.
-   The texts of a component's members go to one task once; a component of over
-   ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is cut into bands of size and
-   bands into blocks, and each two blocks whose sizes can reach 0.8 meet in a
-   task. A task counts the shared shingles of all its pairs at once, with
-   matrices of those shingles in which members differ, and returns one row per
-   member: its links, weighted by class sizes, and the least member that links
-   lead to. So no pair is ever a row, and no link inside a component is lost.
-4. *Groups.* Components of the verified links are the near-duplicate groups.
+2. *Forest.* Each class has ``TREES`` signatures of ``DEEP`` minima. A tree's trie
+   branch at depth d is the set of classes with equal first d minima; a hash of
+   these names it, nested in the branch one shorter. ``shortest()`` is the depth at
+   which a pair at the threshold meets in some tree with probability ``RECALL``; a
+   class that is alone in all branches of that depth is settled.
+3. *Deepest prefixes.* Classes that share a branch of depth ``DEEP`` are linked to
+   the least of it, so a million equal ones give a million links, not their
+   square. The links' connected components are verified whole.
+4. *Shortening.* A class shortens its prefix by what it matched: of its links
+   found so far, and one more that is supposed at the threshold, the expected
+   share that meets at depth d is the mean of 1 - (1 - J^d)^TREES; its depth is the
+   longest at which that reaches ``RECALL``. Classes with many close neighbours
+   stay deep, others go down to ``shortest()``. Two classes that no deepest
+   component has both are compared where they share a branch of the shorter of
+   their depths, once, in the first such tree. A branch without such pairs, or
+   with the members of one in an earlier tree, is dropped.
+5. *Verification.* The texts of a component's or branch's members go to one task
+   once; one of over ``BLOCK`` classes or ``BLOCK_SHINGLES`` shingles is cut into
+   bands of size and bands into blocks, and each two blocks whose sizes can reach
+   0.8 meet in a task. A task counts the shared shingles of all its pairs at once,
+   with matrices of those shingles in which members differ, and returns one row per
+   member: its links, weighted by class sizes, the chance that these do not meet
+   at each depth, and the least member that links lead to. So no pair is ever a row,
+   and no link inside a component or branch is lost.
+6. *Groups.* Components of the verified links are the near-duplicate groups.
 
 The result has one row per document: class_id (least doc_id of its group),
 copy_id (least doc_id of equal words), n_links (other documents at 0.8 or more,
@@ -38,7 +47,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
@@ -54,9 +63,14 @@ BLOCK = 1024
 BLOCK_SHINGLES = 3_000_000
 
 
-def depth(trees: int = TREES, deep: int = DEEP, recall: float = RECALL) -> int:
+def missed(d: int, likeness=NUM / DEN):
+    """The probability that a pair shares no branch of depth d."""
+    return (1 - likeness**d) ** TREES
+
+
+def shortest(recall: float = RECALL) -> int:
     """The longest prefix at which a pair at the threshold meets with the target probability."""
-    return next((d for d in range(deep, 1, -1) if 1 - (1 - (NUM / DEN) ** d) ** trees >= recall), 1)
+    return next((d for d in range(DEEP, 1, -1) if 1 - missed(d) >= recall), 1)
 
 
 def _pairs128(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,19 +85,20 @@ def _distinct(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int64)
 
 
-def prefix_keys(sig: np.ndarray, d: int) -> np.ndarray:
-    """A 64-bit key per document and tree of the tree's first d minima."""
-    s = sig.reshape(len(sig), TREES, d).astype(np.uint64)
+def prefix_keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each document and tree, a 64-bit key of the shortest prefix, and the minima that may follow it."""
+    d = shortest()
+    s = sig.reshape(len(sig), TREES, DEEP)
     key = np.broadcast_to(np.arange(1, TREES + 1, dtype=np.uint64), s.shape[:2]).copy()
     for k in range(d):
-        key = kernel.mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k])
-    return key.view(np.int64)
+        key = kernel.mix(key * np.uint64(0x9E3779B97F4A7C15) + s[:, :, k].astype(np.uint64))
+    return key.view(np.int64), s[:, :, d:].reshape(len(sig), -1).view(np.int32)
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, wa, wb (hash of the words), size (distinct shingles), keys (one per tree; none without shingles)."""
+    """doc_id, wa, wb (hash of the words), size (distinct shingles), keys (one per tree; none without shingles), more (the minima behind them)."""
     kernel.bounded_batches(docs.sparkSession)
-    d = depth()
+    wide = TREES * (DEEP - shortest())
 
     def run(batches):
         for batch in batches:
@@ -93,22 +108,50 @@ def signed(docs: DataFrame) -> DataFrame:
                 values, to = kernel.shingles(tokens, at)
                 values, to = _distinct(values, to)
                 pair = _pairs128(tokens, at)
-                keys = prefix_keys(kernel.signatures(values, to, TREES * d, SEED), d)
+                keys, more = prefix_keys(kernel.signatures(values, to, TREES * DEEP, SEED))
                 has = np.diff(to) > 0
-                ends = np.concatenate([[0], np.cumsum(has * TREES)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.diff(to)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))],
-                    ["doc_id", "wa", "wb", "size", "keys"],
-                )
+                ends = np.concatenate([[0], np.cumsum(has)])
+                lists = [pa.ListArray.from_arrays(pa.array((ends * n).astype(np.int32)), pa.array(np.ascontiguousarray(x[has]).ravel())) for x, n in ((keys, TREES), (more, wide))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(np.diff(to)), *lists], ["doc_id", "wa", "wb", "size", "keys", "more"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, wa bigint, wb bigint, size bigint, keys array<bigint>, more array<int>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, wa bigint, wb bigint, size bigint, keys array<bigint>")
 
+def branch_keys(d: int) -> Column:
+    """The names of a class's branches of depth d, one per tree."""
+    wide, longer = DEEP - shortest(), d - shortest()
+    return F.transform("keys", lambda k, t: F.xxhash64(F.lit(d), k, *[F.get(F.col("more"), t * wide + x) for x in range(longer)]))
 
-def branch_links(classes: DataFrame) -> DataFrame:
-    """a, b: each class with the least class of every band hash that it has."""
+
+def met(classes: DataFrame) -> DataFrame:
+    """The classes that share a branch of the shortest depth with another."""
     rows = classes.select("c", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key")
+    some = rows.join(shared.repartition(F.xxhash64("key", F.lit(1))), "key").select("c").distinct()
+    return classes.join(some, "c")
+
+
+def branch_links(members: DataFrame) -> DataFrame:
+    """a, b: each class with the least class of each of its deepest branches."""
+    rows = members.select("c", F.explode(branch_keys(DEEP)).alias("key"))
     branch = rows.groupBy("key").agg(F.min("c").alias("a"), F.max("c").alias("z")).where("a <> z").select("key", "a")
-    return rows.join(branch, "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+    return rows.join(branch.repartition(F.xxhash64("key", F.lit(1))), "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+
+
+def shortened(members: DataFrame) -> DataFrame:
+    """A row for each member of each branch that holds pairs to compare: unit, tree, d, c, rep, copies, size, part (its deepest component), depth, own (its branches of that depth)."""
+    out = None
+    for d in range(shortest(), DEEP):
+        own = branch_keys(d)
+        rows = members.where(F.col("depth") >= d).select("c", "rep", "copies", "size", "part", "depth", F.lit(d).alias("d"), F.posexplode(own).alias("tree", "key"))
+        out = rows if out is None else out.unionByName(rows)
+    stats = out.groupBy("key").agg(
+        F.min("part").alias("p"), F.max("part").alias("q"), F.min("depth").alias("least"), F.first("d").alias("d"), F.first("tree").alias("tree"),
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("c")).alias("x"), F.sum(F.pmod(F.xxhash64("c", F.lit(2)), F.lit(1 << 40))).alias("y"))
+    stats = stats.where("p <> q and least = d").groupBy("d", "n", "x", "y").agg(F.min(F.struct("tree", "key")).alias("first")).select(F.col("first.key").alias("key"))
+    rows = out.join(stats.repartition(F.xxhash64("key", F.lit(1))), "key").withColumn("unit", F.hex("key")).drop("key")
+    wide = F.coalesce(*[F.when(F.col("d") == d, branch_keys(d)) for d in range(shortest(), DEEP)])
+    return rows.join(members.select("c", "keys", "more"), "c").withColumn("own", wide).drop("keys", "more")
 
 
 def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -141,21 +184,34 @@ def shared_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each member: its links weighted by copies, its links, and the least member that its links lead to.
+def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, barred=None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member: its links weighted by copies, its links, the least member that its links lead to, and the summed chances that they share no branch of each longer depth.
 
     side 0 and 1: only pairs of members of the two sides; all 2: every pair.
+    ``barred(left, right)`` marks pairs that are compared elsewhere.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     square = bool((side == 2).all())
     left, right = (np.arange(m), np.arange(m)) if square else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
     weight, links, root = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)
+    lost = np.zeros((m, DEEP - shortest()))
     if not len(left) or not len(right):
-        return weight, links, root
-    near = (NUM + DEN) * shared_counts(sets, left, right) >= NUM * (sizes[left][:, None] + sizes[right][None, :])
+        return weight, links, root, lost
+    shared = shared_counts(sets, left, right)
+    both = sizes[left][:, None] + sizes[right][None, :]
+    near = (NUM + DEN) * shared >= NUM * both
     if square:
         np.fill_diagonal(near, False)
+    if barred is not None:
+        near &= ~barred(left, right)
+    at, to = np.nonzero(near)
+    likeness = shared[at, to] / (both[at, to] - shared[at, to])
+    for k, d in enumerate(range(shortest() + 1, DEEP + 1)):
+        chance = missed(d, likeness)
+        lost[:, k] += np.bincount(left[at], chance, minlength=m)
+        if not square:
+            lost[:, k] += np.bincount(right[to], chance, minlength=m)
     links[left] = near.sum(1)
     weight[left] = near @ copies[right]
     if not square:
@@ -169,15 +225,15 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray) -> tupl
             root = root[root]
             if (root == before).all():
                 break
-    return weight, links, root
+    return weight, links, root, lost
 
 
-_LINKS = "wa bigint, wb bigint, weight bigint, links bigint, ra bigint, rb bigint"
+_LINKS = "wa bigint, wb bigint, weight bigint, links bigint, ra bigint, rb bigint, lost array<double>"
 
 
 def _verify(batches):
     """Rows sorted by block; yields the members' links block by block."""
-    names = [n for n in _LINKS.replace(" bigint", "").split(", ")]
+    names = [n.split(" ")[0] for n in _LINKS.split(", ")]
     held: list[pa.RecordBatch] = []
 
     def block(rows: pa.Table):
@@ -186,7 +242,6 @@ def _verify(batches):
         pair = _pairs128(tokens, at)
         wa, wb = rows["wa"].to_numpy(), rows["wb"].to_numpy()
         # Another text of the same doc_id, or a repeated row, is not the class.
-        _, first = np.unique(np.stack([wa, wb], 1), axis=0, return_index=True)
         mark = np.zeros(len(wa), bool)
         own = (pair[:, 0] == wa) & (pair[:, 1] == wb)
         seen = set()
@@ -194,16 +249,31 @@ def _verify(batches):
             if (key := (wa[k], wb[k])) not in seen:
                 seen.add(key)
                 mark[k] = True
-        del first
         keep = np.flatnonzero(mark)
         if len(keep) < 2:
             return None
         order = keep[np.lexsort((wb[keep], wa[keep]))]
         values, to = kernel.shingles(tokens, at)
         sets = [np.unique(values[to[k] : to[k + 1]]) for k in order.tolist()]
-        weight, links, root = linked(sets, rows["copies"].to_numpy()[order], rows["side"].to_numpy()[order])
+        barred = elsewhere(rows.take(pa.array(order))) if "own" in rows.column_names else None
+        weight, links, root, lost = linked(sets, rows["copies"].to_numpy()[order], rows["side"].to_numpy()[order], barred)
         hit = np.flatnonzero(links)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (wa[order][hit], wb[order][hit], weight[hit], links[hit], wa[order][root[hit]], wb[order][root[hit]])], names) if len(hit) else None
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (wa[order][hit], wb[order][hit], weight[hit], links[hit], wa[order][root[hit]], wb[order][root[hit]], list(lost[hit]))], names) if len(hit) else None
+
+    def elsewhere(rows: pa.Table):
+        """Pairs of one deepest component, pairs of which neither has the branch's depth, and pairs that share a branch in an earlier tree."""
+        part, depth = rows["part"].to_numpy(), rows["depth"].to_numpy()
+        d, tree = rows["d"][0].as_py(), rows["tree"][0].as_py()
+        own = np.array(rows["own"].to_pylist(), np.int64)
+
+        def barred(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            out = part[left][:, None] == part[right][None, :]
+            out |= (depth[left] != d)[:, None] & (depth[right] != d)[None, :]
+            for t in range(tree):
+                out |= own[left, t][:, None] == own[right, t][None, :]
+            return out
+
+        return barred
 
     def flush():
         if held:
@@ -227,20 +297,21 @@ def _verify(batches):
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """A row for each block that a member goes to: block (a text), side."""
-    big = members.groupBy("component").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    """A row for each block that a member of a unit goes to: block (a text), side."""
+    big = members.groupBy("unit").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    large = saved(big.where((F.col("n") > BLOCK) | (F.col("s") > BLOCK_SHINGLES)).select("unit"))
+    if large.isEmpty():
+        return members.withColumns({"block": F.col("unit"), "side": F.lit(2)})
     banded = members.withColumn("band", F.floor(F.log("size") / F.log(F.lit(DEN / NUM))).cast("int"))
-    per_band = banded.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    per_band = banded.join(large, "unit", "left_semi").groupBy("unit", "band").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
     cells = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int")
-    large = big.where((F.col("n") > BLOCK) | (F.col("s") > BLOCK_SHINGLES)).select("component")
-    per_band = per_band.join(large, "component", "left_semi").select("component", "band", cells.alias("cells"))
-    below, above = (per_band.select("component", (F.col("band") + d).alias("band"), F.col("cells").alias(n)) for d, n in ((1, "below"), (-1, "above")))
-    around = per_band.join(below, ["component", "band"], "left").join(above, ["component", "band"], "left")
-    whole = F.concat(F.hex(F.col("component.wa")), F.hex(F.col("component.wb")))
-    small = members.join(large, "component", "left_anti").select(*members.columns, whole.alias("block"), F.lit(2).alias("side"))
+    per_band = per_band.select("unit", "band", cells.alias("cells"))
+    below, above = (per_band.select("unit", (F.col("band") + d).alias("band"), F.col("cells").alias(n)) for d, n in ((1, "below"), (-1, "above")))
+    around = saved(per_band.join(below, ["unit", "band"], "left").join(above, ["unit", "band"], "left"))
+    small = members.join(large, "unit", "left_anti").withColumns({"block": F.col("unit"), "side": F.lit(2)})
     x = F.pmod(F.xxhash64("c"), F.col("cells")).cast("int")
-    name = lambda band, a, other, b: F.concat_ws(".", whole, band, a, other, b)
-    at = banded.join(around, ["component", "band"]).withColumn("x", x)
+    name = lambda band, a, other, b: F.concat_ws(".", "unit", band, a, other, b)
+    at = banded.join(around, ["unit", "band"]).withColumn("x", x)
     own = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda y: F.struct(name(F.col("band"), F.least("x", y), F.col("band"), F.greatest("x", y)).alias("block"), F.when(y == F.col("x"), 2).when(F.col("x") < y, 0).otherwise(1).alias("side")))
     up = F.when(F.col("above").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda y: F.struct(name(F.col("band"), F.col("x"), F.col("band") + 1, y).alias("block"), F.lit(0).alias("side"))))
     down = F.when(F.col("below").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda y: F.struct(name(F.col("band") - 1, y, F.col("band"), F.col("x")).alias("block"), F.lit(1).alias("side"))))
@@ -249,6 +320,24 @@ def blocks(members: DataFrame) -> DataFrame:
     return small.unionByName(every)
 
 
+def verified(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """The links of the members of each unit, with the texts of ``docs``; a text meets its rows once and then goes to their blocks."""
+    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sent = blocks(members).join(texts, F.col("rep") == F.col("_id"))
+    more = [n for n in ("part", "depth", "d", "tree", "own") if n in members.columns]
+    sent = sent.select("block", "side", "copies", F.col("c.wa").alias("wa"), F.col("c.wb").alias("wb"), "text", *more)
+    return saved(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_verify, _LINKS))
+
+
+def depths(members: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with depth, to which each one's prefixes are shortened by the links that it has."""
+    sums = found.groupBy(F.struct("wa", "wb").alias("c")).agg(F.sum("links").alias("links"), *[F.sum(F.get("lost", F.lit(k))).alias(f"lost{k}") for k in range(DEEP - shortest())])
+    both = members.join(sums, "c", "left")
+    reached = lambda d: (F.col(f"lost{d - shortest() - 1}") + missed(d)) / (F.col("links") + 1) <= 1 - RECALL
+    depth = F.coalesce(*[F.when(reached(d), F.lit(d)) for d in range(DEEP, shortest(), -1)], F.lit(shortest()))
+    return both.select(*members.columns, depth.alias("depth"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, copy_id, n_links, n_texts: one row per row of ``docs``."""
     return _joined(keyed(docs)).select(*[F.col(f"{c}.id").alias(c) for c in ("doc_id", "class_id", "copy_id")], "n_links", "n_texts")
@@ -257,14 +346,14 @@ def join(docs: DataFrame) -> DataFrame:
 def _joined(docs: DataFrame) -> DataFrame:
     """The columns of ``join`` for rows whose doc_id is that of ``keyed``, which tells rows of other texts apart."""
     rows = saved(signed(docs))
-    classes = saved(rows.groupBy("wa", "wb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("keys").alias("keys")).withColumn("c", F.struct("wa", "wb")))
-    met = components(branch_links(classes)).withColumnRenamed("node", "c")
-    members = saved(met.join(classes.select("c", "rep", "copies", "size"), "c"))
-    texts = docs.select(F.col("doc_id").alias("_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # Texts first meet their members (once), then go to the blocks.
-    sent = blocks(members).join(texts, F.col("rep") == F.col("_id"))
-    sent = sent.select("block", "side", "copies", F.col("c.wa").alias("wa"), F.col("c.wb").alias("wb"), "text")
-    found = saved(sent.repartition("block").sortWithinPartitions("block").mapInArrow(_verify, _LINKS))
+    classes = saved(rows.groupBy("wa", "wb").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), *[F.first(n).alias(n) for n in ("size", "keys", "more")]).withColumn("c", F.struct("wa", "wb")))
+    members = saved(met(classes).select("c", "rep", "copies", "size", "keys", "more"))
+    deepest = components(branch_links(members)).withColumnRenamed("node", "c")
+    parted = saved(members.join(deepest, "c", "left").withColumn("part", F.xxhash64(F.coalesce("component", "c"))))
+    unit = F.concat(F.hex("component.wa"), F.hex("component.wb"))
+    close = verified(parted.where("component is not null").select("c", "rep", "copies", "size", unit.alias("unit")), docs)
+    further = saved(shortened(saved(depths(parted.drop("component"), close))))
+    found = close.unionByName(verified(further, docs))
     edges = found.select(F.struct("wa", "wb").alias("a"), F.struct(F.col("ra").alias("wa"), F.col("rb").alias("wb")).alias("b"))
     groups = components(edges).select(F.col("node").alias("c"), "component")
     counts = found.groupBy("wa", "wb").agg(F.sum("weight").alias("weight"), F.sum("links").alias("links")).select(F.struct("wa", "wb").alias("c"), "weight", "links")
