@@ -8,7 +8,9 @@ identifier, a random-looking value or an endpoint. They are reported as
 ``link_id``, ``link_secret`` and ``link_endpoint`` only when an interval join
 within one scope (no blank line between, at most ``scope`` code points apart)
 finds the complementary part: a secret needs an identifier or an endpoint, and
-either of those needs a secret. Base spans take part in the join as strong
+either of those needs a secret. Identifiers are values after a word such as
+``login`` and mail addresses; endpoints are URLs, hosts with a port and IPv4
+addresses; secrets are random-looking runs. Base spans take part in the join as strong
 parts (``access`` as identifier, ``assign`` and ``hex`` as secret) and are
 always reported themselves. A weak span that overlaps a base span is dropped.
 
@@ -32,17 +34,20 @@ from pyspark.sql import functions as F
 from .kernel import bounded_batches, steps, string_buffers
 
 KINDS = ("assign", "access", "hex", "link_id", "link_secret", "link_endpoint")
-SCOPE = 160
+#: Five lines of 80 characters.
+SCOPE = 400
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so shorter ones fail as a whole
 WEAK_ID = re.compile(r"""(?<![A-Za-z0-9_])(?:user(?:_?name)?|login|account(?:_?id)?|client_?id|key_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]{4,})""", re.I | re.A)
+MAIL = re.compile(r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9@-])")
 WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}")
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+ADDRESS = re.compile(rf"(?<![0-9A-Za-z.:]){_OCTET}(?:\.{_OCTET}){{3}}(?![0-9A-Za-z:]|\.[0-9])")
 WEAK_ENDPOINT = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\s\"'<>]+|(?<![A-Za-z0-9.-])(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z0-9-]{1,63}:[0-9]{2,5}(?![0-9]))", re.A)
 
 _HINTS = ("passw", "secret", "token", "api")
-_ID_HINTS = ("user", "login", "account", "client", "key", "tenant")
 _HEX_BYTE = np.zeros(256, bool)
 _HEX_BYTE[list(b"0123456789abcdef")] = True
 _LONG_BYTE = np.zeros(256, bool)
@@ -89,7 +94,11 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
         k = int(np.searchsorted(taken[:, 0], e)) - 1
         return k < 0 or reach[k] <= s
 
-    weak = {"link_id": [m.span(1) for m in WEAK_ID.finditer(text)], "link_secret": [m.span() for m in WEAK_SECRET.finditer(text) if _random_looking(m.group())], "link_endpoint": [m.span() for m in WEAK_ENDPOINT.finditer(text)]}
+    weak = {
+        "link_id": {m.span(1) for m in WEAK_ID.finditer(text)} | {m.span() for m in MAIL.finditer(text)},
+        "link_secret": {m.span() for m in WEAK_SECRET.finditer(text) if _random_looking(m.group())},
+        "link_endpoint": {m.span() for m in WEAK_ENDPOINT.finditer(text)} | {m.span() for m in ADDRESS.finditer(text)},
+    }
     weak = {k: [x for x in v if free(*x)] for k, v in weak.items()}
     if not any(weak.values()):
         return []
@@ -99,21 +108,36 @@ def linked_spans(text: str, base: list[tuple[int, int, str]], scope: int = SCOPE
         "secret": weak["link_secret"] + [(s, e) for s, e, k in base if k != "access"],
         "endpoint": weak["link_endpoint"],
     }
+    needs = {"link_id": ("secret",), "link_endpoint": ("secret",), "link_secret": ("id", "endpoint")}
+    out = []
+    for kind, spans in weak.items():
+        if spans:
+            own = np.array(spans, np.int64)
+            hit = np.zeros(len(own), bool)
+            for p in needs[kind]:
+                hit |= near(own, np.array(parts[p], np.int64).reshape(-1, 2), blanks, scope)
+            out += [(int(s), int(e), kind) for s, e in own[hit]]
+    return out
 
-    def near(a: tuple[int, int], others: list[tuple[int, int]], order: np.ndarray) -> bool:
-        """Interval join: another part, disjoint, within the scope on either side."""
-        lo, hi = np.searchsorted(order, [a[0] - scope - longest, a[1] + scope + 1])
-        for s, e in others[lo:hi]:
-            gap = max(a[0] - e, s - a[1])
-            if 0 <= gap <= scope and np.searchsorted(blanks, min(a[0], s)) == np.searchsorted(blanks, max(a[0], s)):
-                return True
-        return False
 
-    parts = {k: sorted(v) for k, v in parts.items()}
-    longest = max((e - s for v in parts.values() for s, e in v), default=0)
-    begins = {k: np.array([s for s, _ in v], np.int64) for k, v in parts.items()}
-    needs = {"link_id": ("secret",), "link_endpoint": ("secret",), "link_secret": ("id", "endpoint")}
-    return [(*x, kind) for kind, spans in weak.items() for x in spans if any(near(x, parts[p], begins[p]) for p in needs[kind])]
+def near(own: np.ndarray, others: np.ndarray, blanks: np.ndarray, scope: int) -> np.ndarray:
+    """Interval join: which of ``own`` has another span, disjoint, within the scope on either side.
+
+    Of the spans that end before one begins, that of the last end is the nearest,
+    and no blank line can part it from the one and not those before it; the same
+    holds on the other side. So two binary searches decide each span.
+    """
+    if not len(own) or not len(others):
+        return np.zeros(len(own), bool)
+    block = lambda x: np.searchsorted(blanks, x)
+    by_end = others[np.argsort(others[:, 1], kind="stable")]
+    k = np.searchsorted(by_end[:, 1], own[:, 0], side="right") - 1
+    before = by_end[np.maximum(k, 0)]
+    hit = (k >= 0) & (own[:, 0] - before[:, 1] <= scope) & (block(before[:, 1]) == block(own[:, 0]))
+    starts = np.sort(others[:, 0])
+    k = np.searchsorted(starts, own[:, 1])
+    after = starts[np.minimum(k, len(starts) - 1)]
+    return hit | ((k < len(starts)) & (after - own[:, 1] <= scope) & (block(own[:, 1]) == block(after)))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
