@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, suffix_dedup, toxicity
+from . import decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
 from .tables import load
 
 
@@ -37,7 +37,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _digest(repeats.dedup(load(spark, sf_dir, "documents"), repeats.SENTENCE_SPANS), "n_sentences")
+    return _digest(sentences.dedup(load(spark, sf_dir, "documents").select("doc_id", "text")), "n_sentences")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +45,8 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+    rows = suffix_dedup.dedup(load(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

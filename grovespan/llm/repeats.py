@@ -1,25 +1,20 @@
-"""Repeated runs: three-line windows (line dedup) and sentence spans (substring dedup).
+"""Line dedup: overlapping three-line windows.
 
-Line dedup: a document is split at line feeds; every window of three consecutive
-lines is hashed; a window found more than once keeps its first occurrence (least
-doc_id, then least position) and the later ones are removed: the lines that they
-cover, merged, go. A document of fewer than three lines has no window and stays.
-
-Substring dedup does the same with runs of two consecutive sentences, however
-short, and with single sentences of over ``ALONE_WORDS`` words, so that every
-repeated sequence of whole sentences of over 50 words is covered. A sentence ends
-with ``.``, ``!`` or ``?`` and a space, or with line feeds; blanks behind it
-belong to it and are not compared.
+A document is split at line feeds; every window of three consecutive lines is
+hashed; a window found more than once keeps its first occurrence (least doc_id,
+then least position) and the later ones are removed: the lines that they cover,
+merged, go. A document of fewer than three lines has no window and stays.
 
 DataFrame functions only. Windows shuffle as 128-bit hashes with doc_id and
 position, never with text: a window that a third of all documents share becomes
 one row per task before the shuffle that counts it, and the join that finds the
 occurrences of repeated hashes is one whose hot keys Spark can split. Only the
-positions covered in one document meet in one row.
+positions covered in one document meet in one row. Equal windows in a row are one
+row with an interval, so a document of one line again and again is small.
 
 Null text counts as empty and is returned as null; empty lines are lines.
 Repeated rows (same doc_id and text) are one document for the order of
-occurrences and keep or lose the same pieces; rows of equal doc_id and other
+occurrences and keep or lose the same lines; rows of equal doc_id and other
 text are told apart by a hash of the text. Null doc_id comes first. An empty
 table gives an empty result. Extra columns stay, except names that begin with
 ``_gs_``.
@@ -33,41 +28,20 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Least characters of a two-sentence run: none, as passages of short sentences repeat too.
-SPAN_CHARS = 0
-#: A sentence of more words than this is a run of its own.
-ALONE_WORDS = 50
-
-
 @dataclass(frozen=True)
 class Pieces:
-    """How a text is cut, how many pieces make a run, what joins the pieces that are left, and of how many words a piece is more when it is a run alone."""
+    """How a text is cut, how many pieces make a run, and what joins the pieces that are left."""
 
     cut: Callable[[Column], Column]
     run: int
     glue: str
-    compared: Callable[[Column], Column]
-    alone_words: int | None = None
 
 
-LINE_WINDOWS = Pieces(lambda t: F.split(t, "\n", -1), 3, "\n", lambda x: x)
-SENTENCE_SPANS = Pieces(
-    lambda t: F.filter(F.split(t, r"(?<=[.!?]\x20)(?=[^\x20])|(?<=\n)(?=[^\n])", -1), lambda x: x != ""),
-    2, "", lambda x: F.rtrim(x, F.lit(" \n\r\t")), ALONE_WORDS,
-)
+LINE_WINDOWS = Pieces(lambda t: F.split(t, "\n", -1), 3, "\n")
 
 
 def _runs(text: Column, how: Pieces) -> Column:
-    """The runs of the text as struct(a, b, i, z): a 128-bit hash and the first and last piece, from 1. Equal runs one piece after the other are one struct."""
-
-    def piece(x: Column) -> Column:
-        x = how.compared(x)
-        parts = [F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b")]
-        if how.alone_words is not None:
-            # So many words have at least so many characters; few sentences are cut into words.
-            words = F.size(F.filter(F.split(x, r"[\x20\t-\r]+"), lambda w: w != ""))
-            parts.append(F.when(F.length(x) > 2 * how.alone_words, words > how.alone_words).otherwise(F.lit(False)).alias("alone"))
-        return F.struct(*parts)
+    """The runs of the text as struct(a, b, i, z, again): a 128-bit hash, the first and last piece, from 1, and whether it stands for more than one. Equal runs one piece after the other are one struct."""
 
     def at(all_: Column, i: Column) -> Column:
         parts = [F.get(all_, i + d) for d in range(how.run)]
@@ -75,33 +49,32 @@ def _runs(text: Column, how: Pieces) -> Column:
 
     def merged(all_: Column) -> Column:
         starts = F.filter(all_, lambda x, i: (i == 0) | (F.get(all_, i - 1)["a"] != x["a"]) | (F.get(all_, i - 1)["b"] != x["b"]))
-        ends = lambda s: F.transform(s, lambda x, k: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["i"].alias("i"), (F.coalesce(F.get(s, k + 1)["i"], F.size(all_) + 1) + (how.run - 2)).alias("z")))
+        after = lambda s, k: F.coalesce(F.get(s, k + 1)["i"], F.size(all_) + 1)
+        ends = lambda s: F.transform(s, lambda x, k: F.struct(x["a"].alias("a"), x["b"].alias("b"), x["i"].alias("i"), (after(s, k) + (how.run - 2)).alias("z"), (after(s, k) - x["i"] > 1).alias("again")))
         return F.get(F.transform(F.array(starts), ends), F.lit(0))
 
     def runs(e: Column) -> Column:
         found = F.when(F.size(e) >= how.run, F.transform(F.sequence(F.lit(0), F.size(e) - how.run), lambda i: at(e, i)))
-        found = F.get(F.transform(F.array(found), merged), F.lit(0))
-        if how.alone_words is None:
-            return found
-        single = F.filter(F.transform(e, lambda x, i: F.struct(x["a"].alias("a"), x["b"].alias("b"), F.when(x["alone"], i + 1).alias("i"), (i + 1).alias("z"))), lambda x: x["i"].isNotNull())
-        return F.concat(F.coalesce(found, F.array().cast("array<struct<a:bigint,b:bigint,i:int,z:int>>")), single)
+        return F.get(F.transform(F.array(found), merged), F.lit(0))
 
-    each = F.transform(how.cut(F.coalesce(text, F.lit(""))), piece)
+    each = F.transform(how.cut(F.coalesce(text, F.lit(""))), lambda x: F.struct(F.xxhash64(F.lit(1), x).alias("a"), F.xxhash64(F.lit(2), x).alias("b")))
     return F.get(F.transform(F.array(each), runs), F.lit(0))
 
 
+def later(rows: DataFrame) -> DataFrame:
+    """_gs_id, _gs_text, spans: the pieces i to z that later occurrences cover, of ``rows(_gs_id, _gs_text, a, b, i, z, again)``."""
+    at = F.struct("_gs_id", "_gs_text", "i")
+    first = rows.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max("again").alias("twice")).where("first <> last or twice").select("a", "b", "first")
+    # The first of all occurrences stays; those that follow it in its row do not.
+    found = rows.join(first, ["a", "b"]).where((at != F.col("first")) | F.col("again")).select("_gs_id", "_gs_text", F.when(at == F.col("first"), F.col("i") + 1).otherwise(F.col("i")).alias("i"), "z")
+    return found.groupBy("_gs_id", "_gs_text").agg(F.collect_set(F.struct("i", "z")).alias("spans"))
+
+
 def covered(docs: DataFrame, how: Pieces) -> DataFrame:
     """_gs_id, _gs_text, _gs_cover: the sorted positions (from 1) of the pieces that later occurrences cover, where there are any."""
     rows = docs.select(F.col("doc_id").alias("_gs_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_gs_text"), F.explode(_runs(F.col("text"), how)).alias("w"))
-    rows = rows.select("_gs_id", "_gs_text", "w.a", "w.b", "w.i", "w.z")
-    at = F.struct("_gs_id", "_gs_text", "i")
-    again = F.col("z") - F.col("i") >= how.run  # more than one occurrence
-    first = rows.groupBy("a", "b").agg(F.min(at).alias("first"), F.max(at).alias("last"), F.max(again).alias("again")).where("first <> last or again").select("a", "b", "first")
-    # The first of all occurrences stays; those that follow it in its row do not.
-    later = rows.join(first, ["a", "b"]).where((at != F.col("first")) | again).select("_gs_id", "_gs_text", F.when(at == F.col("first"), F.col("i") + 1).otherwise(F.col("i")).alias("i"), "z")
-    spans = later.groupBy("_gs_id", "_gs_text").agg(F.collect_set(F.struct("i", "z")).alias("spans"))
     cover = F.array_sort(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["i"], s["z"])))))
-    return spans.select("_gs_id", "_gs_text", cover.alias("_gs_cover"))
+    return later(rows.select("_gs_id", "_gs_text", "w.*")).select("_gs_id", "_gs_text", cover.alias("_gs_cover"))
 
 
 def dedup(docs: DataFrame, how: Pieces) -> DataFrame:

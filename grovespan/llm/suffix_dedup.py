@@ -17,11 +17,17 @@ covered bytes are cut out.
    parts equal to others, are settled by hashes; of the rest, induced sorting
    gives the suffix array, and permuted common prefixes of ``LENGTH`` or more mark
    the strings that start at two places.
+   The names of a shard's leftmost-smaller substrings are not sorted by another
+   induction (their alphabet grows with the shard) but by doubling in the groups
+   that are still tied.
    A gram of over ``HOT`` contexts would make a shard that grows with the
    input; its windows are instead counted one by one as 128-bit hashes, with
-   partial counts in each batch and before the shuffle, which gives the same rows.
+   partial counts before the shuffle, which gives the same rows.
 4. The spans of a document meet by its id and are merged.
 
+Joins by a gram, a context or a window read exchanges on both sides, so that Spark
+can split a hot one. Some bounded counts run when the query is built.
+
 All shuffles but the last carry hashes and positions. Texts are shuffled only for
 documents with contexts to sort or spans to cut; their ids are broadcast to
 pick them while they are at most ``BROADCAST_IDS``, beyond that joined.
@@ -35,8 +41,6 @@ extra columns may have any name.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -294,16 +298,23 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), rows["did"].take(which), rows["th"].take(which), pa.array(rows["begin"].to_numpy()[owner] + at), rows["n"].take(which)], ["w1", "w2", "did", "th", "begin", "n"])
 
 
+def _own_exchange(rows: DataFrame, *by: str) -> DataFrame:
+    """The aggregated ``rows`` dealt anew, so that a join by their key reads an exchange on either side and Spark can split its hot keys."""
+    return rows.repartition(*[F.xxhash64(c, F.lit(1)) for c in by])
+
+
 def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """did, th, begin, end: covered bytes of each document, in spans that may overlap."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     every = saved(_anchors(docs))
     again = every.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram")
-    found = saved(every.join(again, "gram"))  # grams found once are settled
+    found = saved(every.join(_own_exchange(again, "gram"), "gram"))  # grams found once are settled
     dropped(every)
     place = F.struct("gram", F.col("doc_id").alias("did"), "th", "pos", "before", "after")
-    context = found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("c1", "c2", "n", "p.*")
-    open_ = saved(context.join(context.groupBy("gram").agg(F.count("*").alias("kinds")), "gram"))
+    context = saved(found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min(place).alias("p")).select("c1", "c2", "n", "p.*"))
+    kinds = context.groupBy("gram").agg(F.count("*").alias("kinds"))
+    open_ = saved(context.join(_own_exchange(kinds, "gram"), "gram"))
+    dropped(context)
     twice = open_.where("n > 1").select("c1", "c2")
     whole = found.join(twice, ["c1", "c2"]).select(F.col("doc_id").alias("did"), "th", (F.col("pos") - F.col("before")).cast("bigint").alias("begin"), (F.col("pos") + F.col("after")).cast("bigint").alias("end")).where(f"end - begin >= {LENGTH}")
     several = open_.where("kinds > 1")
@@ -321,12 +332,12 @@ def spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
         w = saved(cut.where(F.col("kinds") > hot).select("did", "th", "n", "begin", "context").mapInArrow(_windows, f"w1 bigint, w2 bigint, did {id_type}, th bigint, begin bigint, n bigint"))
         at = F.struct("did", "th", "begin")
         many = w.groupBy("w1", "w2").agg(F.min(at).alias("a"), F.max(at).alias("z")).where("a <> z").select("w1", "w2")
-        out = out.unionByName(w.join(many, ["w1", "w2"]).where("n = 1").select("did", "th", "begin", (F.col("begin") + LENGTH).alias("end")))
+        out = out.unionByName(w.join(_own_exchange(many, "w1"), ["w1", "w2"]).where("n = 1").select("did", "th", "begin", (F.col("begin") + LENGTH).alias("end")))
     return out
 
 
 def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans (long), kept (binary, null where all is kept), kept_sha256 of every row."""
+    """doc_id, n_bytes, n_removed, n_spans (long) and kept (binary, the bytes that are left) of every row."""
     merged = saved(spans(docs, hot).groupBy("did", "th").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans")).withColumnRenamed("th", "mth"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
@@ -345,9 +356,9 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                     at = end
                 kept.append(raw[at:])
                 left = b"".join(kept)
-                for c, v in zip(cols, (len(raw), len(raw) - len(left), runs, hashlib.sha256(left).hexdigest())):
+                for c, v in zip(cols, (len(raw), len(raw) - len(left), runs, left)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     few = merged.select("did").distinct()
     if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
@@ -356,8 +367,8 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     else:
         touched, rest = rows, None
     both = touched.join(merged, F.col("doc_id").eqNullSafe(F.col("did")) & (F.col("th") == F.col("mth")), "left").select("doc_id", "text", "spans")
-    out = both.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    out = both.mapInArrow(run, f"doc_id {id_type}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
     if rest is not None:
         none = F.lit(0).cast("bigint")
-        out = out.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")))
+        out = out.unionByName(rest.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept")))
     return out
