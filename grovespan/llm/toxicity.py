@@ -13,8 +13,10 @@ as the non-negative estimator asks. Weights carry an L2 penalty.
 Labels are read only from the training folds (crc32 of the id as text, modulo 4,
 is not 2), and only toxic = 1 rows act as labels of texts; the prior is the share
 of toxic rows among the training folds' labelled rows. The training sample is
-bounded: at most ``POSITIVES`` toxic rows and about ``UNLABELLED`` texts, both by
-hash of the id; one task trains on it, not the driver. Everything else, the scores
+bounded: at most ``POSITIVES`` toxic rows by hash of the id and about ``UNLABELLED``
+texts, those whose 64-bit hash of id and text is under a threshold, repeated rows
+once; one task trains on it, not the driver. A sample without a text, where there
+are texts, is an error. Everything else, the scores
 included, covers all rows. The model
 is ``FEATURES`` hashes and weights, a fixed bound, and is broadcast.
 
@@ -107,6 +109,19 @@ def _features(docs: DataFrame) -> DataFrame:
     return docs.select("_gs_pos", "text").mapInArrow(run, "_gs_pos boolean, f binary, b binary")
 
 
+def risk_gradient(g: np.ndarray, n_p: int, prior: float) -> np.ndarray:
+    """The direction by margin ``g`` (positives first): that of the risk, or against the bracket's where it is negative."""
+    n_u = len(g) - n_p
+    p = 1 / (1 + np.exp(-np.clip(g, -60, 60)))
+    d = np.empty(len(g))
+    # Gradients of l(g) = log(1 + e^-g): -(1 - p); of l(-g): p. Both positive terms together are linear.
+    if np.logaddexp(0, g[n_p:]).mean() - prior * np.logaddexp(0, g[:n_p]).mean() < 0:
+        d[:n_p], d[n_p:] = prior * p[:n_p] / n_p, -p[n_p:] / n_u
+    else:
+        d[:n_p], d[n_p:] = -prior / n_p, p[n_p:] / n_u
+    return d
+
+
 def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np.ndarray, np.ndarray]], prior: float) -> Model:
     """Train from each text's distinct feature hashes and their levels as bits."""
     if not positive or not unlabelled:
@@ -144,17 +159,8 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     row, col = row[keep], number[code][keep]
     w, bias = np.zeros(len(best)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -60, 60)))
     for t in range(1, STEPS + 1):
-        g = bias + np.bincount(row, w[col], minlength=n_p + n_u)
-        p = sigmoid(g)
-        # Gradients of l(g) = log(1 + e^-g): -(1 - p); of l(-g): p.
-        below = np.logaddexp(0, g[n_p:]).mean() - prior * np.logaddexp(0, g[:n_p]).mean() < 0
-        d = np.empty(n_p + n_u)
-        if below:
-            d[:n_p], d[n_p:] = prior * p[:n_p] / n_p, -p[n_p:] / n_u
-        else:
-            d[:n_p], d[n_p:] = -prior / n_p, p[n_p:] / n_u
+        d = risk_gradient(bias + np.bincount(row, w[col], minlength=n_p + n_u), n_p, prior)
         gw, gb = np.bincount(col, d[row], minlength=len(w)) + DECAY * w, d.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
         fix = np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
@@ -166,6 +172,12 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     return Model(keys[used], weights, float(bias))
 
 
+def drawn(total: int):
+    """Which of ``total`` rows are in the unlabelled sample: ``UNLABELLED`` of them are expected, however many there are."""
+    top = 2**64 * min(1.0, UNLABELLED / max(1, total))
+    return F.xxhash64("doc_id", "text", F.lit(13)) <= F.lit(min(2**63 - 1, int(top) - 2**63))
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold("doc_id") != HELD_OUT))
     own = own.groupBy(F.col("doc_id").alias("_gs_id")).agg(F.max(F.col("toxic").cast("int")).alias("_gs_toxic"))
@@ -175,10 +187,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     prior = min(max(count["p"] / count["n"], 0.01), 0.9)
     chosen = own.where("_gs_toxic = 1").orderBy(F.xxhash64("_gs_id", F.lit(11)), "_gs_id").limit(POSITIVES).select("_gs_id", F.lit(True).alias("_gs_pos"))
     rows = docs.select("doc_id", "text").where(F.coalesce(fold("doc_id") != HELD_OUT, F.lit(True)))
-    share = min(1.0, UNLABELLED / max(1, rows.count()))
+    total = rows.count()
     positive = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_gs_id")).select("_gs_pos", "text")
-    some = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.lit(False).alias("_gs_pos"), "text")
+    some = rows.where(drawn(total)).dropDuplicates(["doc_id", "text"]).select(F.lit(False).alias("_gs_pos"), "text")
     found = saved(_features(positive.unionByName(some)))
+    if total and found.where("not _gs_pos").isEmpty():
+        raise RuntimeError(f"no unlabelled text was drawn from {total} rows")
 
     def learn(batches):
         """One task holds the bounded sample, in an order of its own, and returns the model."""
