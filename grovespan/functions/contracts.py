@@ -126,8 +126,9 @@ def power_inputs() -> Checks:
 
 
 def rebuild_interval() -> Checks:
-    """Null exactly if periodic rebuilding is off."""
-    return {"interval": F.col("periodic_rebuild_enabled") == F.col("periodic_rebuild_interval").isNotNull()}
+    """Null if periodic rebuilding is off, else positive."""
+    own = F.col("periodic_rebuild_interval")
+    return {"interval": F.when(F.col("periodic_rebuild_enabled"), own > 0).otherwise(own.isNull())}
 
 
 def stage_boundary() -> Checks:
@@ -139,6 +140,72 @@ def stage_boundary() -> Checks:
     }
 
 
+OUTCOMES = ("accepted_materialized", "successful_nonmaterialized", "failed_provider", "failed_parse", "failed_validation", "cancelled_before_start", "cancelled_after_start")
+STAGES = ("leaf", "merge", "answer", "judge")
+USAGE_SOURCES = ("provider_exact", "provider_estimated", "missing")
+PLACEHOLDERS = ("", "none", "unknown")
+
+
+def attempt() -> Checks:
+    """A model-call attempt: identity by outcome, usage by its source, times in order."""
+    names = ("attempt_id", "run_id", "logical_call_id", "requested_model", "provider", "provider_route", "prompt_hash", "tokenizer_snapshot", "serialization_version", "usage_schema_version", "parse_status", "status")
+    outcome, source = F.col("attempt_outcome"), F.col("provider_usage_source")
+    total, cached, output, reasoning = (F.col(f"provider_{n}") for n in ("input_tokens_total", "cached_input_tokens_subset", "output_tokens_total", "reasoning_tokens_subset"))
+    named = outcome.isin("accepted_materialized", "successful_nonmaterialized", "failed_parse")
+    identity = lambda c: F.when(F.col(c).isNull(), ~named).otherwise(~F.lower(F.trim(c)).isin(*PLACEHOLDERS))
+    lost, early = source == "missing", outcome == "cancelled_before_start"
+    scheduled, started, finished = F.col("scheduled_at"), F.col("started_at"), F.col("finished_at")
+    return all_filled(*names) | {
+        "response_hash": F.col("response_hash").isNull() | filled("response_hash"),
+        "stage_known": F.col("stage").isin(*STAGES), "outcome_known": outcome.isin(*OUTCOMES),
+        "returned_model": identity("returned_model"), "request_id": identity("request_id"),
+        "retry_index": F.col("retry_index") >= 0, "surrogate_tokens": (F.col("local_surrogate_serialized_input_tokens") >= 0) & (F.col("local_surrogate_output_content_tokens") >= 0),
+        "usage_source_known": source.isin(*USAGE_SOURCES),
+        "missing_usage_is_null": ~lost | F.coalesce(total, cached, output, reasoning).isNull(),
+        "usage_given": lost | ((total >= 0) & (cached >= 0) & (output >= 0) & F.coalesce(reasoning >= 0, F.lit(True))),
+        "cached_in_input": lost | (cached <= total), "reasoning_in_output": lost | reasoning.isNull() | (reasoning <= output),
+        "accepted_flag": F.col("accepted_attempt") == (outcome == "accepted_materialized"),
+        "times": F.when(early, started.isNull() & finished.isNull()).otherwise((scheduled <= started) & (started <= finished)),
+        "http_status": F.col("http_status").isNull() | F.col("http_status").between(100, 599),
+    }
+
+
+PROFILES = {"offline": "offline_state_tokens", "online": "online_state_tokens"}
+
+
+def deployment_state() -> Checks:
+    return {"profile_known": F.col("profile").isin(*PROFILES), "tokens": F.greatest(F.lit(0), F.col("state_tokens")) == F.col("state_tokens")}
+
+
+def tokenizer_spec() -> Checks:
+    names = ("tokenizer_id", "tokenizer_revision", "serialization_version", "estimator")
+    return {f"{n}_pinned": pinned(n) for n in names} | {"margin": F.col("safety_margin") >= 0, "estimator_known": F.col("estimator") == "surrogate_regex_bytes_v1"}
+
+
+def plan_sets(primary: tuple[str, ...] = ("left_deep", "canonical_balanced"), diagnostic: tuple[str, ...] = ("left_deep", "canonical_balanced", "right_deep")) -> Checks:
+    exact = lambda c, names: F.col(c) == F.array(*[F.lit(x) for x in names])
+    return {"primary": exact("primary_plans", primary), "diagnostic": exact("diagnostic_plans", diagnostic)}
+
+
+def judge_config() -> Checks:
+    return {"temperature": F.col("temperature") == 0, "json_label": F.col("output_format") == "json_label", "model_pinned": pinned("judge_model_snapshot")}
+
+
+def endpoint_probe() -> Checks:
+    """A probe tries the direct route before the proxy, and is reachable by one at least."""
+    return {"direct_first": F.col("routes")[0] == "direct", "reached": F.col("direct_ok") | F.col("proxy_ok")}
+
+
+def chat_payload() -> Checks:
+    """A request is one user message with text, and nothing that makes it more."""
+    return {"one_message": F.size("messages") == 1, "user": F.get("messages", F.lit(0))["role"] == "user", "text": F.length(F.trim(F.get("messages", F.lit(0))["content"])) > 0, "no_tools": F.col("tools").isNull(), "temperature": F.col("temperature") == 0}
+
+
+def four_stages(boundaries: DataFrame) -> DataFrame:
+    """Runs whose timing does not have exactly the four stages, each once."""
+    return boundaries.groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("stage").isin(*STAGES), F.col("stage"))).alias("known")).where("n <> 4 or known <> 4").select("run_id", "n", "known")
+
+
 def executor_config() -> Checks:
     return {"cold": F.col("cache_mode") == "cold", "ordered": F.col("finished_at") >= F.col("started_at")}
 

@@ -63,13 +63,15 @@ def is_abstention(row_id: Column, kind: Column) -> Column:
     return F.coalesce(row_id.endswith("_abs"), F.lit(False)) | F.coalesce(kind.endswith("-abs") | kind.endswith("_abs"), F.lit(False))
 
 
+SEPARATORS = (",", ";", " and ", " then ", ". ")
+
+
 def partial_answer(text: Column) -> Column:
-    """The part before the first of ``,`` ``;`` `` and `` ``. `` that the text has, else its first half of words; null if that is not a strict part."""
-    t = F.trim(text)
-    words = F.split(t, r"(?U)\s+")
+    """The part before the first of ``SEPARATORS`` that gives one, else the first half of the words; null if that is not a strict part."""
+    words = F.filter(F.split(F.trim(text), r"(?U)\s+"), lambda w: w != "")
     half = F.array_join(F.slice(words, 1, F.greatest(F.lit(1), F.floor(F.size(words) / 2).cast("int"))), " ")
-    part = F.coalesce(*[F.when(t.contains(s), F.nullif(F.trim(F.substring_index(t, s, 1)), F.lit(""))) for s in (",", ";", " and ", ". ")], F.when(F.size(words) > 1, half))
-    return F.when(part != t, part)
+    strict = lambda x: F.when((x != "") & (x != text), x)
+    return F.coalesce(*[F.when(text.contains(s), strict(F.trim(F.substring_index(text, s, 1)))) for s in SEPARATORS], F.when(F.size(words) > 1, strict(half)))
 
 
 def canonical_hash(*fields: tuple[str, Column]) -> Column:
@@ -114,3 +116,43 @@ def context_too_long(text: Column) -> Column:
 
 def redacted(text: Column, secret: str, most: int = 500) -> Column:
     return F.substring(F.replace(text, F.lit(secret), F.lit("[REDACTED]")), 1, most)
+
+
+def leaf_cache_key(**fields: Column) -> Column:
+    """The key of a cached leaf: the hash of its eleven inputs, the evidence span as an array of two."""
+    names = {"dataset_version_or_commit", "episode_id", "k", "partition_hash", "evidence_span", "C_leaf", "leaf_prompt_hash", "constructor_model_snapshot", "decoding_config_hash", "s_leaf", "backbone_id"}
+    if set(fields) != names:
+        raise ValueError(f"a leaf's key needs {', '.join(sorted(names))}")
+    return canonical_hash(*fields.items())
+
+
+def trajectory_text(messages: Column, states: Column, content: Column, goal: Column) -> Column:
+    """Contents of the messages, else of the states' four fields, one a line; else content or goal."""
+    of_states = F.flatten(F.transform(states, lambda s: F.array_compact(F.array(*[s[f].cast("string") for f in ("thought", "accessibility_tree", "action", "url")]))))
+    return F.when(messages.isNotNull(), F.array_join(F.transform(messages, lambda m: F.coalesce(m["content"], F.lit(""))), "\n")).when(states.isNotNull(), F.array_join(of_states, "\n")).otherwise(F.coalesce(F.nullif(content, F.lit("")), F.nullif(goal, F.lit("")), F.lit("")))
+
+
+def answer_evidence(*lists: Column) -> Column:
+    """The first list that is there, else an empty one."""
+    return F.coalesce(*lists, F.array().cast("array<string>"))
+
+
+def session_text(turns: Column, time: Column) -> Column:
+    """A header with the session's time and a line ``role: content`` for each turn."""
+    return F.array_join(F.concat(F.array(F.concat(F.lit("["), time, F.lit("]"))), F.transform(turns, lambda t: F.concat(t["role"], F.lit(": "), t["content"]))), "\n")
+
+
+def duration(started: Column, finished: Column) -> Column:
+    """Seconds between two times; 0 if one is missing."""
+    return F.coalesce((F.unix_micros(finished) - F.unix_micros(started)) / 1e6, F.lit(0.0))
+
+
+def observed_identity(value: Column) -> Column:
+    """The value, or null where it is blank or a placeholder."""
+    t = F.trim(value)
+    return F.when(~F.lower(t).isin("", "none", "unknown"), t)
+
+
+def explicit_revision(value: Column) -> Column:
+    """The revision, or null where it is a rolling name."""
+    return F.when((F.length(F.trim(value)) > 0) & ~F.lower(value).isin("main", "latest", "default", "unknown"), value)

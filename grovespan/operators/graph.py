@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..sources.shared import saved
+from ..sources.shared import dropped, saved
 
-#: The split candidates, train / acceptance / formal in percent.
+#: The split candidates, development / calibration / acceptance in percent.
 SPLITS = {"20/30/50": (20, 30, 50), "15/25/60": (15, 25, 60), "10/20/70": (10, 20, 70)}
-SPLIT_NAMES = ("calibration", "acceptance", "formal")
+SPLIT_NAMES = ("development", "calibration", "acceptance")
 
 
 def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """episode_id, group_id, group_size: episodes joined by any shared (relation, value), directly or through others.
-
-    ``relations(episode_id, relation, value)``. Each round gives every value the
-    least label of its episodes and every episode the least of its values, both
-    pre-aggregated, and jumps to the label's own label, so rounds grow slowly
-    with the longest chain and a value that very many share is no large row.
+    """episode_id, group_id, group_size, relations: episodes joined by any shared (relation, value), directly or through others.
+
+    ``relations(episode_id, relation, value)``; null and empty values join nothing.
+    Each round gives every value the least label of its episodes and every episode
+    the least of its values, both pre-aggregated, and jumps to the label's own
+    label, so rounds grow slowly with the longest chain and a value that very many
+    share is no large row. ``relations`` names those of which some value joins
+    two episodes of the group, sorted. ``group_id`` is the hash of the sorted episode
+    ids; they pass one task as a sorted stream and are never gathered.
     """
-    edges = saved(relations.where("value is not null").select("episode_id", F.xxhash64("relation", "value").alias("v")).distinct())
+    edges = saved(relations.where("value <> ''").select("episode_id", "relation", F.xxhash64("relation", "value").alias("v")).distinct())
     labels = saved(relations.select("episode_id").distinct().withColumn("label", F.col("episode_id")))
     for _ in range(most_rounds):
         per_value = edges.join(labels, "episode_id").groupBy("v").agg(F.min("label").alias("label"))
@@ -30,61 +37,126 @@ def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
         moved = labels.join(least, "episode_id", "left").select("episode_id", "label", F.least("label", F.coalesce("new", "label")).alias("next"))
         jump = labels.select(F.col("episode_id").alias("next"), F.col("label").alias("further"))
         new = saved(moved.join(jump, "next").select("episode_id", F.least("next", "further").alias("label"), F.col("label").alias("was")))
-        changed = new.where("label <> was").limit(1).count()
-        labels = new.select("episode_id", "label")
+        changed = not new.where("label <> was").isEmpty()
+        dropped(labels)
+        labels = new.drop("was")
+        labels._grovespan_path = new._grovespan_path
         if not changed:
             break
     else:
         raise RuntimeError("leakage groups did not settle")
     sizes = labels.groupBy("label").agg(F.count("*").alias("group_size"))
-    name = F.concat(F.lit("lmg-"), F.substring(F.sha2(F.col("label").cast("string").cast("binary"), 256), 1, 16))
-    return labels.join(sizes, "label").select("episode_id", name.alias("group_id"), "group_size")
+    shared = edges.groupBy("relation", "v").agg(F.count("*").alias("n"), F.min("episode_id").alias("episode_id")).where("n > 1")
+    kinds = shared.join(labels, "episode_id").groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
+    names = labels.select(F.col("label").cast("string").alias("label"), F.col("episode_id").cast("string").alias("e")).repartition("label").sortWithinPartitions("label", "e").mapInArrow(_named, "l string, group_id string")
+    out = labels.join(sizes, "label").join(kinds, "label", "left").join(names, F.col("label").cast("string") == F.col("l"))
+    return out.select("episode_id", "group_id", "group_size", F.coalesce("relations", F.lit("")).alias("relations"))
+
+
+def _named(batches):
+    """label, e, sorted: the label and the name of each group, from a running hash."""
+    last, running = None, None
+    done: tuple[list, list] = ([], [])
+
+    def close():
+        running.update(b"]}")
+        done[0].append(last)
+        done[1].append("lmg-" + running.hexdigest()[:16])
+
+    for batch in batches:
+        for label, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if label != last:
+                if running is not None:
+                    close()
+                last, running = label, hashlib.sha256(b'{"episode_ids":[')
+            else:
+                running.update(b",")
+            running.update(json.dumps(e).encode())
+        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.string())], ["l", "group_id"])
+        done[0].clear()
+        done[1].clear()
+    if running is not None:
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.string())], ["l", "group_id"])
+
+
+def stable_hash(**fields) -> str:
+    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 def assign_splits(groups: DataFrame, candidate: str) -> DataFrame:
-    """group_id, split of ``groups(group_id, stratum, n)``: whole groups dealt greedily, largest first.
-
-    Each group goes to the split whose targets it fills best: the decrease of
-    sum |target - assigned| over the strata relative to the stratum's total, ties by
-    hash of group and split. The rule is sequential over groups, so one task
-    holds the group table (groups and strata only, no episodes).
+    """group_id, split of ``groups(group_id, question_type, primary, expanded)``: whole groups dealt greedily, most primary episodes first.
+
+    ``primary`` and ``expanded`` count a group's episodes of a type. A group goes to
+    the split whose targets it fills best: the sum over primary episodes, all
+    episodes and primary episodes of each of its types of the decrease of
+    |target - assigned|, relative to the total; ties go to the larger hash. The
+    rule is sequential over groups, so one task holds the group table (at most
+    ``most`` rows, which is checked; groups and types only, no episodes).
     """
     shares = [x / 100 for x in SPLITS[candidate]]
 
     def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        total = rows.groupby("stratum")["n"].sum().to_dict()
-        have: dict[tuple[int, str], float] = {}
-        size = rows.groupby("group_id")["n"].sum()
-        own = {g: list(zip(x["stratum"], x["n"])) for g, x in rows.groupby("group_id")}
+        if len(rows) > MOST_GROUPS:
+            raise ValueError(f"more than {MOST_GROUPS} groups and types")
+        by_type = rows.groupby("question_type")["primary"].sum().to_dict()
+        total = {"primary": int(rows["primary"].sum()), "expanded": int(rows["expanded"].sum())}
+        have: dict[tuple, float] = {}
+        own: dict[str, list] = {}
+        for g, t, p, e in zip(rows["group_id"], rows["question_type"], rows["primary"], rows["expanded"]):
+            own.setdefault(g, []).append((t, int(p), int(e)))
+        size = {g: sum(p for _, p, _ in x) for g, x in own.items()}
         out = []
-        for g in sorted(size.index, key=lambda g: (-size[g], g)):
-            gain = []
-            for k, share in enumerate(shares):
+        for g in sorted(own, key=lambda g: (-size[g], stable_hash(candidate_id=candidate, group_id=g))):
+            parts = [("primary", total["primary"], size[g]), ("expanded", total["expanded"], sum(e for _, _, e in own[g]))]
+            parts += [(("type", t), by_type[t], p) for t, p, _ in own[g]]
+            best = None
+            for name, share in zip(SPLIT_NAMES, shares):
                 score = 0.0
-                for s, n in own[g]:
-                    gap = share * total[s] - have.get((k, s), 0.0)
-                    score += (abs(gap) - abs(gap - n)) / total[s]
-                gain.append((-round(score, 12), pd.util.hash_array(pd.array([f"{g}:{k}"], dtype=object).to_numpy())[0], k))
-            k = min(gain)[2]
-            for s, n in own[g]:
-                have[(k, s)] = have.get((k, s), 0.0) + n
-            out.append((g, SPLIT_NAMES[k]))
+                for key, whole, n in parts:
+                    if whole > 0 and n > 0:
+                        gap = share * whole - have.get((name, key), 0.0)
+                        score += (abs(gap) - abs(gap - n)) / whole
+                rank = (score, stable_hash(candidate_id=candidate, group_id=g, split=name), name)
+                best = rank if best is None or rank > best else best
+            for key, _, n in parts:
+                have[best[2], key] = have.get((best[2], key), 0.0) + n
+            out.append((g, best[2]))
         return pd.DataFrame(out, columns=["group_id", "split"])
 
     return groups.groupBy(F.lit(candidate).alias("candidate")).applyInPandas(lambda _, rows: deal(rows), "group_id string, split string")
 
 
+#: Rows of groups by type that one task may hold: some 2 GB.
+MOST_GROUPS = 10_000_000
+
+
 def quota_sample(rows: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:
-    """Per category the first rows by hash; an episode is taken once, by the categories in the order of ``quotas``."""
-    left = rows.withColumn("pick", F.sha2(F.concat_ws(":", F.lit(seed), F.col("category"), F.col("episode_id").cast("string")).cast("binary"), 256))
-    out = None
-    for category, quota in quotas.items():
-        own = left.where(F.col("category") == category)
-        if out is not None:
-            own = own.join(out.select("episode_id"), "episode_id", "left_anti")
-        own = own.orderBy("pick", "episode_id").limit(quota)
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Per category the first rows by hash; an episode is taken once, by the categories in the order of ``quotas``.
+
+    A category loses at most as many of its first rows as the ones before it take,
+    so its first ``quota`` and that many rows suffice: a number that the quotas
+    bound, which one task deals out in order.
+    """
+    pick = F.sha2(F.concat_ws(":", F.lit(seed), F.col("category"), F.col("episode_id").cast("string")).cast("binary"), 256)
+    names, upto, total = list(quotas), {}, 0
+    for name, quota in quotas.items():
+        total += quota
+        upto[name] = total
+    most = F.coalesce(*[F.when(F.col("category") == n, F.lit(upto[n])) for n in names])
+    first = F.row_number().over(Window.partitionBy("category").orderBy("pick", "episode_id"))
+    some = rows.where(F.col("category").isin(names)).withColumn("pick", pick).withColumn("most", most).withColumn("n", first).where("n <= most").drop("most")
+
+    def deal(own: pd.DataFrame) -> pd.DataFrame:
+        taken, out = set(), []
+        for name in names:
+            mine = own[own["category"] == name].sort_values("n")
+            mine = mine[~mine["episode_id"].isin(taken)].drop_duplicates("episode_id").head(quotas[name])
+            taken |= set(mine["episode_id"])
+            out.append(mine)
+        return pd.concat(out).drop(columns=["n"])
+
+    return some.groupBy().applyInPandas(deal, some.drop("n").schema)
 
 
 def exclusion_reason(rows: DataFrame) -> DataFrame:
@@ -98,6 +170,29 @@ def exclusion_reason(rows: DataFrame) -> DataFrame:
     return rows.withColumn("reason", F.coalesce(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in order if c in rows.columns]))
 
 
+def exclusion_reason_v2(rows: DataFrame) -> DataFrame:
+    """The same for trajectory questions: answer evidence outside the episode overrides all, then abstention, a missing trajectory, fewer than four, an unrecoverable query."""
+    order = ("answer_evidence_not_in_episode", "abstention", "missing_trajectory", "fewer_than_four", "unrecoverable_query")
+    return rows.withColumn("reason", F.coalesce(*[F.when(F.coalesce(F.col(c), F.lit(False)), F.lit(c)) for c in order]))
+
+
+def question_counts(rows: DataFrame) -> DataFrame:
+    """question_type, questions, abstentions, eligible of ``rows(question_id, question_type)``."""
+    silent = text.is_abstention(F.col("question_id"), F.col("question_type"))
+    return rows.groupBy("question_type").agg(F.count("*").alias("questions"), F.count_if(silent).alias("abstentions"), F.count_if(~silent).alias("eligible"))
+
+
+def context_questions(rows: DataFrame) -> DataFrame:
+    """context_id, questions: the sum of question counts, of which a missing one is 1."""
+    return rows.groupBy("context_id").agg(F.sum(F.coalesce("question_count", F.lit(1))).cast("bigint").alias("questions"))
+
+
+def construction_units(rows: DataFrame, dataset: str, exact: int = 10, least: int = 50) -> DataFrame:
+    """dataset, units, ten_units (whether there are exactly ``exact``) and the decision whether ``least`` or more replicate."""
+    n = rows.groupBy(dataset).agg(F.count("*").alias("units"))
+    return n.withColumn("ten_units", F.col("units") == exact).withColumn("decision", F.when(F.col("units") >= least, "replicate").otherwise("descriptive_only"))
+
+
 def layout(supports: DataFrame) -> DataFrame:
     """episode_id, support_class, position_bin of ``supports(episode_id, position, leaf, n)``.
 
@@ -125,12 +220,21 @@ def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def near_text_pairs(rows: DataFrame, least: float) -> DataFrame:
-    """a, b, likeness of items whose normalised words overlap by ``least`` or more, for small review sets."""
-    words = rows.select("item", F.array_distinct(F.split(text.normalized_answer(F.col("text")), " ")).alias("w"))
-    inverted = words.select("item", F.size("w").alias("n"), F.explode("w").alias("t"))
-    common = inverted.alias("a").join(inverted.alias("b"), "t").where("a.item < b.item").groupBy(F.col("a.item").alias("a"), F.col("b.item").alias("b"), F.col("a.n").alias("na"), F.col("b.n").alias("nb")).agg(F.count("*").alias("c"))
-    score = F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))
-    return common.select("a", "b", score.alias("likeness")).where(F.col("likeness") >= least)
+    """a, b, likeness of items whose sets of normalised words have a Jaccard likeness of ``least`` or more.
+
+    Prefix filtering: of two such sets, the first |x| - ceil(least |x|) + 1 words by
+    rarity share one, so items meet by their rare words only and a common word
+    joins nothing but sets that are small.
+    """
+    words = rows.select("item", F.explode(F.array_distinct(F.split(text.normalized_answer(F.col("text")), " "))).alias("t"))
+    often = words.groupBy("t").agg(F.count("*").alias("f"))
+    ranked = words.join(often, "t").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("w"))
+    ranked = saved(ranked.select("item", F.transform("w", lambda x: x["t"]).alias("w"), F.size("w").alias("n")))
+    front = ranked.select("item", "n", F.explode(F.slice("w", 1, (F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).cast("int"))).alias("t"))
+    met = front.alias("a").join(front.alias("b"), "t").where("a.item < b.item and least(a.n, b.n) >= " + repr(least) + " * greatest(a.n, b.n)").select(F.col("a.item").alias("a"), F.col("b.item").alias("b")).distinct()
+    both = met.join(ranked.select(F.col("item").alias("a"), F.col("w").alias("wa")), "a").join(ranked.select(F.col("item").alias("b"), F.col("w").alias("wb")), "b")
+    same = F.size(F.array_intersect("wa", "wb"))
+    return both.select("a", "b", (same / (F.size("wa") + F.size("wb") - same)).alias("likeness")).where(F.col("likeness") >= least)
 
 
 def first_per_group(rows: DataFrame, key: str, *order: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Ordered folds: token-balanced partition, greedy packing, ranking and rendering.
 
-Each fold runs over one entity's array (an episode's evidence), so the data is
-shuffled once by entity and the fold itself is an expression.
+Each fold reads one entity's rows (an episode's evidence, a query's ranking) in
+order from a stream that is shuffled once by entity and sorted, and keeps what the
+fold needs: the counts of one episode, or the state of one packing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -14,38 +17,77 @@ from ..functions import text
 K_PLANNED = (4, 8, 16)
 
 
-def balanced_spans(counts: Column, k: int) -> Column:
-    """k contiguous spans struct(leaf, start, end) of an array of token counts.
+def boundaries(counts: np.ndarray, k: int) -> np.ndarray | None:
+    """k + 1 points that cut an array of token counts in k contiguous spans.
 
     Boundary j is the index whose running total is nearest to j/k of the whole
     (the smaller on a tie), after the boundary before it and leaving one item for
-    each leaf to come. Null for fewer than k items or a count below 1.
+    each leaf to come. None for fewer than k items or a count below 1.
     """
-    n = F.size(counts)
-    totals = F.aggregate(counts, F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
-
-    def fold(sums: Column) -> Column:
-        whole = F.element_at(sums, -1)
-
-        def boundary(acc: Column, j: Column) -> Column:
-            before = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))
-            picked = F.array_min(F.transform(F.sequence(before + 1, n - (k - j)), lambda i: F.struct(F.abs(F.element_at(sums, i) - j * whole / k).alias("d"), i.alias("i"))))
-            return F.concat(acc, F.array(picked["i"]))
-
-        cuts = F.aggregate(F.sequence(F.lit(1), F.lit(k - 1)), F.array().cast("array<int>"), boundary)
-        points = F.concat(F.array(F.lit(0)), cuts, F.array(n))
-        return F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(i.alias("leaf"), F.get(points, i).alias("start"), (F.get(points, i + 1) - 1).alias("end")))
-
-    ok = (n >= k) & F.forall(counts, lambda c: c > 0)
-    return F.when(ok, F.get(F.transform(F.array(totals), fold), F.lit(0)))
+    n = len(counts)
+    if n < k or (counts < 1).any():
+        return None
+    total = np.cumsum(counts)
+    points = [0]
+    for j in range(1, k):
+        low, high = points[-1] + 1, n - (k - j)  # items before the boundary
+        goal = j * float(total[-1]) / k
+        at = min(max(int(np.searchsorted(total, goal)) + 1, low), high)
+        if at > low and abs(total[at - 2] - goal) <= abs(total[at - 1] - goal):
+            at -= 1
+        points.append(at)
+    return np.array([*points, n])
+
+
+def _folded(rows: DataFrame, entity: str, order: str, columns: list[str], schema: str, fold) -> DataFrame:
+    """``fold(entity, columns)`` of each entity's rows in order, as they come in a sorted stream; it returns lists of the columns of ``schema`` after the entity."""
+    kind = rows.schema[entity].dataType.simpleString()
+    names = [entity, *(c.strip().split(" ")[0] for c in schema.split(","))]
+
+    def run(batches):
+        held: list[list[np.ndarray]] = []
+        key = None
+
+        def done():
+            return None if key is None else fold([np.concatenate(x) for x in zip(*held)])
+
+        for batch in batches:
+            ids = batch.column(0)
+            if not len(ids):
+                continue
+            values = [c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]]
+            own = ids.to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            out_ids, out = [], []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if held and own[a] != key:
+                    if (got := done()) is not None and len(got[0]):
+                        out_ids += [key] * len(got[0])
+                        out.append(got)
+                    held.clear()
+                key = own[a]
+                held.append([v[a:b] for v in values])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(out_ids, ids.type), *(pa.array(np.concatenate(x)) for x in zip(*out))], names)
+        if held and (got := done()) is not None and len(got[0]):
+            yield pa.RecordBatch.from_arrays([pa.array([key] * len(got[0]), ids.type), *(pa.array(np.asarray(x)) for x in got)], names)
+
+    stream = rows.select(entity, order, *columns).repartition(entity).sortWithinPartitions(entity, order).select(entity, *columns)
+    return stream.mapInArrow(run, f"{entity} {kind}, {schema}")
 
 
 def partition(evidence: DataFrame, k: int) -> DataFrame:
     """episode_id, leaf, start, end, tokens of every episode of k items or more."""
-    own = evidence.groupBy("episode_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sequence_index", "token_count"))), lambda x: x["token_count"]).alias("counts"))
-    spans = own.where(F.size("counts") >= k).withColumn("s", F.explode(balanced_spans(F.col("counts"), k)))
-    tokens = F.aggregate(F.slice("counts", F.col("s.start") + 1, F.col("s.end") - F.col("s.start") + 1), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return spans.select("episode_id", "s.leaf", "s.start", "s.end", tokens.alias("tokens"))
+
+    def fold(columns):
+        counts = columns[0].astype(np.int64)
+        points = boundaries(counts, k)
+        if points is None:
+            return None
+        start, end = points[:-1], points[1:]
+        return [np.arange(k, dtype=np.int32), start.astype(np.int32), (end - 1).astype(np.int32), np.add.reduceat(counts, start)]
+
+    return _folded(evidence, "episode_id", "sequence_index", ["token_count"], "leaf int, start int, end int, tokens bigint", fold)
 
 
 def partition_hash(spans: DataFrame, k: int) -> DataFrame:
@@ -70,43 +112,70 @@ def ranked(scored: DataFrame, query: str = "query_id", least_rank: int | None =
 def greedy_pack(items: DataFrame, budget: int, entity: str = "query_id") -> DataFrame:
     """First fit in rank order: an item that overflows the budget is skipped and later ones may still fit.
 
-    ``items`` has entity, rank, item_id, sequence_index, cost; returns entity,
-    used, packed (item ids in rank order) and rendered (in sequence order).
+    ``items`` has entity, rank, item_id, sequence_index, cost (whole numbers);
+    returns entity, used, packed (item ids in rank order) and rendered (in
+    sequence order). An entity with no item that fits has no row.
     """
-    own = items.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct("rank", "cost", "item_id", "sequence_index"))).alias("all"))
-    kind = own.schema["all"].dataType.simpleString()
-    start = F.struct(F.lit(0).cast("bigint").alias("used"), F.array().cast(kind).alias("kept"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = acc["used"] + x["cost"] <= budget
-        return F.struct(F.when(fits, acc["used"] + x["cost"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.concat(acc["kept"], F.array(x))).otherwise(acc["kept"]).alias("kept"))
+    def fold(columns):
+        cost, ids, places = columns[0].astype(np.int64), columns[1], columns[2].astype(np.int64)
+        kept, used, at = [], 0, 0
+        while at < len(cost):
+            fits = np.flatnonzero(cost[at:] <= budget - used)  # the next item that fits
+            if not len(fits):
+                break
+            at += int(fits[0])
+            kept.append(at)
+            used += int(cost[at])
+            at += 1
+        return [ids[kept], places[kept], np.arange(len(kept)), np.full(len(kept), used)] if kept else None
 
-    packed = own.withColumn("p", F.aggregate("all", start, step))
-    in_order = F.array_sort(F.transform("p.kept", lambda x: F.struct(x["sequence_index"].alias("s"), x["item_id"].alias("i"))))
-    return packed.select(entity, F.col("p.used").alias("used"), F.transform("p.kept", lambda x: x["item_id"]).alias("packed"), F.transform(in_order, lambda x: x["i"]).alias("rendered"))
+    rows = _folded(items, entity, "rank", ["cost", "item_id", "sequence_index"], f"item_id {items.schema['item_id'].dataType.simpleString()}, place bigint, n bigint, used bigint", fold)
+    own = rows.groupBy(entity).agg(F.max("used").alias("used"), F.array_sort(F.collect_list(F.struct("n", "item_id"))).alias("p"), F.array_sort(F.collect_list(F.struct("place", "item_id"))).alias("r"))
+    return own.select(entity, "used", F.transform("p", lambda x: x["item_id"]).alias("packed"), F.transform("r", lambda x: x["item_id"]).alias("rendered"))
 
 
-def cosine_scores(queries: DataFrame, items: DataFrame, most_queries: int = 10_000) -> DataFrame:
-    """query_id, item_id, sequence_index, score of a stated, small query set against all items.
+def first_fit(rankings: DataFrame, budget: int) -> DataFrame:
+    """query_id, indices: the same over documents that cost their words, one at least, with the indices in ascending order."""
+    cost = F.greatest(F.lit(1), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"(?U)\s+"), lambda w: w != ""))).cast("bigint")
+    rows = rankings.select("query_id", "rank", F.col("index").alias("item_id"), F.col("index").alias("sequence_index"), cost.alias("cost"))
+    return greedy_pack(rows, budget).select("query_id", F.array_sort("packed").alias("indices"))
 
-    The query set is checked against ``most_queries`` and then sent to every task.
-    """
-    if queries.limit(most_queries + 1).count() > most_queries:
-        raise ValueError(f"more than {most_queries} queries: pass them in blocks")
+
+QUERY_BLOCK = 1_000
+
+
+def cosine_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, item_id, sequence_index, score of a stated query set against all items, in blocks of ``QUERY_BLOCK`` queries, each sent to every task."""
     q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    return items.crossJoin(F.broadcast(q)).select("query_id", F.col("vec_id").alias("item_id"), F.col("vec_id").alias("sequence_index"), F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out = None
+    for k in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        own = items.crossJoin(F.broadcast(block)).select("query_id", F.col("vec_id").alias("item_id"), F.col("vec_id").alias("sequence_index"), F.round(text.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def chunked(evidence: DataFrame, cap: int) -> DataFrame:
     """episode_id, chunk, first, last, tokens: consecutive turns packed into chunks of at most ``cap`` tokens (a larger turn stands alone)."""
-    own = evidence.groupBy("episode_id").agg(F.array_sort(F.collect_list(F.struct("sequence_index", "token_count"))).alias("t"))
-    start = F.array().cast("array<struct<first:bigint,last:bigint,tokens:bigint>>")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        new = F.struct(x["sequence_index"].alias("first"), x["sequence_index"].alias("last"), x["token_count"].alias("tokens"))
-        grown = F.struct(last["first"].alias("first"), x["sequence_index"].alias("last"), (last["tokens"] + x["token_count"]).alias("tokens"))
-        fits = (F.size(acc) > 0) & (last["tokens"] + x["token_count"] <= cap)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(acc, F.array(new)))
 
-    return own.select("episode_id", F.posexplode(F.aggregate("t", start, step)).alias("chunk", "c")).select("episode_id", "chunk", "c.*")
+    def fold(columns):
+        tokens, at = columns[0].astype(np.int64), columns[1].astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(tokens)])
+        starts, i = [], 0
+        while i < len(tokens):
+            starts.append(i)
+            i = max(i + 1, int(np.searchsorted(total, total[i] + cap, side="right")) - 1)
+        ends = np.array([*starts[1:], len(tokens)])
+        return [np.arange(len(starts), dtype=np.int32), at[starts], at[ends - 1], total[ends] - total[starts]]
+
+    return _folded(evidence.withColumn("at", F.col("sequence_index")), "episode_id", "sequence_index", ["token_count", "at"], "chunk int, first bigint, last bigint, tokens bigint", fold)
+
+
+def reallocated(chunks: DataFrame) -> DataFrame:
+    """``chunks(unit_id, chunk, size, total)`` with tokens: the unit's total by size, rounded down, the remainder to its last chunk."""
+    every, last = Window.partitionBy("unit_id"), Window.partitionBy("unit_id").orderBy(F.desc("chunk"))
+    whole = F.floor(F.col("total") * F.col("size") / F.sum("size").over(every))
+    rows = chunks.withColumn("tokens", whole).withColumn("left", F.col("total") - F.sum("tokens").over(every)).withColumn("n", F.row_number().over(last))
+    return rows.withColumn("tokens", F.col("tokens") + F.when(F.col("n") == 1, F.col("left")).otherwise(0)).drop("left", "n")

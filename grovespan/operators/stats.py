@@ -6,6 +6,11 @@ not depend on partitioning, order or retries.
 
 from __future__ import annotations
 
+import hashlib
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,11 +35,29 @@ def paired_differences(rows: DataFrame, a: str = "left_deep", b: str = "canonica
 
 
 def permutation_test(diffs: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """One row: delta, p_value, independent_blocks. Signs are explicit rows permutation x episode, summed before the shuffle."""
-    sign = F.when(draw(seed, F.col("p"), F.col("episode_id")) < 0.5, F.lit(1)).otherwise(F.lit(-1))
+    """One row: delta, p_value, independent_blocks.
+
+    The sign of episode e in permutation p is bit p mod 256 of the SHA-256 of
+    ``seed:block:e`` with block p div 256. Each batch of episodes adds to a vector
+    of all permutations' sums, so no row per episode and permutation is made.
+    """
+    blocks = -(-permutations // 256)
+
+    def run(batches):
+        total, seen = np.zeros(blocks * 256), False
+        for batch in batches:
+            ids, diff = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+            for a in range(0, len(ids), 1000):
+                raw = b"".join(hashlib.sha256(f"{seed}:{k}:{e}".encode()).digest() for e in ids[a : a + 1000] for k in range(blocks))
+                bits = np.unpackbits(np.frombuffer(raw, np.uint8)).reshape(-1, blocks * 256)
+                total += diff[a : a + 1000] @ (1.0 - 2.0 * bits)
+                seen = True
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(permutations)), pa.array(total[:permutations])], ["p", "s"])
+
     base = diffs.agg(F.avg("diff").alias("delta"), F.count("*").alias("independent_blocks"))
-    each = diffs.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(permutations)))).groupBy("p").agg(F.avg(sign * F.col("diff")).alias("m"))
-    hits = each.crossJoin(F.broadcast(base)).agg(F.count_if(F.abs("m") >= F.abs("delta") - F.lit(1e-12)).alias("hits"))
+    sums = diffs.select(F.col("episode_id").cast("string"), "diff").mapInArrow(run, "p bigint, s double").groupBy("p").agg(F.sum("s").alias("s"))
+    hits = sums.crossJoin(F.broadcast(base)).agg(F.count_if(F.abs(F.col("s") / F.col("independent_blocks")) >= F.abs("delta") - F.lit(1e-12)).alias("hits"))
     return base.crossJoin(hits).select("delta", ((F.col("hits") + 1) / F.lit(float(permutations + 1))).alias("p_value"), "independent_blocks")
 
 
@@ -158,3 +181,16 @@ def repeatability(observations: DataFrame, replicates: int = 3) -> DataFrame:
         F.avg(((F.col("ones") == replicates) | (F.col("zeros") == replicates)).cast("int")).alias("unanimity"),
         F.avg(F.col("ones") * F.col("zeros") / F.lit(float(pairs))).alias("flip"), (F.sum("parsed") / F.sum("n")).alias("parse"))
     return out.withColumn("passes", (F.col("unanimity") >= 0.95) & (F.col("flip") <= 0.05) & (F.col("parse") == 1.0))
+
+
+def normal_p_value(total: float, squares: float, n: int) -> float:
+    """Two-sided p of a sum under sign flips, by the normal law; 1 for fewer than two or only zeros."""
+    return 1.0 if n < 2 or squares == 0 else math.erfc(abs(total) / math.sqrt(squares) / math.sqrt(2.0))
+
+
+def formal_no_go_allowed(*flags: str) -> Column:
+    """Whether every one of the conditions of a formal no-go holds (null does not)."""
+    out = F.lit(True)
+    for f in flags:
+        out &= F.coalesce(F.col(f), F.lit(False))
+    return out

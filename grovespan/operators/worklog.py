@@ -145,23 +145,46 @@ def lifecycle_cost(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(poisoned_sum(F.col("micro_usd")).alias("c_life"))
 
 
-def critical_path(edges: DataFrame, nodes: DataFrame, levels: int = 64) -> DataFrame:
+def critical_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, finish: the longest sum of seconds of a chain that ends in the node.
 
-    ``edges(parent, child)`` say that the parent waits for the child. Levels are
-    joins on the rows whose finish rose, so there are as many as the longest
-    chain; more than ``levels`` is a cycle.
+    ``edges(parent, child)`` say that the parent waits for the child. Nodes that
+    wait for one other are skipped by pointers that double their length, so a
+    chain of n nodes takes log2(n) joins; the rest are levels, joins on the rows
+    whose finish rose. A cycle is an error: pointers that do not end, or more levels
+    than nodes that wait for several.
     """
-    best = nodes.select("node", F.col("seconds").cast("bigint").alias("finish"))
-    moved = best
-    for _ in range(levels):
-        raised = moved.join(edges, F.col("node") == F.col("child")).groupBy("parent").agg(F.max("finish").alias("before"))
-        longer = raised.join(nodes, F.col("parent") == F.col("node")).select(F.col("parent").alias("node"), (F.col("before") + F.col("seconds")).alias("new"))
+    own = nodes.select("node", F.col("seconds").cast("bigint").alias("seconds"))
+    edges = saved(edges.select("parent", "child").distinct())
+    degree = edges.groupBy("parent").agg(F.count("*").alias("n"), F.min("child").alias("child"))
+    jump = saved(degree.where("n = 1").join(own, F.col("parent") == F.col("node")).select("node", F.col("child").alias("at"), F.col("seconds").alias("total")))
+    size = jump.count()
+    for _ in range(size.bit_length() + 1):
+        after = jump.select(F.col("node").alias("at"), F.col("at").alias("further"), F.col("total").alias("more"))
+        both = jump.join(after, "at", "left")
+        longer = saved(both.select("node", F.coalesce("further", "at").alias("at"), (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), F.col("further").isNotNull().alias("moved")))
+        jump = longer.drop("moved")
+        if longer.where("moved").isEmpty():
+            break
+    else:
+        raise ValueError("the graph has a cycle")
+    many = saved(degree.where("n > 1").select(F.col("parent").alias("node")))
+    best = own.join(jump.select("node"), "node", "left_anti").select("node", F.col("seconds").alias("finish"))
+    ends = jump.select(F.col("node").alias("child"), "at", "total")
+    short = edges.join(many, F.col("parent") == F.col("node"), "left_semi").join(ends, "child", "left").select("parent", F.coalesce("at", "child").alias("child"), F.coalesce("total", F.lit(0)).alias("total"))
+    short = saved(short.groupBy("parent", "child").agg(F.max("total").alias("total")))
+    moved, best = best, saved(best)
+    for _ in range(many.count() + 1):
+        raised = moved.join(short, F.col("node") == F.col("child")).groupBy("parent").agg(F.max(F.col("finish") + F.col("total")).alias("before"))
+        longer = raised.join(own, F.col("parent") == F.col("node")).select(F.col("parent").alias("node"), (F.col("before") + F.col("seconds")).alias("new"))
         moved = saved(longer.join(best, "node").where("new > finish").select("node", F.col("new").alias("finish")))
         if moved.isEmpty():
-            return best
+            break
         best = saved(best.join(moved.withColumnRenamed("finish", "new"), "node", "left").select("node", F.coalesce("new", "finish").alias("finish")))
-    raise ValueError("the graph has a cycle")
+    else:
+        raise ValueError("the graph has a cycle")
+    through = jump.join(best.withColumnRenamed("node", "at"), "at").select("node", (F.col("total") + F.col("finish")).alias("finish"))
+    return best.unionByName(through)
 
 
 def generative_lineage(artifacts: DataFrame, levels: int = 64) -> DataFrame:

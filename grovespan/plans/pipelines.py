@@ -53,10 +53,16 @@ def corpus_audit(raw: DataFrame, k: int = 8) -> dict[str, DataFrame]:
     support = kept.select(F.col("question_id").alias("episode_id"), F.explode("answer_session_ids").alias("source_session_id")).join(evidence.groupBy("episode_id", "source_session_id").agg(F.min("sequence_index").alias("position")), ["episode_id", "source_session_id"])
     placed = support.join(spans, "episode_id").where("position between start and end").join(evidence.groupBy("episode_id").agg(F.count("*").alias("n")), "episode_id")
     layout = graph.layout(placed.select("episode_id", "position", "leaf", "n")).join(kept.select(F.col("question_id").alias("episode_id"), "question_type"), "episode_id")
-    relations = kept.select(F.col("question_id").alias("episode_id"), F.explode(F.array(
-        F.struct(F.lit("question").alias("relation"), text.normalized_question("question").alias("value")),
-        F.struct(F.lit("haystack").alias("relation"), F.sha2(F.to_json("haystack_session_ids").cast("binary"), 256).alias("value")),
+    base = F.regexp_replace("question_id", r"_abs$", "")
+    support_hashes = support.join(evidence.select("episode_id", F.col("sequence_index").alias("position"), "raw_sha256"), ["episode_id", "position"]).select("episode_id", F.lit("supporting_evidence_hash").alias("relation"), F.col("raw_sha256").alias("value"))
+    family = F.col("family_id") if "family_id" in raw.columns else F.lit(None).cast("string")
+    families = raw.select(F.col("question_id").alias("episode_id"), F.lit("family").alias("relation"), family.alias("value")).join(kept.select(F.col("question_id").alias("episode_id")), "episode_id", "left_semi")
+    sessions = kept.select(F.col("question_id").alias("episode_id"), F.lit("answer_session").alias("relation"), F.explode("answer_session_ids").alias("value"))
+    questions = kept.select(F.col("question_id").alias("episode_id"), F.explode(F.array(
+        F.struct(F.lit("base_question_id").alias("relation"), base.alias("value")),
+        F.struct(F.lit("normalized_question").alias("relation"), F.sha2(text.normalized_question("question").cast("binary"), 256).alias("value")),
     )).alias("r")).select("episode_id", "r.*")
+    relations = questions.unionByName(families).unionByName(sessions).unionByName(support_hashes)
     return {
         "episodes": episodes, "evidence": evidence, "counts": graph.eligibility_counts(evidence), "layout": layout,
         "strata": layout.groupBy("question_type", "support_class", "position_bin").agg(F.count("*").alias("n")), "groups": graph.leakage_groups(relations),

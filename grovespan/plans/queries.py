@@ -73,10 +73,11 @@ def paired_differences(spark, sf_dir):
 
 
 @query(f"""{PAIRED}, o AS (SELECT avg(diff) AS delta, count(*)::BIGINT AS independent_blocks FROM d),
-s AS (SELECT p, avg(CASE WHEN {DRAW.format(key="'7:' || p || ':' || episode_id")} < 0.5 THEN diff ELSE -diff END) AS m FROM d, (SELECT unnest(range(1, 101)) AS p) GROUP BY p)
-SELECT round(delta, 9) AS delta, (count(*) FILTER (abs(m) >= abs(delta) - 1e-12) + 1) / 101.0::DOUBLE AS p_value, independent_blocks FROM s, o GROUP BY ALL""")
+h AS (SELECT diff, b, sha256('7:' || b || ':' || episode_id) AS x FROM d, (SELECT unnest(range(0, 4)) AS b)),
+s AS (SELECT b * 256 + i AS p, avg(CASE WHEN ((instr('0123456789abcdef', x[i // 4 + 1]) - 1) >> (3 - i % 4)) & 1 = 0 THEN diff ELSE -diff END) AS m FROM h, (SELECT unnest(range(0, 256)) AS i) WHERE b * 256 + i < 1000 GROUP BY ALL)
+SELECT round(delta, 9) AS delta, (count(*) FILTER (abs(m) >= abs(delta) - 1e-12) + 1) / 1001.0::DOUBLE AS p_value, independent_blocks FROM s, o GROUP BY ALL""")
 def paired_permutation(spark, sf_dir):
-    return stats.permutation_test(_paired(spark, sf_dir), 100, 7).withColumn("delta", F.round("delta", 9))
+    return stats.permutation_test(_paired(spark, sf_dir), 1000, 7).withColumn("delta", F.round("delta", 9))
 
 
 @query(f"""WITH {SCORES_SQL}, e AS (SELECT episode_id, replicate_id, avg(score) AS score FROM scores WHERE plan_id = 'left_deep' GROUP BY ALL),
@@ -89,9 +90,14 @@ def seed_null(spark, sf_dir):
     return stats.seed_null(means, 5, 50, 3).withColumn("statistic", F.round("statistic", 9))
 
 
-@query()
+_POISSON = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]::DOUBLE[]"
+
+
+@query(f"""{PAIRED}, w AS (SELECT b, diff, len(list_filter({_POISSON}, lambda c: c < {DRAW.format(key="'5:' || b || ':' || episode_id")})) AS w FROM d, (SELECT unnest(range(1, 101)) AS b)),
+m AS (SELECT b, sum(w * diff) / sum(w) AS m FROM w GROUP BY b) SELECT round(quantile_disc(m, 0.025), 9) AS lower, round(quantile_disc(m, 0.975), 9) AS upper FROM m""")
 def bootstrap_interval(spark, sf_dir):
-    return stats.bootstrap_interval(_paired(spark, sf_dir), 100, 5)
+    i = stats.bootstrap_interval(_paired(spark, sf_dir), 100, 5)
+    return i.select(F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
 
 
 # Text and evidence
@@ -147,12 +153,16 @@ def token_balanced_partition_k16(spark, sf_dir):
     return partition.partition(_event_evidence(spark, sf_dir), 16)
 
 
-@query()
+@query(_partition_sql(EVIDENCE_SQL, 4).replace("SELECT s.episode_id, leaf::INT AS leaf", ", z AS (SELECT s.episode_id, leaf::INT AS leaf") + """)
+SELECT episode_id, sha256('{"algorithm":"token_balanced_v1","k":4,"spans":[' || string_agg('{"end":' || "end" || ',"start":' || start || '}', ',' ORDER BY leaf) || ']}') AS partition_hash FROM z GROUP BY episode_id""")
 def partition_hashes(spark, sf_dir):
     return partition.partition_hash(partition.partition(evidence(spark, sf_dir), 4), 4)
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVIDENCE_SQL}, c AS (SELECT episode_id, sequence_index AS last, 0 AS chunk, sequence_index AS first, token_count AS tokens FROM evidence WHERE sequence_index = 0
+UNION ALL SELECT c.episode_id, e.sequence_index, CASE WHEN c.tokens + e.token_count <= 150 THEN c.chunk ELSE c.chunk + 1 END, CASE WHEN c.tokens + e.token_count <= 150 THEN c.first ELSE e.sequence_index END,
+  CASE WHEN c.tokens + e.token_count <= 150 THEN c.tokens + e.token_count ELSE e.token_count END FROM c JOIN evidence e ON e.episode_id = c.episode_id AND e.sequence_index = c.last + 1)
+SELECT episode_id, chunk::INT AS chunk, first::BIGINT AS first, max(last)::BIGINT AS last, max(tokens)::BIGINT AS tokens FROM c GROUP BY episode_id, chunk, first""")
 def episode_chunks(spark, sf_dir):
     return partition.chunked(evidence(spark, sf_dir), 150)
 
@@ -213,27 +223,27 @@ def _cosine(spark, sf_dir) -> DataFrame:
     return partition.cosine_scores(items.where("vec_id % 50 = 0"), items)
 
 
-@query(f"{COSINE} SELECT query_id, item_id, score, rank::INT AS rank FROM r WHERE rank <= 20")
+@query(f"{COSINE} SELECT query_id, item_id, score, rank::INT AS rank FROM r")
 def cosine_rank(spark, sf_dir):
-    return partition.ranked(_cosine(spark, sf_dir), least_rank=20).select("query_id", "item_id", "score", "rank")
+    return partition.ranked(_cosine(spark, sf_dir)).select("query_id", "item_id", "score", "rank")
 
 
 def _packed(spark, sf_dir) -> DataFrame:
-    items = partition.ranked(_cosine(spark, sf_dir), least_rank=20)
+    items = partition.ranked(_cosine(spark, sf_dir))
     return partition.greedy_pack(items.withColumn("cost", F.col("item_id") % 37 + 5), 200)
 
 
-PACK = COSINE.replace("WITH q AS", "WITH RECURSIVE q AS") + """, i AS (SELECT query_id, item_id, rank, item_id % 37 + 5 AS cost FROM r WHERE rank <= 20),
+PACK = COSINE.replace("WITH q AS", "WITH RECURSIVE q AS") + """, i AS (SELECT query_id, item_id, rank, item_id % 37 + 5 AS cost FROM r),
 p AS (SELECT query_id, 0::BIGINT AS rank, 0::BIGINT AS used, []::BIGINT[] AS kept FROM i GROUP BY query_id
   UNION ALL SELECT p.query_id, i.rank, CASE WHEN used + cost <= 200 THEN used + cost ELSE used END, CASE WHEN used + cost <= 200 THEN list_append(kept, item_id) ELSE kept END FROM p JOIN i ON i.query_id = p.query_id AND i.rank = p.rank + 1)"""
 
 
-@query(f"{PACK} SELECT query_id, used, array_to_string(kept, ',') AS packed FROM p WHERE rank = 20")
+@query(f"{PACK} SELECT query_id, used, array_to_string(kept, ',') AS packed FROM p WHERE rank = (SELECT max(rank) FROM i)")
 def greedy_pack(spark, sf_dir):
     return _packed(spark, sf_dir).select("query_id", "used", F.array_join(F.transform("packed", lambda x: x.cast("string")), ",").alias("packed"))
 
 
-@query(f"{PACK} SELECT query_id, array_to_string(list_sort(kept), ',') AS rendered FROM p WHERE rank = 20")
+@query(f"{PACK} SELECT query_id, array_to_string(list_sort(kept), ',') AS rendered FROM p WHERE rank = (SELECT max(rank) FROM i)")
 def chronological_render(spark, sf_dir):
     return _packed(spark, sf_dir).select("query_id", F.array_join(F.transform("rendered", lambda x: x.cast("string")), ",").alias("rendered"))
 
@@ -447,30 +457,41 @@ def lineage_generative(spark, sf_dir):
 # Leakage, splits, strata
 
 def _relations(spark, sf_dir) -> DataFrame:
-    """Orders by the parts they take from a supplier; the part alone would join nearly all orders in one group."""
-    value = F.concat_ws(":", "l_partkey", "l_suppkey")
-    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("episode_id"), F.lit("part_supplier").alias("relation"), value.alias("value"))
-
-
+    """Orders by the parts they take from a supplier (the part alone would join nearly all orders in one group), and by such a part at an equal place."""
+    pair = F.concat_ws(":", "l_partkey", "l_suppkey")
+    kinds = F.array(F.struct(F.lit("answer_session").alias("relation"), pair.alias("value")), F.struct(F.lit("supporting_evidence_hash").alias("relation"), F.md5(F.concat_ws(":", pair, "l_linenumber").cast("binary")).alias("value")))
+    return load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("bigint").alias("episode_id"), F.explode(kinds).alias("r")).select("episode_id", "r.*")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey::BIGINT AS id, l_partkey || ':' || l_suppkey AS v FROM lineitem),
+n AS (SELECT DISTINCT a.id AS a, b.id AS b FROM e a JOIN e b ON a.v = b.v),
+r AS (SELECT id, id AS other FROM (SELECT DISTINCT id FROM e) UNION SELECT r.id, n.b FROM r JOIN n ON n.a = r.other),
+l AS (SELECT id, min(other) AS label FROM r GROUP BY id),
+g AS (SELECT label, count(*)::BIGINT AS group_size, 'lmg-' || substr(sha256('{"episode_ids":[' || string_agg('"' || id || '"', ',' ORDER BY id::VARCHAR) || ']}'), 1, 16) AS group_id FROM l GROUP BY label),
+k AS (SELECT label, 'answer_session' AS kind FROM l JOIN e USING (id) GROUP BY label, v HAVING count(*) > 1 UNION SELECT label, 'supporting_evidence_hash' FROM l JOIN (SELECT DISTINCT l_orderkey::BIGINT AS id, l_partkey, l_suppkey, l_linenumber FROM lineitem) USING (id) GROUP BY label, l_partkey, l_suppkey, l_linenumber HAVING count(*) > 1),
+s AS (SELECT label, string_agg(DISTINCT kind, ',' ORDER BY kind) AS relations FROM k GROUP BY label)
+SELECT id AS episode_id, group_id, group_size, coalesce(relations, '') AS relations FROM l JOIN g USING (label) LEFT JOIN s USING (label)""")
 def leakage_components(spark, sf_dir):
     return graph.leakage_groups(_relations(spark, sf_dir))
 
 
-query()(leakage_components)
-
-
 @query()
 def split_assignment(spark, sf_dir):
     groups = graph.leakage_groups(_relations(spark, sf_dir))
-    strata = groups.join(load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("episode_id"), F.col("o_orderpriority").alias("stratum")), "episode_id")
-    return graph.assign_splits(strata.groupBy("group_id", "stratum").agg(F.count("*").alias("n")), "20/30/50")
+    orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("episode_id"), F.col("o_orderpriority").alias("question_type"), (F.col("o_orderstatus") == "F").cast("int").alias("p"))
+    typed = groups.join(orders, "episode_id").groupBy("group_id", "question_type").agg(F.sum("p").alias("primary"), F.count("*").alias("expanded"))
+    out = None
+    for candidate in graph.SPLITS:
+        own = graph.assign_splits(typed, candidate).select(F.lit(candidate).alias("candidate"), "group_id", "split")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-@query("""WITH p AS (SELECT doc_id, source, sha256('case:' || source || ':' || doc_id) AS pick FROM documents WHERE source IN ('src1', 'src2', 'src3')),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pick, doc_id) AS n FROM p) SELECT doc_id AS episode_id, source AS category FROM r WHERE n <= CASE source WHEN 'src1' THEN 8 WHEN 'src2' THEN 7 ELSE 6 END""")
+@query("""WITH p AS (SELECT doc_id, source, sha256('case:' || source || ':' || doc_id) AS pick FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pick, doc_id) AS n FROM p) SELECT doc_id AS episode_id, source AS category FROM r WHERE n <= CASE source WHEN 'src1' THEN 8 WHEN 'src2' THEN 7 ELSE 6 END AND source <> 'src0'""")
 def quota_sample(spark, sf_dir):
     rows = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("episode_id"), F.col("source").alias("category"))
-    return graph.quota_sample(rows, {"src1": 8, "src2": 7, "src3": 6}, "case").select("episode_id", "category")
+    return graph.quota_sample(rows.where("category <> 'src0'"), {"src1": 8, "src2": 7} | {f"src{i}": 6 for i in range(3, 20)}, "case").select("episode_id", "category")
 
 
 STRATA = """s AS (SELECT CASE WHEN d.lang = 'en' THEN 'knowledge-update' ELSE 'temporal-reasoning' END AS question_type, CASE WHEN l.quality = 1 THEN 'single' ELSE 'multiple' END AS support_class,
@@ -541,7 +562,7 @@ def wilson_interval(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT event_id // 3 AS case_id, event_type <> 'error' AS parsed, CASE WHEN value > 20 THEN 1 ELSE 0 END AS label FROM events), c AS (SELECT case_id, count(*) AS n, count(*) FILTER (parsed) AS parsed, count(*) FILTER (parsed AND label = 1) AS ones, count(*) FILTER (parsed AND label = 0) AS zeros FROM o GROUP BY 1)
-SELECT round(avg(CASE WHEN ones = 3 OR zeros = 3 THEN 1 ELSE 0 END), 12) AS unanimity, round(avg(ones * zeros / 3.0::DOUBLE), 12) AS flip, round(sum(parsed) / sum(n)::DOUBLE, 12) AS parse, false AS passes FROM c""")
+SELECT round(avg(CASE WHEN ones = 3 OR zeros = 3 THEN 1 ELSE 0 END), 12) AS unanimity, round(avg(ones * zeros / 3.0::DOUBLE), 12) AS flip, round(sum(parsed) / sum(n)::DOUBLE, 12) AS parse, avg(CASE WHEN ones = 3 OR zeros = 3 THEN 1 ELSE 0 END) >= 0.95 AND avg(ones * zeros / 3.0::DOUBLE) <= 0.05 AND sum(parsed) = sum(n) AS passes FROM c""")
 def repeatability_metrics(spark, sf_dir):
     e = load(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("case_id"), (F.col("event_type") != "error").alias("parsed"), (F.col("value") > 20).cast("int").alias("label"))
     r = stats.repeatability(e)
@@ -622,9 +643,15 @@ def evidence_exposure(spark, sf_dir):
     return e.select("plan_id", "k", "leaf", "rewrites", F.round("earlier_share", 9).alias("earlier_share"), F.round("pressure_sum", 9).alias("pressure_sum"), "pressure_max")
 
 
-@query("""WITH q AS (SELECT source AS category, count(*)::BIGINT AS have FROM documents GROUP BY 1) SELECT category, 50::BIGINT AS want, have FROM q WHERE have <> 50""")
+@query("""WITH q AS (SELECT source AS category, count(*)::BIGINT AS have FROM documents GROUP BY 1), w AS (SELECT 'src' || i AS category, CASE i WHEN 3 THEN 0 ELSE 50 END::BIGINT AS want FROM range(0, 23) t(i)) SELECT category, coalesce(want, 0) AS want, coalesce(have, 0) AS have FROM q FULL JOIN w USING (category) WHERE coalesce(want, 0) <> coalesce(have, 0)""")
 def quota_shortfalls(spark, sf_dir):
     from ..functions import contracts
 
     cases = load(spark, sf_dir, "documents").select(F.col("source").alias("category"))
-    return contracts.quota_shortfalls(cases, {f"src{i}": 50 for i in range(20)})
+    return contracts.quota_shortfalls(cases, {f"src{i}": 0 if i == 3 else 50 for i in range(23)})
+
+
+from . import protocol  # noqa: E402
+
+QUERIES |= protocol.QUERIES
+SQL |= protocol.SQL

@@ -103,3 +103,24 @@ def checksums(spark: SparkSession, path: str) -> DataFrame:
     """path, sha256 of each file below ``path`` (each must fit in memory of a task)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", F.sha2("content", 256).alias("sha256")).orderBy("path")
+
+
+def publish(rows: DataFrame, path: str, run_id: str) -> None:
+    """``rows`` as the table of a run beside others; Spark's commit marks it when it is complete."""
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last run by name that is complete; names of runs sort by time."""
+    jvm = spark._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    runs = [str(s.getPath()) for s in files.listStatus(top) if files.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    if not runs:
+        raise FileNotFoundError(f"no complete run below {path}")
+    return spark.read.parquet(max(runs))
+
+
+def bad_manifest_lines(lines: DataFrame) -> DataFrame:
+    """line of a checksum manifest (``digest  path``) whose digest is not 64 hexadecimal digits or whose path is empty."""
+    return lines.where(~F.col("value").rlike("^[0-9a-f]{64}  [^\\n]+$")).select(F.col("value").alias("line"))

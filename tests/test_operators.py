@@ -136,14 +136,70 @@ def test_leakage_groups_random(spark):
             assert (group[a] == group[b]) == (find(("e", a)) == find(("e", b)))
 
 
-def test_splits_keep_groups_and_shares(spark):
-    df = spark.createDataFrame([(f"g{i}", f"s{i % 3}", 1 + i % 4) for i in range(300)], "group_id string, stratum string, n bigint")
-    rows = graph.assign_splits(df, "20/30/50").collect()
-    assert len(rows) == 300
-    size = {f"g{i}": 1 + i % 4 for i in range(300)}
-    total = sum(size.values())
-    for name, share in zip(graph.SPLIT_NAMES, (0.2, 0.3, 0.5)):
-        assert abs(sum(size[r["group_id"]] for r in rows if r["split"] == name) / total - share) < 0.03
+def brute_splits(groups, candidate):
+    """Groups dealt one by one, every dimension looked up anew: group -> [(type, primary, expanded)]."""
+    shares = dict(zip(("development", "calibration", "acceptance"), (x / 100 for x in graph.SPLITS[candidate])))
+    digest = lambda **f: hashlib.sha256(json.dumps(f, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    out = {}
+    primary = lambda g: sum(p for _, p, _ in groups[g])
+    for g in sorted(groups, key=lambda g: (-primary(g), digest(candidate_id=candidate, group_id=g))):
+        def score(split):
+            own = [h for h in out if out[h] == split]
+            dims = [(sum(primary(h) for h in groups), sum(primary(h) for h in own), primary(g)), (sum(e for x in groups.values() for *_, e in x), sum(e for h in own for *_, e in groups[h]), sum(e for *_, e in groups[g]))]
+            for t, p, _ in groups[g]:
+                dims.append((sum(q for x in groups.values() for u, q, _ in x if u == t), sum(q for h in own for u, q, _ in groups[h] if u == t), p))
+            total = 0.0
+            for whole, have, n in dims:
+                if whole > 0 and n > 0:
+                    total += (abs(shares[split] * whole - have) - abs(shares[split] * whole - have - n)) / whole
+            return total, digest(candidate_id=candidate, group_id=g, split=split)
+
+        out[g] = max(shares, key=score)
+    return out
+
+
+def test_splits_brute_force(spark):
+    rng = random.Random(17)
+    groups = {f"g{i}": [(t, p := rng.randint(0, 2), p + rng.randint(0, 2)) for t in rng.sample(["a", "b", "c"], rng.randint(1, 3))] for i in range(60)}
+    df = spark.createDataFrame([(g, t, p, e) for g, x in groups.items() for t, p, e in x], "group_id string, question_type string, primary bigint, expanded bigint")
+    for candidate in graph.SPLITS:
+        assert {r["group_id"]: r["split"] for r in graph.assign_splits(df, candidate).collect()} == brute_splits(groups, candidate)
+
+
+def test_group_names_and_relations(spark):
+    rows = [("b", "family", "x"), ("a", "family", "x"), ("c", "answer_session", "s"), ("b", "answer_session", "s"), ("d", "family", ""), ("e", "family", None), ("d", "answer_session", "t")]
+    got = {r["episode_id"]: r for r in graph.leakage_groups(spark.createDataFrame(rows, "episode_id string, relation string, value string")).collect()}
+    name = lambda *ids: "lmg-" + hashlib.sha256(json.dumps({"episode_ids": list(ids)}, separators=(",", ":")).encode()).hexdigest()[:16]
+    assert {e: (r["group_id"], r["group_size"], r["relations"]) for e, r in got.items()} == {**{e: (name("a", "b", "c"), 3, "answer_session,family") for e in "abc"}, "d": (name("d"), 1, ""), "e": (name("e"), 1, "")}
+
+
+def test_critical_path_of_long_chains_and_cycles(spark):
+    rng = random.Random(4)
+    seconds = {i: rng.randint(0, 9) for i in range(1100)}
+    edges = [(i, i - 1) for i in range(1, 1000)] + [(1000 + k, rng.randint(0, 999 + k)) for k in range(100) for _ in range(rng.randint(0, 3))]
+    finish = {}
+    for i in range(1100):
+        finish[i] = seconds[i] + max((finish[c] for p, c in edges if p == i), default=0)
+    nodes = spark.createDataFrame(list(seconds.items()), "node bigint, seconds bigint")
+    rows = worklog.critical_path(spark.createDataFrame(edges, "parent bigint, child bigint"), nodes).collect()
+    assert {r["node"]: r["finish"] for r in rows} == finish and len(rows) == 1100
+    for cycle in ([(1, 2), (2, 3), (3, 1)], [(1, 2), (1, 3), (2, 1), (2, 4), (3, 4)]):
+        with pytest.raises(ValueError, match="cycle"):
+            worklog.critical_path(spark.createDataFrame(cycle, "parent bigint, child bigint"), nodes)
+
+
+def test_near_text_pairs_brute_force(spark):
+    rng = random.Random(5)
+    items = [(i, " ".join(rng.choice(["common", "word", *(f"w{k}" for k in range(9))]) for _ in range(rng.randint(1, 9)))) for i in range(80)]
+    sets = {i: set(x.split()) for i, x in items}
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.6 * len(sets[i] | sets[j])}
+    got = graph.near_text_pairs(spark.createDataFrame(items, "item bigint, text string"), 0.6).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_normal_p_value():
+    assert stats.normal_p_value(1.0, 1.0, 1) == 1.0 == stats.normal_p_value(0.0, 0.0, 9)
+    assert abs(stats.normal_p_value(1.959963984540054, 1.0, 2) - 0.05) < 1e-12
 
 
 def test_exclusion_precedence(spark):
@@ -187,9 +243,9 @@ def test_binding_problems(spark, data):
 def test_cycles_are_errors(spark):
     e = spark.createDataFrame([(1, 2), (2, 1)], "parent bigint, child bigint")
     with pytest.raises(ValueError):
-        worklog.critical_path(e, spark.createDataFrame([(1, 1), (2, 1)], "node bigint, seconds bigint"), levels=4)
+        worklog.critical_path(e, spark.createDataFrame([(1, 1), (2, 1)], "node bigint, seconds bigint"))
     with pytest.raises(ValueError):
-        worklog.generative_lineage(spark.createDataFrame([(1, "cache", 2), (2, "cache", 1)], "node bigint, source string, cache_of bigint"), levels=4)
+        worklog.generative_lineage(spark.createDataFrame([(1, "cache", 2), (2, "cache", 1)], "node bigint, source string, cache_of bigint"))
 
 
 def test_jsonl_round_trip(spark, tmp_path):
@@ -228,8 +284,8 @@ def test_leakage_queries_group_every_order(spark, duck, data):
         got.setdefault((r["group_id"], r["group_size"]), set()).add(r["episode_id"])
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
     assert all(size == len(x) for (_, size), x in got.items())
-    splits = [r["group_id"] for r in queries.split_assignment(spark, data).collect()]
-    assert sorted(splits) == sorted(g for g, _ in got)
+    splits = [(r["candidate"], r["group_id"]) for r in queries.split_assignment(spark, data).collect()]
+    assert sorted(splits) == sorted((c, g) for g, _ in got for c in ("20/30/50", "15/25/60", "10/20/70"))
 
 
 def test_power_grid_has_every_scenario(spark, data):
