@@ -15,11 +15,12 @@ A sentence ends with ``.``, ``!`` or ``?`` and a space, with the full-width form
 of these marks, or with line feeds; the spaces and line feeds behind it belong to
 it and are not compared.
 
-Text is split and hashed in Arrow batches. Runs shuffle as 128-bit hashes with
-doc_id and position, never with text: a run that a third of all documents share
-becomes one row per task before the shuffle that counts it, and the join that finds
-the occurrences of repeated hashes is one whose hot keys Spark can split. Only
-the spans of one document meet in one row. Equal runs in a row are one row with an
+Text is split and hashed in Arrow batches. Runs shuffle as 128-bit hashes, first
+with their counts alone, then with doc_id and position, never with text: a run
+that a third of all documents share becomes one row per task before the shuffle
+that counts it, and the joins that find the occurrences of repeated hashes read
+exchanges on both sides, so that Spark can split hot keys. Only the spans of one
+document meet in one row. Equal runs in a row are one row with an
 interval, so a document of one sentence again and again is small.
 
 Null text counts as empty and is returned as null. Repeated rows (same doc_id and
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .repeats import later
+from .tables import saved
 
 LEAST = 2
 WORDS = 25
@@ -138,11 +140,17 @@ def runs(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"_gs_id {id_type}, _gs_text bigint, a bigint, b bigint, i int, z int, again boolean")
 
 
+def repeated(rows: DataFrame) -> DataFrame:
+    """The ``runs`` whose hash is found more than once. Most are not, so counts go first."""
+    often = rows.groupBy("a", "b").agg(F.count("*").alias("n"), F.max("again").alias("twice")).where("n > 1 or twice").select("a", "b")
+    return rows.join(often.repartition(F.xxhash64("a", F.lit(1))), ["a", "b"])
+
+
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with _gs_pieces and _gs_removed (long) and _gs_kept, the text that is left."""
     rows = docs.drop(*[c for c in docs.columns if c.startswith("_gs_")])
     own = rows.withColumn("_gs_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    spans = later(runs(rows)).withColumnRenamed("spans", "_gs_spans")
+    spans = later(saved(repeated(runs(rows)))).withColumnRenamed("spans", "_gs_spans")
     both = own.join(spans, F.col("doc_id").eqNullSafe(F.col("_gs_id")) & (F.col("_gs_own") == F.col("_gs_text")), "left").select(*rows.columns, "_gs_spans")
     names, text = rows.columns, rows.columns.index("text")
 
