@@ -49,7 +49,7 @@ def envelope(spark: SparkSession, episodes: int = 199, calibration: int = 60, re
 
 def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """``calls`` with micro_usd, rounded up, at ``rates(component, role, input, output)`` in USD per million tokens; a missing rate is an error."""
-    both = calls.join(F.broadcast(rates), ["component", "role"], "left")
+    both = calls.join(rates, ["component", "role"], "left")
     exact = F.col("input_tokens").cast("decimal(20,0)") * F.col("input") + F.col("output_tokens").cast("decimal(20,0)") * F.col("output")
     return both.withColumn("micro_usd", F.when(F.col("input").isNull(), F.raise_error(F.lit("rate missing")).cast("bigint")).otherwise(F.ceil(exact).cast("bigint"))).drop("input", "output")
 

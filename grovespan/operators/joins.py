@@ -121,7 +121,7 @@ def split_membership(assignment: DataFrame, episodes: DataFrame, split: str) ->
 
 def priced_usage(rows: DataFrame, prices: DataFrame, *scope: str) -> DataFrame:
     """``rows`` with the price of their scope, and ``in_scope`` false where there is none."""
-    return rows.join(F.broadcast(prices), list(scope), "left").withColumn("in_scope", F.col("input_rate").isNotNull())
+    return rows.join(prices, list(scope), "left").withColumn("in_scope", F.col("input_rate").isNotNull())
 
 
 def sums_that_differ(parts: DataFrame, declared: DataFrame, key: list[str], value: str) -> DataFrame:

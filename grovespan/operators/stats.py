@@ -6,6 +6,7 @@ not depend on partitioning, order or retries.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 
@@ -22,9 +23,9 @@ DECISION_GRID = (0.05, 0.075, 0.10, 0.125, 0.15)
 LEFT = 0.65
 
 
-def draw(seed: int, *keys: Column) -> Column:
+def draw(seed: int, *keys: Column | str) -> Column:
     """A number in [0, 1) from the first 52 bits of the hash of ``seed:key:key``."""
-    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    text = F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 13), 16, 10).cast("bigint") / F.lit(float(16**13))
 
 
@@ -130,34 +131,43 @@ def scenario_grid(spark: SparkSession, effects: tuple[float, ...], discordances:
 def power(spark: SparkSession, design: DataFrame, scenarios: DataFrame, n: int, draws: int, seed: int, repeats: int = 5) -> DataFrame:
     """Monte-Carlo detection rate and its Wilson interval for each scenario of (effect, discordance).
 
-    One row per scenario, draw and episode picks a stratum and a difference by
-    inverse distribution; the tables looked up are scenarios x strata x (2R + 1)
-    rows, a fixed small number. A draw detects if |sum| / sqrt(sum of squares)
-    exceeds the normal quantile.
+    An episode falls in a stratum by its weight and then has the stratum's
+    difference; so its difference has the strata's distributions mixed by weight,
+    and one draw per scenario, draw and episode is compared with its 2R limits. The
+    table of limits is one row per scenario, a fixed small number. A draw detects if
+    |sum| / sqrt(sum of squares) exceeds the normal quantile.
     """
-    every = Window.orderBy("question_type", "support_class", "position_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    strata = design.select("multiplier", "weight", F.sum("weight").over(every).alias("upto"), F.row_number().over(Window.orderBy("question_type", "support_class", "position_bin")).alias("stratum"))
-    last = F.max("stratum").over(Window.partitionBy())
-    strata = strata.withColumn("upto", F.when(F.col("stratum") == last, 1.0).otherwise(F.col("upto")))
+    strata = design.select("question_type", "support_class", "position_bin", "multiplier", "weight")
     cells = scenarios.crossJoin(strata).withColumn("p", difference_probabilities(F.col("effect") * F.col("multiplier"), F.col("discordance")))
-    table = repeated_distribution(cells.select("effect", "discordance", "stratum", "upto", "p"), repeats)
-    lookup = table.groupBy("effect", "discordance", "stratum", "upto").agg(F.array_sort(F.collect_list(F.struct("cumulative", "difference"))).alias("cdf")).groupBy("effect", "discordance").agg(F.array_sort(F.collect_list(F.struct("upto", "cdf"))).alias("strata"))
+    table = repeated_distribution(cells.drop("multiplier"), repeats)
+    mixed = table.groupBy("effect", "discordance", "difference").agg(F.sum(F.col("weight") * F.col("probability")).alias("probability"))
+    order = Window.partitionBy("effect", "discordance").orderBy("difference").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = mixed.withColumn("upto", F.sum("probability").over(order))
+    limits = [F.max(F.when(F.col("difference") == d, F.col("upto"))).alias(f"t{d + repeats}") for d in range(-repeats, repeats)]
+    lookup = upto.groupBy("effect", "discordance").agg(*limits)
     drawn = spark.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(lookup)).withColumn("episode", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    key = (F.col("effect"), F.col("discordance"), F.col("draw"), F.col("episode"))
-    u, v = draw(seed, F.lit("s"), *key), draw(seed, F.lit("d"), *key)
-    at = drawn.withColumn("u", u).withColumn("v", v).withColumn("cdf", F.get(F.filter("strata", lambda s: F.col("u") <= s["upto"]), F.lit(0))["cdf"])
-    x = at.withColumn("x", F.get(F.filter("cdf", lambda c: F.col("v") <= c["cumulative"]), F.lit(0))["difference"])
+    v = draw(seed, F.lit("d"), "effect", "discordance", "draw", "episode")
+    above = [(F.col("v") > F.col(f"t{k}")).cast("int") for k in range(2 * repeats)]
+    x = drawn.withColumn("v", v).withColumn("x", functools.reduce(lambda p, q: p + q, above, F.lit(-repeats)))
     sums = x.groupBy("effect", "discordance", "draw").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
     hit = (F.col("q") > 0) & (F.abs("s") / F.sqrt("q") > Z)
     out = sums.groupBy("effect", "discordance").agg(F.count_if(hit).alias("detected"), F.count("*").alias("draws"))
-    return out.withColumn("power", F.col("detected") / F.col("draws")).withColumn("interval", wilson(F.col("detected"), F.col("draws"))).select("effect", "discordance", "detected", "draws", "power", F.col("interval.lower").alias("lower"), F.col("interval.upper").alias("upper"))
+    rates = out.withColumn("power", F.col("detected") / F.col("draws")).withColumn("interval", wilson(F.col("detected"), F.col("draws")))
+    return rates.select("effect", "discordance", "detected", "draws", "power", F.col("interval.lower").alias("lower"), F.col("interval.upper").alias("upper"))
 
 
-def choose_delta(rates: DataFrame, least: float = 0.80) -> DataFrame:
-    """The smallest grid value whose worst scenario of that size has its lower bound at ``least`` or more."""
+def choose_design(rates: DataFrame, least: float = 0.80) -> DataFrame:
+    """One row: the first design, by candidate and then by delta, whose worst scenario has its lower bound at ``least`` or more, and the best of all.
+
+    ``rates(candidate, effect, lower, power)``; equal best bounds go to the first design.
+    """
     sized = rates.withColumn("delta", F.round(F.abs("effect"), 6)).where(F.col("delta").isin(*DECISION_GRID))
-    worst = sized.groupBy("delta").agg(F.min("lower").alias("lower"), F.min("power").alias("power"))
-    return worst.agg(F.min(F.when(F.col("lower") >= least, F.col("delta"))).alias("delta"), F.max("lower").alias("best_lower")).withColumn("status", F.when(F.col("delta").isNull(), "blocked").otherwise("passed"))
+    worst = sized.groupBy("candidate", "delta").agg(F.min("lower").alias("lower"), F.min("power").alias("power"))
+    first = F.min(F.when(F.col("lower") >= least, F.struct("candidate", "delta", "power", "lower")))
+    best = F.min(F.struct((-F.col("lower")).alias("below"), "candidate", "delta"))
+    one = worst.agg(first.alias("first"), best.alias("best"))
+    status = F.when(F.col("first").isNull(), "blocked").otherwise("passed")
+    return one.select(status.alias("status"), "first.*", F.col("best.candidate").alias("best_candidate"), F.col("best.delta").alias("best_delta"), (-F.col("best.below")).alias("best_lower"))
 
 
 def classify_null(power_: Column, excludes: Column, significant: Column) -> Column:

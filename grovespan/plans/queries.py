@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -543,15 +544,38 @@ def difference_distribution(spark, sf_dir):
     return stats.repeated_distribution(_one(spark)).select("effect", "discordance", F.col("difference").cast("int").alias("difference"), F.round("probability", 9).alias("probability"))
 
 
-@query()
+# Each stratum's effect is the scenario's times its multiplier; the strata's distributions are mixed by weight.
+_SCENARIOS = f"(SELECT unnest({list(stats.SIMULATION_EFFECTS)})::DOUBLE AS effect), (SELECT unnest({list(stats.DISCORDANCE)})::DOUBLE AS discordance)"
+_MIXED = f"""{DESIGN}, cells AS (SELECT effect, discordance, weight, effect * multiplier AS own FROM {_SCENARIOS}, design),
+{PROBS.removeprefix('WITH ').replace(PROBS[PROBS.index('g AS'):PROBS.index(chr(10))], 'g AS (SELECT DISTINCT own AS effect, discordance FROM cells),', 1)}{_STEP},
+mixed AS (SELECT c.effect, c.discordance, r5.difference, sum(weight * probability) AS probability FROM cells c JOIN r5 ON r5.effect = c.own AND r5.discordance = c.discordance GROUP BY ALL),
+upto AS (SELECT effect, discordance, difference, sum(probability) OVER (PARTITION BY effect, discordance ORDER BY difference) AS upto FROM mixed),
+lookup AS (SELECT effect, discordance, list(upto ORDER BY difference) FILTER (difference < 5) AS t FROM upto GROUP BY ALL),
+drawn AS (SELECT effect, discordance, draw, t, ('0x' || substr(sha256('17:d:' || effect || ':' || discordance || ':' || draw || ':' || episode), 1, 13))::BIGINT / 4503599627370496::DOUBLE AS v FROM lookup, range({stats.POWER_DRAWS}) d(draw), range(1, 100) e(episode)),
+x AS (SELECT effect, discordance, draw, (v > t[1])::INT + (v > t[2])::INT + (v > t[3])::INT + (v > t[4])::INT + (v > t[5])::INT + (v > t[6])::INT + (v > t[7])::INT + (v > t[8])::INT + (v > t[9])::INT + (v > t[10])::INT - 5 AS x FROM drawn),
+sums AS (SELECT effect, discordance, draw, sum(x) AS s, sum(x * x) AS q FROM x GROUP BY ALL),
+rates AS (SELECT effect, discordance, count(*) FILTER (q > 0 AND abs(s) / sqrt(q) > {stats.Z}) AS detected, count(*) AS draws FROM sums GROUP BY ALL)"""
+
+
+@query(f"{_MIXED} SELECT effect, discordance, detected, draws, detected / draws AS power FROM rates")
 def power_grid(spark, sf_dir):
+    """Every effect and discordance, for the 99 episodes that the 20/30/50 split accepts."""
     design = stats.strata_design(_strata(spark, sf_dir))
-    return stats.power(spark, design, stats.scenario_grid(spark, stats.SIMULATION_EFFECTS), 99, stats.POWER_DRAWS, 17)
+    rates = stats.power(spark, design, stats.scenario_grid(spark, stats.SIMULATION_EFFECTS), 99, stats.POWER_DRAWS, 17)
+    return rates.select("effect", "discordance", "detected", "draws", "power")
 
 
 @query()
 def power_decision(spark, sf_dir):
-    return stats.choose_delta(power_grid(spark, sf_dir))
+    """The design of all split candidates, each with the acceptance share of 199 episodes, in every scenario."""
+    design = stats.strata_design(_strata(spark, sf_dir))
+    scenarios = stats.scenario_grid(spark, stats.SIMULATION_EFFECTS)
+    parts = []
+    for position, shares in enumerate(graph.SPLITS.values()):
+        n = 199 * shares[-1] // 100
+        rates = stats.power(spark, design, scenarios, n, stats.POWER_DRAWS, 17 + position)
+        parts.append(rates.withColumn("candidate", F.lit(position)))
+    return stats.choose_design(functools.reduce(DataFrame.unionByName, parts))
 
 
 @query("""WITH s AS (SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O')::DOUBLE AS k, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), c AS (SELECT *, k / n AS p, 1.959963984540054::DOUBLE AS z FROM s)
@@ -651,7 +675,7 @@ def quota_shortfalls(spark, sf_dir):
     return contracts.quota_shortfalls(cases, {f"src{i}": 0 if i == 3 else 50 for i in range(23)})
 
 
-from . import protocol  # noqa: E402
+from . import manifests, protocol  # noqa: E402, F401  (manifests adds to the queries of protocol)
 
 QUERIES |= protocol.QUERIES
 SQL |= protocol.SQL

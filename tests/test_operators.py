@@ -295,3 +295,24 @@ def test_power_grid_has_every_scenario(spark, data):
     effects = (-0.15, -0.125, -0.1, -0.075, -0.05, -0.025, 0.0, 0.025, 0.05, 0.075, 0.1, 0.125, 0.15)
     assert sorted((r["effect"], r["discordance"]) for r in rows) == [(e, d) for e in effects for d in (0.1, 0.15, 0.25, 0.4)]
     assert {r["draws"] for r in rows} == {1000}
+
+
+def test_manifest_checks_of_empty_and_null_rows(spark):
+    from grovespan.operators import manifests
+
+    ratios = spark.createDataFrame([(1, None, 0.3, 0.5), (2, 0.2, 0.3, 0.5), (3, 0.2, 0.3, 0.5)], "candidate int, development double, calibration double, acceptance double")
+    assert sorted(map(tuple, manifests.ratio_problems(ratios).collect())) == [(1, "range"), (3, "repeated")]
+    assert manifests.ratio_problems(ratios.limit(0)).count() == 0
+    strata = spark.createDataFrame([], "candidate int, question_type string, support_leaf_class string, evidence_position_bin string, count bigint")
+    accepted = spark.createDataFrame([(1, 0)], "candidate int, n8 bigint")
+    assert [r["problem"] for r in manifests.stratum_problems(strata, accepted, ("a", "b")).collect()] == ["empty"]
+    counts = spark.createDataFrame([], "candidate int, split string, N_master int, N4 int, N8 int, N16 int")
+    assert manifests.split_count_problems(counts, dict.fromkeys(manifests.COUNT_NAMES, 0)).count() == 0
+
+
+def test_no_design_is_chosen_below_the_bound(spark):
+    rates = spark.createDataFrame([(0, 0.05, 0.7, 0.75), (0, -0.05, 0.6, 0.7), (1, 0.1, 0.6, 0.7), (1, 0.2, 0.9, 0.9)], "candidate int, effect double, lower double, power double")
+    row = stats.choose_design(rates).first()
+    assert (row["status"], row["candidate"], row["best_candidate"], row["best_delta"], row["best_lower"]) == ("blocked", None, 0, 0.05, 0.6)
+    won = stats.choose_design(rates, least=0.6).first()
+    assert (won["status"], won["candidate"], won["delta"], won["power"], won["lower"]) == ("passed", 0, 0.05, 0.7, 0.6)
