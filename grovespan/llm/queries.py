@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
+from . import chat, decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
 from .tables import load
 
 
@@ -54,6 +54,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = spark.createDataFrame(chat.PROBE, "conv_id bigint, turn bigint, role string, text string")
+    rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digest(chat.format_turns(rows.unionByName(probe)))
+
+
 def _digest(rows: DataFrame, pieces: str) -> DataFrame:
     kept = F.sha2(F.coalesce("_gs_kept", F.lit("")).cast("binary"), 256)
     return rows.select("doc_id", F.col("_gs_pieces").alias(pieces), F.col("_gs_removed").alias("n_removed"), kept.alias("kept_sha256"))
@@ -69,4 +75,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_benchmark_decontamination": decontaminate.SQL,
         "op5_source_mixing": mixing.SQL,
         "op6_line_dedup": repeats.LINE_SQL,
+        "op12_chat_formatting": chat.SQL,
     }

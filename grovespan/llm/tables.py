@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,26 @@ def dropped(df: DataFrame) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def positions(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` as a written table with ``_gs_at``, each row's place from 0 in the order by these columns, ascending, null first.
+
+    Rows are dealt by ranges of the columns and of a number of their own, so equal rows
+    do not meet in one task. A row's place is that in its task's sorted rows, plus the
+    rows of the tasks before; those counts are one row per task and are broadcast.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = df.withColumn("_gs_own", F.monotonically_increasing_id()).repartitionByRange(parts, *order, "_gs_own").sortWithinPartitions(*order, "_gs_own")
+    table = saved(dealt.drop("_gs_own").withColumn("_gs_place", F.monotonically_increasing_id()))
+    task = F.shiftright("_gs_place", 33)
+    counts = table.groupBy(task.alias("_gs_task")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_gs_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_gs_task", before.alias("_gs_before"))
+    out = table.withColumn("_gs_task", task).join(F.broadcast(starts), "_gs_task")
+    out = out.select(*df.columns, (F.col("_gs_before") + F.col("_gs_place").bitwiseAND(F.lit((1 << 33) - 1))).alias("_gs_at"))
+    out._grovespan_path = table._grovespan_path
+    return out
+
+
 def fold(column: Column | str, parts: int) -> Column:
     """crc32 of the value as text, modulo ``parts``; null counts as empty text."""
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(None)).cast("string").cast("binary")) % parts
