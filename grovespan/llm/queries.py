@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, jaccard_join, language_id, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
+from . import chat, decontaminate, fingerprints, jaccard_join, language_id, manifest, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
 from .tables import load
 
 
@@ -60,6 +60,12 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(rows.unionByName(probe)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = manifest.manifest(manifest.tampered(load(spark, sf_dir, "documents")))
+    out = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof_digest().alias("proof_sha256"), manifest.folded(F.coalesce("changed", "leaf")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def _digest(rows: DataFrame, pieces: str) -> DataFrame:
     kept = F.sha2(F.coalesce("_gs_kept", F.lit("")).cast("binary"), 256)
     return rows.select("doc_id", F.col("_gs_pieces").alias(pieces), F.col("_gs_removed").alias("n_removed"), kept.alias("kept_sha256"))
@@ -76,4 +82,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_source_mixing": mixing.SQL,
         "op6_line_dedup": repeats.LINE_SQL,
         "op12_chat_formatting": chat.SQL,
+        "op13_merkle_manifest": manifest.SQL,
     }
