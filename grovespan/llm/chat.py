@@ -15,7 +15,7 @@ Conversations of at most ``SLICE`` turns are one group each. The rows of longer
 their places from a sort by ranges, are formatted in slices of ``SLICE`` turns, and only
 the slices' texts meet (a conversation's text is one value of the result, and so the
 least that one row can hold). Which conversations are long comes from counts of their
-ids, so most rows are shuffled once.
+ids, broadcast while they are at most ``BROADCAST_IDS``, so most rows are shuffled once.
 
 Rows of equal or null turn are ordered by role and text, null first; repeated rows are
 turns of their own; null text and null role count as empty; rows of null conv_id are one
@@ -31,9 +31,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import positions
+from .tables import positions, saved
 
 SLICE = 512
+BROADCAST_IDS = 100_000
 
 
 @dataclass(frozen=True)
@@ -153,12 +154,15 @@ def format_turns(rows: DataFrame, template: Template = MARKED, most: int = SLICE
     """conv_id, n_turns, formatted, loss_spans (UTF-8 byte ranges of what is learned) of each conversation of ``rows(conv_id, turn, role, text)``."""
     rows = rows.select("conv_id", "turn", "role", "text")
     long = rows.groupBy(F.col("conv_id").alias("long_id")).count().where(F.col("count") > most).select("long_id")
+    long = saved(long)
+    count = long.limit(BROADCAST_IDS + 1).count()
+    ids = F.broadcast(long) if count <= BROADCAST_IDS else long
     same = F.col("conv_id").eqNullSafe(F.col("long_id"))
-    short = _slices(rows.join(long, same, "left_anti"), ["conv_id"], template)
+    short = _slices(rows.join(ids, same, "left_anti") if count else rows, ["conv_id"], template)
     out = _joined(short.select("conv_id", "n", F.array("part").alias("parts")), template)
-    if long.isEmpty():
+    if not count:
         return out
-    placed = positions(rows.join(long, same, "left_semi"), "conv_id", "turn", "role", "text").withColumn("slice", F.floor(F.col("_gs_at") / most))
+    placed = positions(rows.join(ids, same, "left_semi"), "conv_id", "turn", "role", "text").withColumn("slice", F.floor(F.col("_gs_at") / most))
     sliced = _slices(placed.withColumn("turn", F.col("_gs_at")), ["conv_id", "slice"], template)
     met = sliced.groupBy("conv_id").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("slice", "part"))).alias("s"))
     return out.unionByName(_joined(met.select("conv_id", "n", F.transform("s", lambda x: x["part"]).alias("parts")), template))
