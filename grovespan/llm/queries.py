@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, fingerprints, jaccard_join, language_id, manifest, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
+from . import alignment, chat, decontaminate, fingerprints, jaccard_join, language_id, manifest, mixing, repeats, secrets, sentences, suffix_dedup, toxicity
 from .tables import load
 
 
@@ -54,6 +54,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load(spark, sf_dir, "labels")))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.scored(load(spark, sf_dir, "documents"))
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame(chat.PROBE, "conv_id bigint, turn bigint, role string, text string")
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
