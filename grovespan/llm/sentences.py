@@ -2,9 +2,10 @@
 
 From every sentence a run goes on until it has ``LEAST`` sentences and ``WORDS``
 words or more, and to every sentence one comes from behind likewise; a single
-sentence of over ``ALONE_WORDS`` words is a run too. So any sequence of whole
-sentences that has a run at all is covered by its runs, to its first and last
-sentence, whatever the sentences' lengths. ``WORDS`` is half of ``ALONE_WORDS``, so
+sentence of over ``ALONE_WORDS`` words is a run too. A text of ``LEAST`` sentences or
+more that has fewer words is one run, whole, so that later copies of a short text go.
+So any sequence of whole sentences that has a run at all is covered by its runs, to its
+first and last sentence, whatever the sentences' lengths. ``WORDS`` is half of ``ALONE_WORDS``, so
 that a passage of that length that begins and ends inside sentences mostly holds
 a run, and two short sentences that happen to repeat do not make one.
 
@@ -72,7 +73,7 @@ def cut(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans_of(words: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and end sentence of the runs that start at each sentence, and of those that end at one and are not among these, singles included. ``to`` parts the documents."""
+    """First and end sentence of the runs that start at each sentence, and of those that end at one and are not among these, singles and whole short documents included. ``to`` parts the documents."""
     n = len(words)
     size = np.diff(to)
     low, high = np.repeat(to[:-1], size), np.repeat(to[1:], size)
@@ -84,7 +85,8 @@ def spans_of(words: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ends = i[begin >= low]
     ends = ends[end[begin[ends]] != ends + 1]
     alone = np.flatnonzero(words > ALONE_WORDS)
-    return forward, end[forward], np.concatenate([begin[ends], alone]), np.concatenate([ends + 1, alone + 1])
+    short = np.flatnonzero((size >= LEAST) & (total[to[1:]] - total[to[:-1]] < WORDS))
+    return forward, end[forward], np.concatenate([begin[ends], alone, to[short]]), np.concatenate([ends + 1, alone + 1, to[short + 1]])
 
 
 def _digests(raw: memoryview, starts: list[int], ends: list[int]) -> bytes:
