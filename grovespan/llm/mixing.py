@@ -12,11 +12,13 @@ at their bound and the others get weight times one level. All sums are whole
 numbers and each target is one division, so reruns agree to the last bit.
 
 Only per-source sums are shuffled, after partial sums. They are broadcast when
-they are at most ``BROADCAST_SOURCES`` rows, otherwise joined by shuffle on
+they are at most ``BROADCAST_BYTES`` together, otherwise joined by shuffle on
 source and a salt, so that a hot source spreads over ``SALTS`` tasks.
 
-Null text has size 0; a null and an empty source are two sources; repeated rows
-each count and get equal copies; an empty table gives an empty result. Columns
+The draw is a hash of seed, id and text, so rows of null or equal id and other text are
+drawn on their own. Null text has size 0; a null and an empty source are two sources;
+repeated rows (same id and text) each count and share one draw; an empty table gives an
+empty result. Columns
 named ``size``, ``source_size``, ``target``, ``copies`` or ``copy`` are replaced;
 all others are kept.
 """
@@ -30,7 +32,9 @@ from .tables import saved
 
 WEIGHTS = (3, 1, 2)
 SHARE_NUM, SHARE_DEN, MOST = 3, 2, 2
-BROADCAST_SOURCES = 50_000
+BROADCAST_BYTES = 8 << 20
+#: Bytes of a source's row besides its name.
+ROW_BYTES = 64
 SALTS = 64
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -59,9 +63,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     return marked.select("source", "source_size", target.alias("target"))
 
 
-def chance(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) from the seed and the id alone."""
-    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def chance(doc_id: Column, text: Column, seed: int) -> Column:
+    """A number in [0, 1) from the seed, the id and the text alone."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), own)
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("bigint") / F.lit(float(16**12))
 
 
@@ -71,14 +76,15 @@ def plan(docs: DataFrame, seed: int = 0) -> DataFrame:
     table = saved(targets(sized.select("source", "size")))
     right = table.withColumnRenamed("source", "_source")
     same = F.col("source").eqNullSafe(F.col("_source"))
-    if table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+    size = table.agg(F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         both = sized.join(F.broadcast(right), same)
     else:
         left = sized.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         salted = right.withColumn("_salt_r", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         both = left.join(salted, same & (F.col("_salt") == F.col("_salt_r"))).drop("_salt", "_salt_r")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (chance(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("bigint")
+    copies = F.floor(rate) + (chance(F.col("doc_id"), F.col("text"), seed) < rate - F.floor(rate)).cast("bigint")
     return both.withColumn("copies", copies.cast("bigint")).drop("_source")
 
 
@@ -89,7 +95,7 @@ def emit(docs: DataFrame, seed: int = 0) -> DataFrame:
 
 SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  SELECT doc_id, source, md5(coalesce(text, '')) AS own, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 per AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighted AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM per),
@@ -104,7 +110,7 @@ target AS (
   FROM marked LEFT JOIN free ON true),
 rated AS (
   SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN least(target / source_size, 2.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
-    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / {float(16**12)}::DOUBLE AS u
+    ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || own), 1, 12))::BIGINT / {float(16**12)}::DOUBLE AS u
   FROM sized JOIN target ON sized.source IS NOT DISTINCT FROM target.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM rated
 """
