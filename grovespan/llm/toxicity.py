@@ -13,13 +13,17 @@ as the non-negative estimator asks. Weights carry an L2 penalty.
 Labels are read only from the training folds (crc32 of the id as text, modulo 4,
 is not 2), and only toxic = 1 rows act as labels of texts; the prior is the share
 of toxic rows among the training folds' labelled rows. The training sample is
-bounded: at most ``POSITIVES`` toxic rows by hash of the id and about ``UNLABELLED``
+bounded: at most ``POSITIVES`` toxic texts, copies once, by hash, and about ``UNLABELLED``
 texts, those whose 64-bit hash of id and text is under a threshold, repeated rows
 once; one task trains on it, not the driver. A sample without a text, where there
 are texts, is an error. Everything else, the scores
 included, covers all rows. The model
 is ``FEATURES`` hashes and weights, a fixed bound, and is broadcast.
 
+A feature must be in ``LEAST_DOCS`` toxic texts, or in all where there are fewer, and its
+z score must reach ``LEAST_Z``, or half of the highest that a sample can have where that
+is less. Where no feature does, all scores are the prior, but under the threshold.
+
 Null and empty texts score like a text without any known word. Without a toxic
 training row every score is 0. A label that repeats with different values counts
 as toxic; null labels and null ids do not count. Repeated rows score alike. Only
@@ -91,6 +95,12 @@ def none() -> Model:
     return Model(np.zeros(1, np.uint64), np.zeros((1, len(LEVELS))), 0.0, known=False)
 
 
+def flat_model(prior: float) -> Model:
+    """No feature tells: the prior, but no text is rejected."""
+    p = min(prior, 0.99 * THRESHOLD)
+    return Model(np.zeros(1, np.uint64), np.zeros((1, len(LEVELS))), float(np.log(p / (1 - p))))
+
+
 def _features(docs: DataFrame) -> DataFrame:
     """_gs_pos, and of each text the distinct feature hashes, as bytes, their levels, as bits, and a hash of both."""
     kernel.bounded_batches(docs.sparkSession)
@@ -133,10 +143,11 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     slot = lambda x: (x >> np.uint64(42)).astype(np.int64)
     for x, _ in positive:
         np.add.at(few, slot(x), 1)
-    chosen = [few[slot(x)] >= LEAST_DOCS for x, _ in texts]
+    least = min(LEAST_DOCS, n_p)
+    chosen = [few[slot(x)] >= least for x, _ in texts]
     flat = np.concatenate([x[c] for (x, _), c in zip(texts, chosen)])
     if not len(flat):
-        return none()
+        return flat_model(prior)
     bits = np.concatenate([b[c] for (_, b), c in zip(texts, chosen)])
     row = np.repeat(np.arange(n_p + n_u, dtype=np.int32), [int(c.sum()) for c in chosen])
     keys, code = np.unique(flat, return_inverse=True)
@@ -149,10 +160,12 @@ def fit(positive: list[tuple[np.ndarray, np.ndarray]], unlabelled: list[tuple[np
     in_u = np.bincount(code[row >= n_p], minlength=width)
     both = (in_p + in_u) / (n_p + n_u)
     z = (in_p / n_p - in_u / n_u) / np.sqrt(np.maximum(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u))
-    z[(in_p < LEAST_DOCS) | (in_p / n_p < min(LEAST_LIFT, 0.5 + 0.5 / prior) * in_u / n_u)] = -1
-    best = np.sort(np.lexsort((np.arange(width), -z))[: min(FEATURES, int((z >= LEAST_Z).sum()))])
+    z[(in_p < least) | (in_p / n_p < min(LEAST_LIFT, 0.5 + 0.5 / prior) * in_u / n_u)] = -1
+    # What all toxic texts have and no other has reaches the root of their number.
+    enough = min(LEAST_Z, 0.5 * np.sqrt(n_p + n_u))
+    best = np.sort(np.lexsort((np.arange(width), -z))[: min(FEATURES, int((z >= enough).sum()))])
     if not len(best):
-        return none()
+        return flat_model(prior)
     number = np.full(width, -1)
     number[best] = np.arange(len(best))
     keep = number[code] >= 0
@@ -188,7 +201,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = own.where("_gs_toxic = 1").orderBy(F.xxhash64("_gs_id", F.lit(11)), "_gs_id").limit(POSITIVES).select("_gs_id", F.lit(True).alias("_gs_pos"))
     rows = docs.select("doc_id", "text").where(F.coalesce(fold("doc_id") != HELD_OUT, F.lit(True)))
     total = rows.count()
-    positive = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_gs_id")).select("_gs_pos", "text")
+    positive = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_gs_id")).select("_gs_pos", "text").dropDuplicates(["text"])
+    positive = positive.orderBy(F.xxhash64("text", F.lit(11)), "text").limit(POSITIVES)
     some = rows.where(drawn(total)).dropDuplicates(["doc_id", "text"]).select(F.lit(False).alias("_gs_pos"), "text")
     found = saved(_features(positive.unionByName(some)))
     if total and found.where("not _gs_pos").isEmpty():
