@@ -30,7 +30,7 @@ can split a hot one. Some bounded counts run when the query is built.
 
 All shuffles but the last carry hashes and positions. Texts are shuffled only for
 documents with contexts to sort or spans to cut; their ids are broadcast to
-pick them while they are at most ``BROADCAST_IDS``, beyond that joined.
+pick them while they are at most ``BROADCAST_BYTES`` together, beyond that joined.
 
 Null text counts as empty. A text of under 400 bytes keeps all. Repeated rows
 (equal doc_id and text) are repeats of each other like any other copies; rows of
@@ -56,7 +56,9 @@ GRAM = 64
 SHARD_BYTES = 3_000_000
 HOT = 15_000
 OWN_SHARD = 1_500
-BROADCAST_IDS = 500_000
+BROADCAST_BYTES = 32 << 20
+#: Bytes of an id's row besides its digits or letters.
+ROW_BYTES = 48
 
 _BEFORE = LENGTH - GRAM
 
@@ -129,11 +131,16 @@ def _anchors(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {id_type}, th bigint, pos int, before smallint, after smallint, gram bigint, c1 bigint, c2 bigint")
 
 
+def sent_bytes(ids: DataFrame) -> int:
+    """What the one column of ``ids`` takes when it is broadcast."""
+    return ids.agg(F.sum(F.coalesce(F.octet_length(F.col(ids.columns[0]).cast("string")), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+
+
 def _picked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, th, text of the documents whose doc_id is in ``ids``, where these are few enough to be sent; else of all."""
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), F.coalesce("text", F.lit("")).alias("text"))
     few = ids.select("doc_id").distinct()
-    if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if sent_bytes(few) <= BROADCAST_BYTES:
         few = few.withColumnRenamed("doc_id", "_i")
         rows = rows.join(F.broadcast(few), F.col("doc_id").eqNullSafe(F.col("_i")), "left_semi")
     return rows
@@ -361,7 +368,7 @@ def dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     few = merged.select("did").distinct()
-    if few.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if sent_bytes(few) <= BROADCAST_BYTES:
         marked = rows.join(F.broadcast(few.withColumn("_hit", F.lit(True))), F.col("doc_id").eqNullSafe(F.col("did")), "left").drop("did")
         touched, rest = marked.where("_hit").drop("_hit"), marked.where("_hit is null")
     else:
