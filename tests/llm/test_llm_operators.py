@@ -368,6 +368,15 @@ def test_links_in_the_table(spark):
 
 # op5
 
+def test_mixing_rows_of_null_and_equal_ids(spark):
+    """Rows that ids do not tell apart are drawn one by one, so their source comes near its target."""
+    rows = [(None, f"text {k} of ten words or so, that is all", None, "null ids", 0) for k in range(900)] + [(7, f"other {k} of ten words or so, that is all", None, "one id", 0) for k in range(900)]
+    rows += [(k, f"more {k} of ten words or so, that is all", None, "plain", 0) for k in range(700)]
+    got = mixing.plan(spark.createDataFrame(rows, DOCS)).groupBy("source").agg(F.first("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("n"), F.first("source_size").alias("s")).collect()
+    assert all(abs(r["n"] - r["t"]) < 0.06 * r["s"] for r in got), got
+    assert any(r["t"] % r["s"] for r in got)
+
+
 def test_mixing_bounds_and_targets(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(["w"] * rng.randint(0, 30)), rng.choice(["a", "b", None, "", "z"] + ["hot"] * 4)) for i in range(4000)]
@@ -404,7 +413,7 @@ def test_mixing_bounds_and_targets(spark):
 
 def test_mixing_salted_join(spark, monkeypatch, data):
     plain = sorted(map(str, mixing.plan(load(spark, data, "documents")).select("doc_id", "target", "copies").collect()))
-    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
     assert sorted(map(str, mixing.plan(load(spark, data, "documents")).select("doc_id", "target", "copies").collect())) == plain
 
 
@@ -446,6 +455,7 @@ def brute_sentences(texts):
             begins = [j for j in range(0, i) if sum(words[j : i + 1]) >= 25]
             runs |= {(i, ends[0])} if ends else set()
             runs |= {(begins[-1], i + 1)} if begins else set()
+        runs |= {(0, len(p))} if len(p) >= 2 and sum(words) < 25 else set()
         gone = set()
         for i, j in sorted(runs):
             key = tuple(x.rstrip(" \n\r\t") for x in p[i:j])
@@ -462,6 +472,7 @@ def test_sentence_spans_brute_force(spark):
     passages = ["".join(rng.choice(many) for _ in range(rng.randint(2, 9))) for _ in range(8)]
     texts = ["".join(rng.choice(passages) if rng.random() < 0.3 else f"own{rng.randint(0, 9)} {rng.choice(many)}" for _ in range(rng.randint(0, 12))) for _ in range(150)]
     texts += ["", None, "Again and again it goes on so. " * 400, " \n. \n", texts[3]]
+    texts += [rng.choice(["One. Two words. And three.", "A b. C d!", "Alone", "A b. C d! E."]) for _ in range(12)]
     kept = {r["doc_id"]: r for r in sentences.dedup(docs_of(spark, texts)).collect()}
     assert [kept[i]["_gs_kept"] for i in range(len(texts))] == brute_sentences(texts)
     assert sum(r["_gs_removed"] for r in kept.values()) > 500
@@ -477,6 +488,32 @@ def test_passages_of_any_sentence_lengths_are_cut(spark):
     assert kept[2] == texts[2] and kept[5] == texts[5] and kept[6] == texts[6]
 
 
+def test_short_texts_lose_later_copies(spark):
+    text = "One of four. Two of four! Three of the four? Four of four, all in all."
+    kept = [r["_gs_kept"] for r in sentences.dedup(docs_of(spark, [text, text, "Only one", "Only one", text + " ", text])).orderBy("doc_id").collect()]
+    assert kept == [text, "", "Only one", "Only one", "", ""]
+
+
+def test_hot_windows_are_joined_over_two_exchanges(spark):
+    """Both sides of the join of windows are read from exchanges, so that Spark can split a hot one; all later ones go."""
+    texts = [f"own {k}\nx\ny\nz\nend {k}" if k % 3 else f"a {k}\nb {k}\nc {k}" for k in range(3000)]
+    docs = docs_of(spark, texts).repartition(8)
+    keys = ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")
+    before = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("1k", "1k", "-1", "1")):
+            spark.conf.set(k, v)
+        out = repeats.covered(docs, repeats.LINE_WINDOWS)
+        assert out.count() == 1999
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    join = next(x for x in plan.split("\n") if "SortMergeJoin" in x)
+    assert "skew=true" in join, plan
+
+
 # op8, op10
 
 def test_language_held_out(spark):
@@ -555,6 +592,79 @@ def test_toxicity_sample_of_very_many_rows(spark):
     assert low > 10**10
 
 
+def plain_scores(texts, toxic, prior):
+    """Features, choice and training by dicts and dense arrays; the score of each of ``texts``, of which ``toxic`` and all were learned from."""
+    lower = lambda t: "".join(c.lower() if c.isascii() or 0xC0 <= ord(c) <= 0xDE and ord(c) != 0xD7 else c for c in t)
+    reached = lambda n, words: [n >= 1, n >= 2, n >= 3, n >= 2 and n * 400 >= words, n >= 2 and n * 150 >= words]
+
+    def features(t):
+        words = re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", lower(t or ""))
+        raw = [w.encode() for w in words]
+        count = Counter([(w, 0) for w in raw] + [(w[:k], k) for w in raw for k in (4, 5, 6) if len(w) > k])
+        return {(f, level) for f, n in count.items() for level, x in enumerate(reached(n, len(words))) if x}
+
+    sample = [features(texts[k]) for k in toxic] + [features(t) for t in texts]
+    n_p, n_u = len(toxic), len(texts)
+    least, enough = min(5, n_p), min(4.0, 0.5 * (n_p + n_u) ** 0.5)
+    chosen = []
+    for f in set().union(*sample[:n_p]):
+        p, u = sum(f in s for s in sample[:n_p]), sum(f in s for s in sample[n_p:])
+        both = (p + u) / (n_p + n_u)
+        z = (p / n_p - u / n_u) / (max(both * (1 - both), 1e-9) * (1 / n_p + 1 / n_u)) ** 0.5
+        if p >= least and p / n_p >= min(3.0, 0.5 + 0.5 / prior) * u / n_u and z >= enough:
+            chosen.append(f)
+    if not chosen:
+        return [min(prior, 0.297)] * n_u
+    x = np.array([[f in s for f in chosen] for s in sample], float)
+    w, bias = np.zeros(len(chosen)), np.log(prior / (1 - prior))
+    m = v = np.zeros(len(chosen) + 1)
+    for t in range(1, 401):
+        g = bias + x @ w
+        p = 1 / (1 + np.exp(-g))
+        if np.log1p(np.exp(g[n_p:])).mean() - prior * np.log1p(np.exp(g[:n_p])).mean() < 0:
+            d = np.concatenate([prior * p[:n_p] / n_p, -p[n_p:] / n_u])
+        else:
+            d = np.concatenate([np.full(n_p, -prior / n_p), p[n_p:] / n_u])
+        step = np.append(x.T @ d + 1e-4 * w, d.sum())
+        m, v = 0.9 * m + 0.1 * step, 0.999 * v + 0.001 * step**2
+        step = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t) * m / (np.sqrt(v) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    return (1 / (1 + np.exp(-(bias + x[n_p:] @ w)))).tolist()
+
+
+@pytest.mark.parametrize("n_toxic", [1, 2, 3, 4, 5, 12])
+def test_toxicity_scores_as_plain_training(spark, n_toxic):
+    """Whole scores against a second version, also with as few toxic rows as one: they find their like."""
+    rng = random.Random(n_toxic)
+    own = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 != 2]
+    toxic = set(own[3 : 3 + 7 * n_toxic : 7])
+    texts = {k: " ".join(rng.choice(["plain", "words", "Été", "of", f"w{rng.randint(0, 30)}", "talking"]) for _ in range(rng.randint(3, 40))) + (" scum filthiest SCUM" if k in toxic else "") for k in own}
+    docs = spark.createDataFrame([(k, t) for k, t in texts.items()], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in own], "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    want = plain_scores([texts[k] for k in own], [i for i, k in enumerate(own) if k in toxic], min(max(n_toxic / len(own), 0.01), 0.9))
+    assert np.allclose([got[k] for k in own], want, atol=1e-7)
+    assert min(got[k] for k in toxic) > max(got[k] for k in own if k not in toxic)
+
+
+def test_toxicity_where_no_word_tells(spark):
+    docs = docs_of(spark, ["the same words in all"] * 40)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, toxic int")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert {r["predicted"] for r in rows} == {0} and len({r["score"] for r in rows}) == 1 and 0 < rows[0]["score"] < 0.3
+
+
+def test_toxicity_sample_of_copies(spark, monkeypatch):
+    """Rows that repeat one id with the same or other texts do not pass the bound on the sample."""
+    monkeypatch.setattr(toxicity, "POSITIVES", 3)
+    docs = spark.createDataFrame([(1, f"bad {k % 40}") for k in range(400)] + [(k, "fine") for k in range(3, 60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0)], "doc_id bigint, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "_features", lambda d, f=toxicity._features: (seen.append(d), f(d))[1])
+    toxicity.train(docs, labels)
+    assert seen[0].where("_gs_pos").count() == 3
+
+
 def test_toxicity_held_out(spark):
     d = "/root/testdata/sf0.1"
     docs, labels = load(spark, d, "documents"), load(spark, d, "labels")
@@ -624,7 +734,7 @@ def bytes_left(rows):
     return [got[i] for i in sorted(got)]
 
 
-@pytest.mark.parametrize("name,value", [("BROADCAST_IDS", 0), ("OWN_SHARD", 2), ("_AT_ONCE", 1_000), ("SHARD_BYTES", 20_000)])
+@pytest.mark.parametrize("name,value", [("BROADCAST_BYTES", -1), ("OWN_SHARD", 2), ("_AT_ONCE", 1_000), ("SHARD_BYTES", 20_000)])
 def test_suffix_dedup_other_paths(spark, monkeypatch, name, value):
     rng = random.Random(22)
     word = lambda: "".join(rng.choice("abcde") for _ in range(rng.randint(1, 8)))
