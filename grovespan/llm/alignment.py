@@ -9,14 +9,15 @@ one byte and the group closes. Transitions are memoised by lead, residual and to
 
 At a lone space between two visible characters the state is always empty: no word of
 A's splitting and no piece of B holds a space behind another character (``Sides`` checks
-the vocabulary and reads whole texts otherwise). So the transducer also memoises its runs
-from one such space to the next; both memos are bounded and start anew when full.
+the vocabularies and reads whole texts otherwise). So the transducer also memoises its
+runs from one such space to the next. Both memos are bounded: transitions start anew when
+they are full, runs that come up when theirs is are aligned for their batch alone.
 
-``align`` returns the groups; ``counted`` how many documents hold each linked pair of ids,
-summed per batch of documents before the shuffle; ``scored`` joins these counts with the
-links of each document. Texts are read once for the counts and once for the links, which
-costs less than to keep the links of all documents. Counts are broadcast while they are
-at most ``BROADCAST_BYTES``, otherwise joined by shuffle, where Spark splits hot pairs.
+``align`` returns the groups and the distinct linked pairs of each document; ``counted``
+how many documents hold each pair, summed in each task before the shuffle; ``scored``
+joins these counts with the links, which are written once and are smaller than the
+texts. Counts are broadcast while they are at most ``BROADCAST_BYTES``, otherwise joined
+by shuffle, where Spark splits hot pairs.
 
 Null and empty texts, and texts whose tokens do not give their bytes back, have no tokens:
 all figures 0, the groups empty. Control strings of the vocabularies are ordinary text.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,7 @@ from .tables import saved
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Most runs and transitions kept by a worker, and characters of the runs kept.
-RUNS, TRANSITIONS, RUN_CHARS = 200_000, 1_000_000, 16 << 20
-#: Pairs that a task holds before it hands their counts on.
-HELD_PAIRS = 4_000_000
+RUNS, TRANSITIONS, RUN_CHARS = 400_000, 1_000_000, 16 << 20
 BROADCAST_BYTES, COUNT_BYTES = 256 << 20, 64
 
 _SPACE = "▁"
@@ -74,7 +74,7 @@ class Sides:
         self.a_bytes = [bytes(letters[c] for c in self.a.id_to_token(i)) if all(c in letters for c in self.a.id_to_token(i)) else self.a.id_to_token(i).encode() for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(_SPACE, " ").encode() for i, p in enumerate(pieces)]
-        self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces) and not any(b" " in t.lstrip(b" ") for t in self.a_bytes)
+        self.cuts = not any(_SPACE in p.lstrip(_SPACE) for p in pieces) and not any(re.search(r"\S ", t.decode(errors="replace")) for t in self.a_bytes)
 
     def runs(self, text: str) -> list[str]:
         """The text with a space in front, cut where no token of either side crosses."""
@@ -97,117 +97,151 @@ def sides(folder: str) -> Sides:
 
 
 class Transducer:
-    """Aligns two token lists; a state is (lead, residual): 0 and no bytes, 1 where A leads, 2 where B leads."""
+    """Aligns two token lists. A state is (lead, residual): 0 and no bytes, 1 where A leads, 2 where B leads; states and their transitions are numbered as they come up."""
 
     def __init__(self, a_bytes: list[bytes], b_bytes: list[bytes]):
-        self.of = (a_bytes, b_bytes)
-        self.memo: dict[tuple[int, bytes, int], tuple[int, bytes] | None] = {}
-
-    def step(self, lead: int, residual: bytes, token: int) -> tuple[int, bytes] | None:
-        """The state after the side behind (A where none is) gives ``token``; None where the bytes differ."""
-        key = (lead, residual, token)
-        if key in self.memo:
-            return self.memo[key]
+        self.of, self.width = (a_bytes, b_bytes), len(b_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = {(0, b""): 0}
+        self.states: list[tuple[int, bytes]] = [(0, b"")]
+        self.leads = [0]
+        #: of each state: the next state, -1 where the bytes differ, by the token of the side behind
+        self.next: list[dict[int, int]] = [{}]
+        self.transitions = 0
+
+    def step(self, state: int, token: int) -> int:
+        """The state after the side behind (A where none is) gives ``token``, which is noted."""
+        lead, residual = self.states[state]
         behind = 1 if lead == 1 else 0
         own = self.of[behind][token]
-        if residual.startswith(own) and lead:
-            rest = residual[len(own) :]
-            state = (lead, rest) if rest else (0, b"")
+        if lead and residual.startswith(own):
+            rest, ahead = residual[len(own) :], lead
         elif own.startswith(residual):
-            rest = own[len(residual) :]
-            state = (behind + 1, rest) if rest else (0, b"")
+            rest, ahead = own[len(residual) :], behind + 1
         else:
-            state = None
-        if len(self.memo) >= TRANSITIONS:
-            self.memo.clear()
-        self.memo[key] = state
-        return state
-
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """Ends of the groups (in a, in b) and the linked ids, or None where the sides' bytes differ."""
-        i = j = lead = ahead = 0
-        residual, ends, links = b"", [], []
-        while i < len(a) or j < len(b):
+            rest, ahead = b"", -1
+        new = -1
+        if ahead >= 0:
+            key = (ahead, rest) if rest else (0, b"")
+            new = self.numbers.setdefault(key, len(self.states))
+            if new == len(self.states):
+                self.states.append(key)
+                self.leads.append(key[0])
+                self.next.append({})
+        self.next[state][token] = new
+        self.transitions += 1
+        return new
+
+    def align(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
+        """The closed groups (``a1,a2|b1``) and the linked pairs (a * size of B + b), or None where the sides' bytes differ."""
+        if self.transitions >= TRANSITIONS:
+            self.forget()
+        after, leads, width = self.next, self.leads, self.width
+        na, nb = len(a), len(b)
+        i = j = p = q = state = ahead = 0
+        groups, links = [], []
+        while i < na or j < nb:
+            lead = leads[state]
             if lead == 1:
-                if j == len(b):
+                if j == nb:
                     return None
                 token = b[j]
                 j += 1
-                links.append((ahead, token))
+                links.append(ahead * width + token)
             else:
-                if i == len(a):
+                if i == na:
                     return None
                 token = a[i]
                 i += 1
                 if lead:
-                    links.append((token, ahead))
-            state = self.step(lead, residual, token)
-            if state is None:
+                    links.append(token * width + ahead)
+            new = after[state].get(token)
+            if new is None:
+                new = self.step(state, token)
+            if new < 0:
                 return None
-            if state[0] != lead:
+            if leads[new] != lead:
                 ahead = token
-            lead, residual = state
-            if not lead:
-                ends.append((i, j))
-        return None if lead else (ends, links)
+            state = new
+            if not state:
+                one = i - p == 1 == j - q
+                groups.append(f"{a[p]}|{b[q]}" if one else f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
+                p, q = i, j
+        return None if state else (groups, links)
 
 
 class Aligner:
-    """Runs of texts, aligned once each while they are kept."""
+    """Runs of texts, aligned once each: the first ``RUNS`` are kept, those that come up later only for their batch."""
 
     def __init__(self, both: Sides):
         self.sides, self.transducer = both, Transducer(both.a_bytes, both.b_bytes)
-        self.width = len(both.b_bytes)
-        self.forget()
-
-    def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.chars = 0
-        #: tokens of A and B, groups, links, whether the bytes are the text's
-        self.figures: list[tuple[int, int, int, int, int]] = []
         self.groups: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        #: by run: tokens of A and B, groups, and whether the bytes are the text's
+        self.figures = array("q")
+        #: the linked pairs of all runs, and where each run's end
+        self.pairs, self.ends = array("q"), array("q", [0])
+        self.fleeting: list[str] = []
 
     def learn(self, runs: set[str]) -> None:
         new = [r for r in runs if r not in self.number]
+        a_bytes, figures, pairs, ends = self.sides.a_bytes, self.figures, self.pairs, self.ends
         for run, a, b in zip(new, *(self.sides.encoded(new) if new else ((), ()))):
-            raw = run.encode()
-            found = None
-            if b"".join(map(self.sides.a_bytes.__getitem__, a)) == raw == b"".join(map(self.sides.b_bytes.__getitem__, b)):
-                found = self.transducer.align(a, b)
-            self.number[run] = len(self.figures)
-            self.chars += len(run)
+            found = self.transducer.align(a, b) if b"".join([a_bytes[x] for x in a]) == run.encode() else None
+            if len(self.groups) >= RUNS or self.chars + len(run) > RUN_CHARS:
+                self.fleeting.append(run)
+            else:
+                self.chars += len(run)
+            self.number[run] = len(self.groups)
             if found is None:
-                self.figures.append((0, 0, 0, 0, 0))
+                figures.extend((0, 0, 0, 0))
                 self.groups.append("")
-                self.pairs.append(np.zeros(0, np.int64))
-                continue
-            ends, links = found
-            parts, p, q = [], 0, 0
-            for i, j in ends:
-                parts.append(f"{','.join(map(str, a[p:i]))}|{','.join(map(str, b[q:j]))}")
-                p, q = i, j
-            self.figures.append((len(a), len(b), len(ends), len(links), 1))
-            self.groups.append(";".join(parts))
-            self.pairs.append(np.array([x * self.width + y for x, y in links], np.int64))
+            else:
+                figures.extend((len(a), len(b), len(found[0]), 1))
+                self.groups.append(";".join(found[0]))
+                pairs.extend(found[1])
+            ends.append(len(pairs))
 
-    def documents(self, texts: list[str | None]):
-        """For each text: its runs' numbers, or None where it has no tokens."""
-        if len(self.figures) > RUNS or self.chars > RUN_CHARS:
-            self.forget()
+    def forget(self) -> None:
+        """Drop the runs that were not to be kept. They are not always the last, so all after the first of them go."""
+        if not self.fleeting:
+            return
+        least = min(map(self.number.__getitem__, self.fleeting))
+        for run in [r for r, k in reversed(self.number.items()) if k >= least]:
+            del self.number[run]
+        self.chars = sum(map(len, self.number)) if least < RUNS else self.chars
+        del self.groups[least:], self.figures[4 * least :], self.pairs[self.ends[least] :], self.ends[least + 1 :]
+        self.fleeting = []
+
+    def documents(self, texts: list[str | None]) -> list[tuple]:
+        """Of each text: tokens of A and B, groups, links, the groups' text, the distinct linked pairs and how often each is."""
         cut = [self.sides.runs(t) if t else None for t in texts]
         self.learn({r for c in cut if c for r in c})
-        number = self.number
-        ids = [np.array([number[r] for r in c], np.int64) if c else None for c in cut]
-        figures = np.array(self.figures, np.int64).reshape(-1, 5)
-        return [None if k is None or not figures[k, 4].all() else k for k in ids], figures
-
-    def linked(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct linked pairs of a document and how often each is."""
-        own, times = np.unique(ids, return_counts=True)
-        parts = [self.pairs[k] for k in own.tolist()]
-        pairs, at = np.unique(np.concatenate(parts), return_inverse=True)
-        return pairs, np.bincount(at, np.repeat(times, [len(p) for p in parts]), minlength=len(pairs)).astype(np.int64)
+        number, groups = self.number.__getitem__, self.groups.__getitem__
+        figures = np.frombuffer(self.figures, np.int64).reshape(-1, 4)
+        pairs, ends = np.frombuffer(self.pairs, np.int64) if self.pairs else np.zeros(0, np.int64), np.frombuffer(self.ends, np.int64)
+        none = (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+        out = []
+        for c in cut:
+            if c is None:
+                out.append(none)
+                continue
+            ids = list(map(number, c))
+            at = np.array(ids, np.int64)
+            n_a, n_b, n_groups, right = figures[at].sum(0).tolist()
+            if right < len(ids):
+                out.append(none)
+                continue
+            size = ends[at + 1] - ends[at]
+            begin = np.cumsum(size) - size
+            linked, times = np.unique(pairs[np.repeat(ends[at] - begin, size) + np.arange(int(size.sum()))], return_counts=True)
+            out.append((n_a, n_b, n_groups, int(size.sum()), ";".join(map(groups, ids)), linked, times))
+        del figures, pairs, ends  # views: their arrays cannot shrink before
+        self.forget()
+        return out
 
 
 _ALIGNERS: dict[str, Aligner] = {}
@@ -219,73 +253,44 @@ def aligner(folder: str) -> Aligner:
     return _ALIGNERS[folder]
 
 
-def _steps(batches, folder: str):
-    """Slices of the batches (column 1 is the text) of bounded bytes, with their documents."""
-    own = aligner(folder)
-    for batch in batches:
-        _, offsets = kernel.string_buffers(batch.column(1))
-        for i, j in kernel.steps(offsets):
-            part = batch.slice(i, j - i)
-            yield own, part, *own.documents(part.column(1).to_pylist())
-
-
 def align(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, groups (``a1,a2|b1;a3|b2``, decimal ids), pairs and times (distinct linked pairs as a * size of B + b, how often) of every row."""
     kernel.bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for own, part, ids, figures in _steps(batches, folder):
-            sums = np.array([figures[k].sum(0) if k is not None else np.zeros(5, np.int64) for k in ids], np.int64).reshape(-1, 5)
-            groups = [";".join([own.groups[x] for x in k.tolist()]) if k is not None else "" for k in ids]
-            linked = [own.linked(k) if k is not None else (np.zeros(0, np.int64),) * 2 for k in ids]
-            ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in linked])]).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([x[k] for x in linked]))) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(sums[:, k])) for k in range(4)), pa.array(groups, pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
+        own = aligner(folder)
+        for batch in batches:
+            _, offsets = kernel.string_buffers(batch.column(1))
+            for i, j in kernel.steps(offsets):
+                part = batch.slice(i, j - i)
+                rows = list(zip(*own.documents(part.column(1).to_pylist())))
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in rows[5]])]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(c).astype(np.int64))) for c in rows[5:]]
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups", "pairs", "times"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, pairs array<bigint>, times array<bigint>"
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def counted(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
-    """pair, n (documents that hold it linked), best (whether n is the highest of its A id) of all linked pairs."""
-    kernel.bounded_batches(docs.sparkSession)
-    width = len(sides(folder).b_bytes)
-
-    def run(batches):
-        held, size = [], 0
-
-        def summed():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "n"])
-
-        for own, _, ids, _ in _steps(batches, folder):
-            for k in ids:
-                if k is not None:
-                    held.append(own.linked(k)[0])
-                    size += len(held[-1])
-            if size > HELD_PAIRS:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
-
-    sums = docs.select("doc_id", "text").mapInArrow(run, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+def counted(rows: DataFrame, folder: str = FOLDER) -> DataFrame:
+    """pair, n (documents that hold it linked), best (whether n is the highest of its A id) of all pairs of ``align``'s rows."""
+    sums = rows.select(F.explode("pairs").alias("pair")).groupBy("pair").agg(F.count("*").alias("n"))
     # An A id has at most as many pairs as B has ids.
-    top = F.max("n").over(Window.partitionBy(F.floor(F.col("pair") / width)))
+    top = F.max("n").over(Window.partitionBy(F.floor(F.col("pair") / len(sides(folder).b_bytes))))
     return sums.select("pair", "n", (F.col("n") == top).alias("best"))
 
 
 def scored(docs: DataFrame, folder: str = FOLDER) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    counts = saved(counted(docs, folder))
+    own = ["_gs_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    rows = align(docs, folder).select("*", F.monotonically_increasing_id().alias("_gs_row"), digest.alias("groups_sha256"))
+    rows = saved(rows.select(*own, "pairs", "times"), "zstd")
+    counts = saved(counted(rows, folder))
     if counts.count() * COUNT_BYTES <= BROADCAST_BYTES:
         counts = F.broadcast(counts)
-    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
-    own = ["_gs_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    # Rows get their numbers before their links part them.
-    digests = align(docs, folder).select("*", F.monotonically_increasing_id().alias("_gs_row"), digest.alias("groups_sha256"))
-    rows = digests.select(*own, F.explode_outer(F.arrays_zip("pairs", "times")).alias("link"))
-    met = rows.select(*own, F.col("link.pairs").alias("pair"), F.col("link.times").alias("times")).join(counts, "pair", "left")
+    links = rows.select(*own, F.explode_outer(F.arrays_zip("pairs", "times")).alias("link"))
+    met = links.select(*own, F.col("link.pairs").alias("pair"), F.col("link.times").alias("times")).join(counts, "pair", "left")
     sums = met.groupBy(*own).agg(
         F.coalesce(F.sum(F.when(F.col("best"), F.col("times"))), F.lit(0)).alias("n_best"),
         F.coalesce(F.sum(F.col("times") * F.col("n")), F.lit(0)).alias("count_sum"),

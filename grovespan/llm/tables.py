@@ -28,14 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """``df`` as a written table in the shared folder: it is computed once, and lost executors do not take it along.
 
     The folder goes when the driver's JVM ends, or earlier by ``dropped``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/grovespan-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)

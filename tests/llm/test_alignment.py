@@ -90,16 +90,18 @@ def test_same_on_the_documents(spark, data):
     assert got(alignment.scored(docs)) == brute(texts)
 
 
-@pytest.mark.parametrize("name,value", [("BROADCAST_BYTES", -1), ("RUNS", 5), ("TRANSITIONS", 3), ("HELD_PAIRS", 2), ("RUN_CHARS", 10)])
+@pytest.mark.parametrize("name,value", [("BROADCAST_BYTES", -1), ("RUNS", 5), ("TRANSITIONS", 3), ("RUN_CHARS", 10), ("RUN_CHARS", 300)])
 def test_bounds_change_nothing(spark, monkeypatch, name, value):
     texts = awkward_texts()[:60]
     want = brute(texts)
     monkeypatch.setattr(alignment, name, value)
-    both = alignment.Aligner(alignment.sides(alignment.FOLDER))
-    for k in range(0, 60, 7):
-        part = texts[k : k + 7]
-        ids, figures = both.documents(part)
-        assert [tuple(figures[x].sum(0)[:4]) if x is not None else (0, 0, 0, 0) for x in ids] == [w[:4] for w in want[k : k + 7]]
+    own = alignment.Aligner(alignment.sides(alignment.FOLDER))
+    for k in [*range(0, 60, 7), *range(0, 60, 7)]:
+        rows = own.documents(texts[k : k + 7])
+        assert [(*r[:4], hashlib.sha256(r[4].encode()).hexdigest() if r[0] else "") for r in rows] == [(*w[:4], w[6]) for w in want[k : k + 7]]
+        assert len(own.groups) == len(own.number) == len(own.ends) - 1 == len(own.figures) // 4
+        assert name != "RUNS" or len(own.number) <= 5
+        assert name != "RUN_CHARS" or sum(map(len, own.number)) == own.chars <= value
     if name == "BROADCAST_BYTES":
         assert got(alignment.scored(spark.createDataFrame(list(enumerate(texts)), DOCS))) == want
 
@@ -107,20 +109,23 @@ def test_bounds_change_nothing(spark, monkeypatch, name, value):
 def test_without_cuts_whole_texts_are_read():
     both = alignment.Sides(alignment.FOLDER)
     texts = [t for t in awkward_texts()[:80] if t]
-    cut = alignment.Aligner(both).documents(texts)
+    cut = alignment.Aligner(both)
+    rows = cut.documents(texts)
+    assert both.cuts and len(cut.number) > len(texts)
     both.cuts = False
-    whole = alignment.Aligner(both).documents(texts)
-    total = lambda r: [None if x is None else tuple(r[1][x].sum(0)[:4]) for x in r[0]]
-    assert total(cut) == total(whole)
-    assert all(len(x) == 1 for x in whole[0] if x is not None)
+    whole = alignment.Aligner(both)
+    assert [list(map(str, r)) for r in whole.documents(texts)] == [list(map(str, r)) for r in rows]
+    assert len(whole.number) <= len(texts)
 
 
 def test_transitions():
     t = alignment.Transducer([b"ab", b"c"], [b"a", b"bc"])
-    assert t.align([0, 1], [0, 1]) == ([(2, 2)], [(0, 0), (0, 1), (1, 1)])
-    assert t.step(1, b"ab", 0) == (1, b"b") and t.step(1, b"b", 1) == (2, b"c") and t.step(2, b"c", 1) == (0, b"")
+    assert t.align([0, 1], [0, 1]) == (["0,1|0,1"], [0, 1, 3])
+    assert t.states == [(0, b""), (1, b"ab"), (1, b"b"), (2, b"c")]
+    assert t.next == [{0: 1}, {0: 2}, {1: 3}, {1: 0}]
+    before = t.transitions
+    assert t.align([0, 1], [0, 1]) and t.transitions == before
     assert t.align([0], [0]) is None and t.align([1], [0]) is None and t.align([], [0]) is None and t.align([], []) == ([], [])
-    assert t.memo[(1, b"b", 1)] == (2, b"c")
 
 
 def test_empty_null_and_extra_columns(spark):
