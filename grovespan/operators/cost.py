@@ -47,6 +47,15 @@ def envelope(spark: SparkSession, episodes: int = 199, calibration: int = 60, re
     return out.withColumn("input_tokens", F.col("billable") * INPUT_CAP).withColumn("output_tokens", F.col("billable") * F.when(F.col("role") == "judge", JUDGE_CAP).otherwise(GENERATION_CAP))
 
 
+def envelopes(counts: DataFrame, repeats: int = 5) -> DataFrame:
+    """``envelope`` for every row of ``counts(corpus, episodes, calibration)``."""
+    parts = axes(F.col("episodes"), F.col("calibration"), repeats)
+    each = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(r).alias("role"), (F.lit(n) if isinstance(n, int) else n).cast("bigint").alias("calls")) for c, r, _, n in parts])
+    rows = counts.select("corpus", F.explode(each).alias("x")).select("corpus", "x.*")
+    out = rows.groupBy("corpus", "component", "role").agg(F.sum("calls").alias("logical")).withColumn("billable", F.col("logical") * BILLED)
+    return out.withColumn("input_tokens", F.col("billable") * INPUT_CAP).withColumn("output_tokens", F.col("billable") * F.when(F.col("role") == "judge", JUDGE_CAP).otherwise(GENERATION_CAP))
+
+
 def priced(calls: DataFrame, rates: DataFrame) -> DataFrame:
     """``calls`` with micro_usd, rounded up, at ``rates(component, role, input, output)`` in USD per million tokens; a missing rate is an error."""
     both = calls.join(rates, ["component", "role"], "left")
@@ -66,14 +75,14 @@ def micro_usd(amount: Decimal) -> int:
     return int((amount * 1_000_000).to_integral_value(ROUND_CEILING))
 
 
-def gate(stages: DataFrame, required: tuple[str, ...]) -> DataFrame:
-    """stage, position, open: a stage is open if it and all before it have passed, in the fixed order, each bound to the hash of the one before."""
+def gate(stages: DataFrame, required: tuple[str, ...], *keys: str) -> DataFrame:
+    """keys, stage, position, open: a stage is open if it and all before it have passed, in the fixed order, each bound to the hash of the one before."""
     from pyspark.sql import Window
 
     names = F.array(*[F.lit(s) for s in required])
-    placed = stages.select("stage", F.array_position(names, F.col("stage")).cast("int").alias("position"), "status", "hash", "upstream_hash").where("position > 0")
-    order = Window.orderBy("position")
+    placed = stages.select(*keys, "stage", F.array_position(names, F.col("stage")).cast("int").alias("position"), "status", "hash", "upstream_hash").where("position > 0")
+    order = Window.partitionBy(*keys).orderBy("position")
     before = F.lag("hash").over(order)
     ok = (F.col("status") == "passed") & (F.col("position") == F.row_number().over(order)) & ((F.col("position") == 1) | (F.col("upstream_hash") == before))
     checked = placed.withColumn("ok", F.coalesce(ok, F.lit(False)))
-    return checked.select("stage", "position", F.bool_and("ok").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("open"))
+    return checked.select(*keys, "stage", "position", F.bool_and("ok").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("open"))

@@ -173,9 +173,67 @@ def chunked(evidence: DataFrame, cap: int) -> DataFrame:
     return _folded(evidence.withColumn("at", F.col("sequence_index")), "episode_id", "sequence_index", ["token_count", "at"], "chunk int, first bigint, last bigint, tokens bigint", fold)
 
 
+def allocated(total: int, weights: np.ndarray) -> list[int]:
+    """``total`` by weight, chunk after chunk: rounded (halves to even), one or more each while one is left for every later chunk; the last takes the rest."""
+    whole, left, out = int(weights.sum()), total, []
+    for later in range(len(weights) - 1, -1, -1):
+        share = left if not later else min(max(1, round(total * int(weights[len(weights) - 1 - later]) / whole)), left - later)
+        out.append(share)
+        left -= share
+    return out
+
+
 def reallocated(chunks: DataFrame) -> DataFrame:
-    """``chunks(unit_id, chunk, size, total)`` with tokens: the unit's total by size, rounded down, the remainder to its last chunk."""
-    every, last = Window.partitionBy("unit_id"), Window.partitionBy("unit_id").orderBy(F.desc("chunk"))
-    whole = F.floor(F.col("total") * F.col("size") / F.sum("size").over(every))
-    rows = chunks.withColumn("tokens", whole).withColumn("left", F.col("total") - F.sum("tokens").over(every)).withColumn("n", F.row_number().over(last))
-    return rows.withColumn("tokens", F.col("tokens") + F.when(F.col("n") == 1, F.col("left")).otherwise(0)).drop("left", "n")
+    """unit_id, chunk, tokens of ``chunks(unit_id, chunk, size, total)``: the unit's total by size (at least 1 each), as ``allocated`` deals it."""
+
+    def fold(columns):
+        chunk, size, total = columns
+        return [chunk, np.array(allocated(int(total[0]), np.maximum(1, size.astype(np.int64))), np.int64)]
+
+    kind = chunks.schema["chunk"].dataType.simpleString()
+    rows = chunks.withColumn("at", F.col("chunk"))
+    return _folded(rows, "unit_id", "at", ["chunk", "size", "total"], f"chunk {kind}, tokens bigint", fold)
+
+
+def unit_pieces(turns: DataFrame, cap: int, header: int) -> DataFrame:
+    """unit_id, chunk, turn, begin, words: which words of which turn each chunk of a unit holds, at most ``cap`` with a header of ``header`` words.
+
+    ``turns(unit_id, turn, words)`` in order. Turns are kept together while they fit; one
+    that does not fit alone is cut by words, from a chunk of its own, and what follows may
+    join its last piece. A header that leaves no room is an error.
+    """
+    room = cap - header
+    if room < 1:
+        raise ValueError(f"a header of {header} words leaves no room below {cap}")
+
+    def fold(columns):
+        out: list[tuple[int, int, int, int]] = []
+        chunk, filled, started = 0, 0, False
+        for turn, words in zip(columns[0].tolist(), columns[1].tolist()):
+            if started and filled + words > room:
+                chunk, filled, started = chunk + 1, 0, False
+            begin = 0
+            while words - begin > room:
+                out.append((chunk, turn, begin, room))
+                chunk, begin = chunk + 1, begin + room
+            out.append((chunk, turn, begin, words - begin))
+            filled, started = filled + words - begin, True
+        return [np.array(c, np.int64) for c in zip(*out)]
+
+    return _folded(turns.withColumn("at", F.col("turn")), "unit_id", "at", ["turn", "words"], "chunk bigint, turn bigint, begin bigint, words bigint", fold)
+
+
+def unit_chunks(turns: DataFrame, totals: DataFrame, cap: int, header: int) -> DataFrame:
+    """unit_id, chunk, model_tokens, tokens: the chunks of ``unit_pieces`` with their share of the unit's ``totals(unit_id, total)``."""
+    sizes = unit_pieces(turns, cap, header).groupBy("unit_id", "chunk").agg((F.sum("words") + header).alias("model_tokens"))
+    shares = reallocated(sizes.join(totals, "unit_id").withColumn("size", F.col("model_tokens")))
+    return sizes.join(shares, ["unit_id", "chunk"])
+
+
+def chunk_texts(pieces: DataFrame, texts: DataFrame) -> DataFrame:
+    """unit_id, chunk, text of ``unit_pieces`` and ``texts(unit_id, turn, header, text)``: the header and the pieces, a line each; a whole turn keeps its own blanks."""
+    words = F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    both = pieces.join(texts, ["unit_id", "turn"]).withColumn("all", words)
+    part = F.when(F.col("words") == F.size("all"), F.col("text")).otherwise(F.array_join(F.slice("all", F.col("begin").cast("int") + 1, F.col("words").cast("int")), " "))
+    per = both.groupBy("unit_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("turn", "begin", part.alias("part")))).alias("p"), F.min("header").alias("header"))
+    return per.select("unit_id", "chunk", F.concat_ws("\n", "header", F.transform("p", lambda x: x["part"])).alias("text"))

@@ -547,12 +547,40 @@ def null_classes(spark, sf_dir):
     return s.select("unit", stats.classify_null(F.col("power"), F.col("a"), F.col("sig")).alias("class"), stats.formal_no_go_allowed("a", "b", "c").alias("no_go"))
 
 
-@query("WITH c AS (SELECT conv_id AS unit_id, turn AS chunk, length(coalesce(text, '')) + 1 AS size, conv_id % 97 + 5 AS total FROM conversations), w AS (SELECT *, floor(total * size / sum(size) OVER (PARTITION BY unit_id))::BIGINT AS t FROM c) SELECT unit_id, chunk, t + CASE WHEN row_number() OVER (PARTITION BY unit_id ORDER BY chunk DESC) = 1 THEN total - sum(t) OVER (PARTITION BY unit_id) ELSE 0 END::BIGINT AS tokens FROM w")
+_SHARES = """a AS (SELECT unit_id, 0 AS i, chunk, 0::BIGINT AS tokens, total::BIGINT AS rest FROM w WHERE false
+UNION ALL SELECT w.unit_id, w.i, w.chunk, CASE WHEN w.i = n THEN total ELSE least(greatest(1, round_even(total * size / whole::DOUBLE, 0)::BIGINT), total - (n - w.i)) END, 0 FROM w WHERE w.i = 1),
+r AS (SELECT w.unit_id, w.i, w.chunk, a.tokens, w.total - a.tokens AS rest FROM w JOIN a USING (unit_id, i) UNION ALL
+  SELECT w.unit_id, w.i, w.chunk, CASE WHEN w.i = n THEN rest ELSE least(greatest(1, round_even(total * size / whole::DOUBLE, 0)::BIGINT), rest - (n - w.i)) END,
+    rest - CASE WHEN w.i = n THEN rest ELSE least(greatest(1, round_even(total * size / whole::DOUBLE, 0)::BIGINT), rest - (n - w.i)) END FROM r JOIN w ON w.unit_id = r.unit_id AND w.i = r.i + 1)"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id AS unit_id, turn AS chunk, length(coalesce(text, '')) + 1 AS size, conv_id % 97 + 5 AS total FROM conversations),
+w AS (SELECT *, row_number() OVER (PARTITION BY unit_id ORDER BY chunk) AS i, count(*) OVER (PARTITION BY unit_id) AS n, sum(size) OVER (PARTITION BY unit_id) AS whole FROM c), {_SHARES} SELECT unit_id, chunk, tokens::BIGINT AS tokens FROM r""")
 def chunk_tokens(spark, sf_dir):
     c = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("unit_id"), F.col("turn").alias("chunk"), (F.length(F.coalesce("text", F.lit(""))) + 1).cast("bigint").alias("size"), (F.col("conv_id") % 97 + 5).alias("total"))
     return partition.reallocated(c).select("unit_id", "chunk", "tokens")
 
 
+_UNIT_WORDS = r"len(list_filter(regexp_split_to_array(x, '[\s\x{1c}-\x{1f}\p{Z}\x{85}]+'), lambda w: w <> ''))::BIGINT"
+
+
+@query(f"""WITH RECURSIVE {EVIDENCE_SQL}, lines AS (SELECT conv_id * 1000 + turn AS unit_id, string_split(coalesce(text, ''), chr(10)) AS v FROM conversations),
+turns AS (SELECT unit_id, unnest(v) AS x, unnest(range(len(v))) AS turn FROM lines), t AS (SELECT unit_id, turn, {_UNIT_WORDS} AS words FROM turns),
+f AS (SELECT unit_id, turn, words, 0::BIGINT AS c0, greatest(0, (words - 1) // 15)::BIGINT AS c1, words - 15 * greatest(0, (words - 1) // 15) AS filled FROM t WHERE turn = 0
+  UNION ALL SELECT t.unit_id, t.turn, t.words, f.c1 + (f.filled + t.words > 15)::BIGINT, f.c1 + (f.filled + t.words > 15)::BIGINT + greatest(0, (t.words - 1) // 15),
+    CASE WHEN f.filled + t.words > 15 THEN 0 ELSE f.filled END + t.words - 15 * greatest(0, (t.words - 1) // 15) FROM f JOIN t ON t.unit_id = f.unit_id AND t.turn = f.turn + 1),
+p AS (SELECT unit_id, unnest(range(c0, c1 + 1)) AS chunk, c1, words - 15 * (c1 - c0) AS last FROM f),
+s AS (SELECT unit_id, chunk, (1 + sum(CASE WHEN chunk = c1 THEN last ELSE 15 END))::BIGINT AS size FROM p GROUP BY ALL),
+w AS (SELECT s.*, token_count AS total, row_number() OVER (PARTITION BY unit_id ORDER BY chunk) AS i, count(*) OVER (PARTITION BY unit_id) AS n, sum(size) OVER (PARTITION BY unit_id) AS whole
+  FROM s JOIN (SELECT episode_id * 1000 + sequence_index AS unit_id, token_count FROM evidence) USING (unit_id)), {_SHARES} SELECT r.unit_id, r.chunk, size AS model_tokens, tokens::BIGINT AS tokens FROM r JOIN s USING (unit_id, chunk)""")
+def unit_chunks(spark, sf_dir):
+    """Turns of conversations as units, their lines as turns, cut at 16 words with a header of one."""
+    rows = load(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("unit_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("turn", "text"))
+    turns = rows.select("unit_id", F.col("turn").cast("bigint").alias("turn"), F.size(F.filter(F.split("text", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")).cast("bigint").alias("words"))
+    totals = evidence(spark, sf_dir).select((F.col("episode_id") * 1000 + F.col("sequence_index")).alias("unit_id"), F.col("token_count").alias("total"))
+    return partition.unit_chunks(turns, totals, 16, 1)
+
+
 @query("""WITH RECURSIVE c AS (SELECT conv_id AS q, turn AS i, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rank, greatest(1, len(list_filter(regexp_split_to_array(trim(coalesce(text, '')), '\\s+'), lambda w: w <> ''))) AS cost FROM conversations),
 p AS (SELECT q, 0::BIGINT AS rank, 0::BIGINT AS used, []::BIGINT[] AS kept FROM c GROUP BY q UNION ALL SELECT p.q, c.rank, CASE WHEN used + cost <= 60 THEN used + cost ELSE used END, CASE WHEN used + cost <= 60 THEN list_append(kept, i) ELSE kept END FROM p JOIN c ON c.q = p.q AND c.rank = p.rank + 1)
 SELECT q AS query_id, array_to_string(list_sort(arg_max(kept, rank)), ',') AS indices FROM p GROUP BY q HAVING len(arg_max(kept, rank)) > 0""")

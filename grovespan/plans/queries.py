@@ -249,96 +249,6 @@ def chronological_render(spark, sf_dir):
     return _packed(spark, sf_dir).select("query_id", F.array_join(F.transform("rendered", lambda x: x.cast("string")), ",").alias("rendered"))
 
 
-# Trees
-
-LEFT_SQL = """SELECT 'left_deep' AS plan_id, {k} AS k, 'node_L_' || i AS node, 'internal' AS kind, CASE WHEN i = 1 THEN 'leaf_0' ELSE 'node_L_' || (i - 1) END AS "left", 'leaf_' || i AS "right", 0 AS lo, i::INT AS hi FROM range(1, {k}) t(i)"""
-RIGHT_SQL = """SELECT 'right_deep' AS plan_id, {k} AS k, 'node_R_' || i || '_{e}' AS node, 'internal' AS kind, 'leaf_' || i AS "left", CASE WHEN i = {k} - 2 THEN 'leaf_{e}' ELSE 'node_R_' || (i + 1) || '_{e}' END AS "right", i::INT AS lo, {e} AS hi FROM range(0, {k} - 1) t(i)"""
-BALANCED_SQL = """SELECT 'canonical_balanced' AS plan_id, {k} AS k, 'node_B_' || lo || '_' || hi AS node, 'internal' AS kind,
-  CASE WHEN lo = (lo + hi) // 2 THEN 'leaf_' || lo ELSE 'node_B_' || lo || '_' || ((lo + hi) // 2) END AS "left", CASE WHEN (lo + hi) // 2 + 1 = hi THEN 'leaf_' || hi ELSE 'node_B_' || ((lo + hi) // 2 + 1) || '_' || hi END AS "right", lo, hi FROM tree{k}"""
-TREE_SQL = """tree{k} AS (SELECT 0 AS lo, {e} AS hi UNION ALL SELECT unnest([lo, (lo + hi) // 2 + 1]), unnest([(lo + hi) // 2, hi]) FROM tree{k} WHERE hi - lo > 1 OR (hi - lo = 1 AND false))"""
-LEAF_SQL = """SELECT '{p}' AS plan_id, {k} AS k, 'leaf_' || i AS node, 'leaf' AS kind, NULL AS "left", NULL AS "right", i::INT AS lo, i::INT AS hi FROM range(0, {k}) t(i)"""
-
-
-def _nodes_sql(ks: tuple[int, ...]) -> str:
-    trees_ = ", ".join(TREE_SQL.format(k=k, e=k - 1) for k in ks)
-    parts = [x.format(k=k, e=k - 1) for k in ks for x in (LEFT_SQL, RIGHT_SQL, BALANCED_SQL + " WHERE lo < hi")]
-    parts += [LEAF_SQL.format(p=p, k=k) for k in ks for p in scores.DIAGNOSTIC]
-    return f"WITH RECURSIVE {trees_}, nodes AS ({' UNION ALL '.join(parts)})"
-
-
-KS = (4, 8, 16)
-NODES = _nodes_sql(KS)
-
-
-def _nodes(spark, ks: tuple[int, ...] = KS) -> DataFrame:
-    out = None
-    for plan in scores.DIAGNOSTIC:
-        for k in ks:
-            own = trees.generate(spark, plan, k)
-            out = own if out is None else out.unionByName(own)
-    return out
-
-
-@query(f"""{NODES} SELECT plan_id, k, node, kind, "left", "right", lo, hi FROM nodes""")
-def plan_nodes(spark, sf_dir):
-    return _nodes(spark)
-
-
-@query(f"{NODES} SELECT plan_id, k, node, (row_number() OVER (PARTITION BY plan_id, k ORDER BY hi, lo DESC) - 1)::INT AS step FROM nodes WHERE kind = 'internal'")
-def merge_order(spark, sf_dir):
-    return trees.merge_order(_nodes(spark)).select("plan_id", "k", "node", "step")
-
-
-DEPTH = f"{NODES}, inner_ AS (SELECT * FROM nodes WHERE kind = 'internal'), d AS (SELECT n.plan_id, n.k, n.lo AS leaf, count(*)::BIGINT AS depth FROM nodes n JOIN inner_ i ON n.plan_id = i.plan_id AND n.k = i.k AND n.kind = 'leaf' AND n.lo BETWEEN i.lo AND i.hi GROUP BY ALL)"
-
-
-@query(f"{DEPTH} SELECT plan_id, k, leaf, depth FROM d")
-def leaf_depths(spark, sf_dir):
-    return trees.leaf_depths(_nodes(spark))
-
-
-@query(f"{DEPTH} SELECT plan_id, k, max(depth) AS height, avg(depth) AS mean_depth, count(*)::BIGINT AS leaf_count, (k - 1)::BIGINT AS merge_count FROM d GROUP BY plan_id, k")
-def plan_metrics(spark, sf_dir):
-    return trees.plan_metrics(_nodes(spark))
-
-
-SUPPORT = "sup AS (SELECT k, m AS support_id, i::INT AS leaf FROM (SELECT unnest([4, 8]) AS k), range(1, 256) s(m), range(0, 8) l(i) WHERE i < k AND m < (1 << k) AND (m >> i) & 1 = 1)"
-
-
-@query(f"""{DEPTH}, {SUPPORT}, e AS (SELECT plan_id, k, support_id, avg(depth) AS d_mean, max(depth) AS d_max, count(*)::BIGINT AS n_leaves, min(leaf) AS a, max(leaf) AS z FROM sup JOIN d USING (k, leaf) GROUP BY ALL)
-SELECT e.plan_id, e.k, support_id, round(d_mean, 9) AS d_mean, d_max, (count(i.node) - CASE WHEN n_leaves > 1 THEN 1 ELSE 0 END)::BIGINT AS d_joint, n_leaves
-FROM e LEFT JOIN inner_ i ON i.plan_id = e.plan_id AND i.k = e.k AND i.lo <= a AND i.hi >= z GROUP BY e.plan_id, e.k, support_id, d_mean, d_max, n_leaves""")
-def rewrite_distances(spark, sf_dir):
-    ks = spark.createDataFrame([(4,), (8,)], "k int")
-    s = ks.crossJoin(spark.range(1, 256).withColumnRenamed("id", "support_id")).withColumn("leaf", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    s = s.where((F.col("leaf") < F.col("k")) & F.expr("support_id < shiftleft(1, k) and (shiftright(support_id, leaf) & 1) = 1"))
-    return trees.rewrite_distances(_nodes(spark, (4, 8)), s).withColumn("d_mean", F.round("d_mean", 9))
-
-
-@query(f"""{NODES}, c AS (SELECT n.plan_id, n.k, n.lo, n.hi, l.hi AS mid FROM nodes n JOIN nodes l ON l.plan_id = n.plan_id AND l.k = n.k AND l.node = n."left" WHERE n.kind = 'internal')
-SELECT c.plan_id, c.k, f.lo AS leaf, string_agg(CASE WHEN f.lo <= mid THEN 'E' ELSE 'L' END, '' ORDER BY c.hi - c.lo DESC) AS path FROM c JOIN nodes f ON f.plan_id = c.plan_id AND f.k = c.k AND f.kind = 'leaf' AND f.lo BETWEEN c.lo AND c.hi GROUP BY ALL""")
-def role_paths(spark, sf_dir):
-    return trees.role_paths(_nodes(spark))
-
-
-@query("""SELECT p::INT AS prefix, CASE WHEN l = 0 THEN 'leaf_' || p ELSE 'node_OB_' || (((p + 1) >> (l + 1)) << (l + 1)) || '_' || ((((p + 1) >> (l + 1)) << (l + 1)) + (1 << l) - 1) || '_L' || l END AS node, l::INT AS level,
-(((p + 1) >> (l + 1)) << (l + 1))::INT AS lo, ((((p + 1) >> (l + 1)) << (l + 1)) + (1 << l) - 1)::INT AS hi, (row_number() OVER (PARTITION BY p ORDER BY l DESC) - 1)::INT AS position
-FROM range(0, 64) a(p), range(0, 7) b(l) WHERE ((p + 1) >> l) & 1 = 1""")
-def online_live_forest(spark, sf_dir):
-    return trees.live_forest(spark, 64)
-
-
-@query("""SELECT p::INT AS leaf, l::INT AS level, 'node_OB_' || (p + 1 - (1 << l)) || '_' || p || '_L' || l AS node, (p + 1 - (1 << l))::INT AS lo, p::INT AS hi FROM range(0, 64) a(p), range(1, 7) b(l) WHERE (p + 1) % (1 << l) = 0""")
-def online_merge_events(spark, sf_dir):
-    return trees.online_merges(spark, 64).select("leaf", "level", "node", "lo", "hi")
-
-
-@query("SELECT 0 AS n_bad_nodes, 0 AS n_bad_prefixes")
-def tree_violations(spark, sf_dir):
-    bad = trees.violations(_nodes(spark)).agg(F.count("*").cast("int").alias("n_bad_nodes"))
-    return bad.crossJoin(trees.forest_violations(trees.live_forest(spark, 64)).agg(F.count("*").cast("int").alias("n_bad_prefixes")))
-
-
 # Work logs
 
 BOUND = f"""WITH {ATTEMPTS_SQL}, bound AS (SELECT run_id, stage, logical_call_id, arg_max(attempt_id, (started_at, attempt_id)) AS attempt_id FROM attempts WHERE outcome = 'accepted' GROUP BY ALL),
@@ -379,17 +289,6 @@ def reconcile_work(spark, sf_dir):
     return worklog.reconciled(_marked(spark, sf_dir), "run_id")
 
 
-@query(f"{BOUND} SELECT attempt_id, ['started'] AS codes FROM attempts WHERE false")
-def attempt_violations(spark, sf_dir):
-    return worklog.attempt_problems(attempts(spark, sf_dir))
-
-
-@query(f"{BOUND} SELECT attempt_id, '' AS problem FROM bound WHERE attempt_id NOT IN (SELECT attempt_id FROM attempts WHERE outcome = 'accepted')")
-def binding_bijection(spark, sf_dir):
-    rows = attempts(spark, sf_dir)
-    return worklog.binding_problems(rows, worklog.bindings(rows))
-
-
 @query(f"""WITH {ATTEMPTS_SQL}, w AS (SELECT run_id, stage, (epoch_us(max(started_at + to_seconds(seconds))) - epoch_us(min(started_at))) / 1e6::DOUBLE AS wall, sum(seconds)::BIGINT AS busy FROM attempts WHERE outcome <> 'cancelled_before_start' GROUP BY ALL)
 SELECT run_id, stage, wall, busy, CASE WHEN wall > 0 THEN round(busy / wall, 12) END AS parallelism FROM w""")
 def stage_wall_clock(spark, sf_dir):
@@ -593,21 +492,6 @@ def repeatability_metrics(spark, sf_dir):
     return r.select(*[F.round(c, 12).alias(c) for c in ("unanimity", "flip", "parse")], "passes")
 
 
-# Cost and gates
-
-@query("""SELECT component, role, logical::BIGINT AS logical, 2 * logical::BIGINT AS billable, 2000000 * logical::BIGINT AS input_tokens, 2 * logical::BIGINT * CASE role WHEN 'judge' THEN 128 ELSE 4096 END AS output_tokens
-FROM (VALUES ('primary', 'generation', 1100312), ('primary', 'judge', 246730), ('replication', 'generation', 176712), ('replication', 'judge', 21890), ('SATURATION', 'generation', 3600), ('SATURATION', 'judge', 3600),
-('D_leaf', 'generation', 1600), ('D_leaf', 'judge', 100), ('future_k_sweep', 'generation', 1849904), ('future_k_sweep', 'judge', 197010)) t(component, role, logical)""")
-def cost_envelope(spark, sf_dir):
-    return cost.envelope(spark)
-
-
-@query("SELECT * FROM (VALUES ('network', 1, true), ('audit', 2, true), ('power', 3, false), ('judge', 4, false)) t(stage, position, open)")
-def gate_status(spark, sf_dir):
-    rows = [("network", "passed", "h1", None), ("audit", "passed", "h2", "h1"), ("power", "passed", "h3", "other"), ("judge", "passed", "h4", "h3")]
-    return cost.gate(spark.createDataFrame(rows, "stage string, status string, hash string, upstream_hash string"), ("network", "audit", "power", "judge"))
-
-
 # Frozen formulas
 
 BUDGETS = (128, 256, 512, 1024)
@@ -655,18 +539,6 @@ def paired_effect(spark, sf_dir):
     return derived.paired_effect(rows).withColumn("effect", F.round("effect", 9))
 
 
-@query(f"""{NODES}, m AS (SELECT n.*, l.hi AS mid, ((hash_key % 100) / 50.0::DOUBLE) AS pressure, hash_key % 3 <> 0 AS generative FROM (SELECT *, lo * 7 + hi * 3 AS hash_key FROM nodes WHERE kind = 'internal') n JOIN nodes l ON l.plan_id = n.plan_id AND l.k = n.k AND l.node = n."left"),
-f AS (SELECT plan_id, k, lo AS leaf FROM nodes WHERE kind = 'leaf')
-SELECT f.plan_id, f.k, f.leaf, count(m.node)::BIGINT AS rewrites, round(avg((f.leaf <= m.mid)::INT), 9) AS earlier_share, round(sum(m.pressure), 9) AS pressure_sum, max(m.pressure) AS pressure_max
-FROM f LEFT JOIN m ON m.plan_id = f.plan_id AND m.k = f.k AND m.generative AND f.leaf BETWEEN m.lo AND m.hi GROUP BY ALL""")
-def evidence_exposure(spark, sf_dir):
-    nodes = _nodes(spark)
-    key = F.col("lo") * 7 + F.col("hi") * 3
-    pressures = nodes.where("kind = 'internal'").select("plan_id", "k", "node", (key % 3 != 0).alias("generative"), (key % 100 / 50.0).alias("pressure"))
-    e = trees.evidence_exposure(nodes, pressures)
-    return e.select("plan_id", "k", "leaf", "rewrites", F.round("earlier_share", 9).alias("earlier_share"), F.round("pressure_sum", 9).alias("pressure_sum"), "pressure_max")
-
-
 @query("""WITH q AS (SELECT source AS category, count(*)::BIGINT AS have FROM documents GROUP BY 1), w AS (SELECT 'src' || i AS category, CASE i WHEN 3 THEN 0 ELSE 50 END::BIGINT AS want FROM range(0, 23) t(i)) SELECT category, coalesce(want, 0) AS want, coalesce(have, 0) AS have FROM q FULL JOIN w USING (category) WHERE coalesce(want, 0) <> coalesce(have, 0)""")
 def quota_shortfalls(spark, sf_dir):
     from ..functions import contracts
@@ -675,7 +547,7 @@ def quota_shortfalls(spark, sf_dir):
     return contracts.quota_shortfalls(cases, {f"src{i}": 0 if i == 3 else 50 for i in range(23)})
 
 
-from . import corpora, manifests, protocol, streams  # noqa: E402, F401  (the others add to the queries of protocol)
+from . import corpora, forests, manifests, protocol, streams  # noqa: E402, F401  (the others add to the queries of protocol)
 
 QUERIES |= protocol.QUERIES
 SQL |= protocol.SQL

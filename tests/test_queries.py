@@ -6,8 +6,6 @@ import pytest
 
 from grovespan.plans import queries
 
-SLOW = {"tree_violations", "power_grid"}
-
 
 def rows_of(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
