@@ -1,0 +1,44 @@
+"""Queries of matrix hashes and of checksums of files that are written from a table."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import matrices
+from ..sources import checksums
+from ..sources.shared import shared_folder
+from ..sources.tables import load
+from .protocol import query
+
+
+@query("""WITH r AS (SELECT label, vec_id, len(embedding) AS w, '[' || array_to_string([x::DOUBLE::VARCHAR FOR x IN embedding], ',') || ']' AS j FROM embeddings)
+SELECT label, count(*)::BIGINT AS n_rows, max(w)::BIGINT AS width, sha256('[' || string_agg(j, ',' ORDER BY vec_id) || ']') AS sha256, NULL::VARCHAR AS problem, NULL::VARCHAR AS first_bad, 0::BIGINT AS n_bad FROM r GROUP BY label""")
+def embedding_hashes(spark, sf_dir):
+    return matrices.matrix_hashes(load(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding")
+
+
+# Some rows lose or gain a value: those of label 1 whose id is divisible by 7 are cut to 3 values, those of label 2 by 11 are empty.
+@query("""WITH r AS (SELECT label, vec_id, CASE WHEN label % 3 = 1 AND vec_id % 7 = 0 THEN 3 WHEN label % 3 = 2 AND vec_id % 11 = 0 THEN 0 ELSE len(embedding) END AS w FROM embeddings),
+f AS (SELECT *, first_value(w) OVER (PARTITION BY label, w > 0 ORDER BY vec_id) AS first FROM r), g AS (SELECT label, arg_min(first, vec_id) FILTER (w > 0) AS width FROM f GROUP BY label)
+SELECT r.label, width::BIGINT AS width, (count(*) FILTER (w <> width OR w = 0))::BIGINT AS n_bad, CASE WHEN count(*) FILTER (w <> width OR w = 0) > 0 THEN 'not_rectangular' END AS problem, (arg_min(vec_id, vec_id) FILTER (w <> width OR w = 0))::VARCHAR AS first_bad
+FROM r JOIN g ON r.label = g.label GROUP BY r.label, width""")
+def embedding_problems(spark, sf_dir):
+    cut = F.expr("CASE WHEN label % 3 = 1 AND vec_id % 7 = 0 THEN slice(embedding, 1, 3) WHEN label % 3 = 2 AND vec_id % 11 = 0 THEN slice(embedding, 1, 0) ELSE embedding END")
+    return matrices.matrix_hashes(load(spark, sf_dir, "embeddings").withColumn("embedding", cut), "label", "vec_id", "embedding").select("label", "width", "n_bad", "problem", "first_bad")
+
+
+@query("SELECT coalesce(source, '') AS source, sum(strlen(coalesce(text, '')) + 1)::BIGINT AS bytes, sha256(string_agg(coalesce(text, '') || chr(10), '' ORDER BY doc_id)) AS sha256, 0::BIGINT AS problems FROM documents GROUP BY 1")
+def file_checksums(spark, sf_dir):
+    """A file of texts per source, hashed by streamed reads, with the problems that its manifest's check finds."""
+    folder = f"{shared_folder(spark).rstrip('/')}/grovespan-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    rows = load(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("value"), F.coalesce("source", F.lit("")).alias("source"), "doc_id")
+    # The files are the query's data: one per source, each written by the task that its source is dealt to.
+    rows.repartition("source").sortWithinPartitions("source", "doc_id").drop("doc_id").write.partitionBy("source").text(f"{folder}/texts")
+    sums = checksums.checksums(checksums.files_below(spark, f"{folder}/texts"))
+    checksums.write_manifest(sums, f"{folder}/manifest")
+    bad = checksums.manifest_problems(spark, f"{folder}/manifest").count()
+    return sums.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "bytes", "sha256", F.lit(bad).cast("bigint").alias("problems"))
