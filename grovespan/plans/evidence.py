@@ -42,3 +42,39 @@ def file_checksums(spark, sf_dir):
     checksums.write_manifest(sums, f"{folder}/manifest")
     bad = checksums.manifest_problems(spark, f"{folder}/manifest").count()
     return sums.select(F.regexp_extract("path", "/source=([^/]*)/", 1).alias("source"), "bytes", "sha256", F.lit(bad).cast("bigint").alias("problems"))
+
+
+ARTIFACT_LINKS = """seq AS (SELECT o_orderkey AS id, o_custkey, o_orderpriority, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before,
+  first_value(o_orderkey) OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS root FROM orders),
+raw AS (SELECT id AS child, CASE WHEN id % 211 = 7 THEN -1 ELSE before END AS parent, id % 97 = 5 AS other FROM seq WHERE before IS NOT NULL
+  UNION ALL SELECT id, root, false FROM seq WHERE id <> root AND before IS NULL
+  UNION ALL SELECT id, id + 1, false FROM seq WHERE id % 1500 = 0 AND id + 1 IN (SELECT id FROM seq) UNION ALL SELECT id + 1, id, false FROM seq WHERE id % 1500 = 0 AND id + 1 IN (SELECT id FROM seq))"""
+
+
+@query(f"""WITH RECURSIVE {ARTIFACT_LINKS}, problems AS (SELECT DISTINCT child, CASE WHEN parent = -1 THEN 'missing_parent' ELSE 'hash_differs' END AS problem FROM raw WHERE parent = -1 OR other),
+bad AS (SELECT child AS id, string_agg(problem, ',' ORDER BY problem) AS problem FROM problems GROUP BY child), good AS (SELECT DISTINCT child, parent FROM raw WHERE parent <> -1 AND NOT other),
+behind AS (SELECT id FROM bad UNION SELECT child FROM good JOIN behind ON parent = behind.id),
+ring AS (SELECT id FROM seq WHERE id % 1500 IN (0, 1) AND id - id % 1500 + 1 IN (SELECT id FROM seq) UNION SELECT child FROM good JOIN ring ON parent = ring.id),
+rest AS (SELECT id FROM seq WHERE id NOT IN (SELECT id FROM behind) AND id NOT IN (SELECT id FROM ring)),
+deep AS (SELECT id, 0 AS level FROM rest WHERE id NOT IN (SELECT child FROM good) UNION SELECT good.child, level + 1 FROM good JOIN deep ON good.parent = deep.id JOIN rest ON rest.id = good.child),
+top AS (SELECT id, max(level) AS level FROM deep GROUP BY id)
+SELECT seq.id, CASE WHEN top.id IS NOT NULL THEN 'sound' WHEN bad.id IS NOT NULL THEN 'broken' WHEN seq.id IN (SELECT id FROM behind) THEN 'depends' ELSE 'cycle' END AS status, problem, level::INT AS level
+FROM seq LEFT JOIN top ON top.id = seq.id LEFT JOIN bad ON bad.id = seq.id""".replace("top AS (", "tops AS (").replace("JOIN top ON top.id", "JOIN tops top ON top.id"))
+def artifact_soundness(spark, sf_dir):
+    """Orders as artifacts bound to the customer's order before, first ones to a root per priority, some by a wrong hash, to no artifact, or to each other."""
+    from pyspark.sql import Window
+
+    from ..operators import closure
+
+    orders = load(spark, sf_dir, "orders")
+    own = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    # The root is the least by date and key, joined: a window would gather a priority in one task.
+    roots = orders.groupBy("o_orderpriority").agg(F.min(F.struct("o_orderdate", "o_orderkey"))["o_orderkey"].alias("root"))
+    seq = orders.join(F.broadcast(roots), "o_orderpriority").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(own).alias("before"), "root")
+    digest = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
+    chain = seq.where("before IS NOT NULL").select(F.col("id").alias("child"), F.expr("CASE WHEN id % 211 = 7 THEN -1L ELSE before END").alias("parent"), F.expr("id % 97 = 5").alias("other"))
+    first = seq.where("before IS NULL AND id <> root").select(F.col("id").alias("child"), F.col("root").alias("parent"), F.lit(False).alias("other"))
+    pair = seq.where("id % 1500 = 0").select("id").join(seq.select((F.col("id") - 1).alias("id")), "id", "left_semi")
+    ring = pair.select(F.explode(F.array(F.struct(F.col("id").alias("child"), (F.col("id") + 1).alias("parent")), F.struct((F.col("id") + 1).alias("child"), F.col("id").alias("parent")))).alias("l")).select("l.child", "l.parent", F.lit(False).alias("other"))
+    links = chain.unionByName(first).unionByName(ring).select("child", "parent", F.when(F.col("other"), "wrong").otherwise(digest(F.col("parent"))).alias("bound"))
+    return closure.soundness(seq.select("id", digest(F.col("id")).alias("hash")), links)
