@@ -78,16 +78,52 @@ def paired_effect(rows: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("pairs"), F.avg(F.col("b") - F.col("a")).alias("effect"))
 
 
+def _kind(v: Column, path: str) -> Column:
+    """The type of a field of a VARIANT: null where it is missing, VOID where it is null."""
+    return F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+
+
+def _string(v: Column, path: str) -> Column:
+    return F.when(_kind(v, path) == "STRING", F.try_variant_get(v, path, "string"))
+
+
 def response_text(payload: Column) -> Column:
-    """The text of a reply in either of two API shapes."""
+    """The text of a model's reply in any of three shapes: ``output_text``, the parts of ``output``, or the first choice's message; null if there is none."""
     v = F.try_parse_json(payload)
-    return F.coalesce(F.try_variant_get(v, "$.choices[0].message.content", "string"), F.try_variant_get(v, "$.output[0].content[0].text", "string"), F.try_variant_get(v, "$.output_text", "string"))
+    items = F.when(_kind(v, "$.output").startswith("ARRAY"), F.try_variant_get(v, "$.output", "array<variant>"))
+
+    def texts(item: Column) -> Column:
+        parts = F.transform(F.try_variant_get(item, "$.content", "array<variant>"), lambda p: _string(p, "$.text"))
+        return F.when(_kind(item, "$.content").startswith("ARRAY"), F.array_compact(parts)).otherwise(F.array_compact(F.array(_string(item, "$.text"))))
+
+    joined = F.coalesce(F.flatten(F.transform(items, texts)), F.array().cast("array<string>"))
+    return F.coalesce(_string(v, "$.output_text"), F.when(F.size(joined) > 0, F.array_join(joined, "")), _string(v, "$.choices[0].message.content"))
 
 
 def usage(payload: Column) -> Column:
-    """struct(input, cached, output, reasoning) of a reply in either shape; null fields are unknown."""
+    """struct(input, cached, output, reasoning) of a reply in either shape; the first name that is there counts, null fields are unknown and other types than numbers null."""
     v = F.try_parse_json(payload)
-    first = lambda *paths: F.coalesce(*[F.try_variant_get(v, p, "bigint") for p in paths])
+
+    def first(*paths: str) -> Column:
+        out = F.lit(None).cast("bigint")
+        for path in reversed(paths):
+            number = F.when(_kind(v, path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, path, "double").cast("bigint"))
+            out = F.when(_kind(v, path).isNotNull(), number).otherwise(out)
+        return out
+
     return F.struct(
         first("$.usage.input_tokens", "$.usage.prompt_tokens").alias("input"), first("$.usage.input_tokens_details.cached_tokens", "$.usage.prompt_tokens_details.cached_tokens").alias("cached"),
         first("$.usage.output_tokens", "$.usage.completion_tokens").alias("output"), first("$.usage.output_tokens_details.reasoning_tokens", "$.usage.completion_tokens_details.reasoning_tokens").alias("reasoning"))
+
+
+def usage_available(used: Column) -> Column:
+    """Whether ``usage`` has both the input and the output tokens."""
+    return used["input"].isNotNull() & used["output"].isNotNull()
+
+
+def response_hash(raw: Column) -> Column:
+    """The recorded hash of an attempt's reply (JSON text) under either of two names; null where the one that counts is no text."""
+    v = F.try_parse_json(raw)
+    own = F.try_variant_get(v, "$.response_hash", "variant")
+    empty = own.isNull() | F.coalesce((F.schema_of_variant(own) == "VOID") | F.to_json(own).isin('""', "0", "false", "[]", "{}"), F.lit(False))
+    return F.when(~empty, _string(v, "$.response_hash")).otherwise(_string(v, "$.response_sha256"))

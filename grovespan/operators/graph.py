@@ -33,7 +33,8 @@ def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
     labels = saved(relations.select("episode_id").distinct().withColumn("label", F.col("episode_id")))
     for _ in range(most_rounds):
         per_value = edges.join(labels, "episode_id").groupBy("v").agg(F.min("label").alias("label"))
-        least = edges.join(per_value, "v").groupBy("episode_id").agg(F.min("label").alias("new"))
+        # Dealt once more: Spark splits a value that many share only where both sides of the join come from an exchange.
+        least = edges.join(per_value.repartition(F.xxhash64("v", F.lit(1))), "v").groupBy("episode_id").agg(F.min("label").alias("new"))
         moved = labels.join(least, "episode_id", "left").select("episode_id", "label", F.least("label", F.coalesce("new", "label")).alias("next"))
         jump = labels.select(F.col("episode_id").alias("next"), F.col("label").alias("further"))
         new = saved(moved.join(jump, "next").select("episode_id", F.least("next", "further").alias("label"), F.col("label").alias("was")))

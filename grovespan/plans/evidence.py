@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import matrices
+from ..operators import matrices, payloads
 from ..sources import checksums
 from ..sources.shared import shared_folder
 from ..sources.tables import load
@@ -78,3 +78,29 @@ def artifact_soundness(spark, sf_dir):
     ring = pair.select(F.explode(F.array(F.struct(F.col("id").alias("child"), (F.col("id") + 1).alias("parent")), F.struct((F.col("id") + 1).alias("child"), F.col("id").alias("parent")))).alias("l")).select("l.child", "l.parent", F.lit(False).alias("other"))
     links = chain.unionByName(first).unionByName(ring).select("child", "parent", F.when(F.col("other"), "wrong").otherwise(digest(F.col("parent"))).alias("bound"))
     return closure.soundness(seq.select("id", digest(F.col("id")).alias("hash")), links)
+
+
+# Pricing replies made of parts: by the key some lack or break a field, by the size some models are enabled for an unknown group.
+PAYLOAD = """concat('{"success":', CASE WHEN p_partkey % 8 = 1 THEN 'false' ELSE 'true' END, ',"pricing_version":"', CASE WHEN p_partkey % 8 = 7 THEN ' ' ELSE 'v' END, '",',
+ '"supported_endpoint":{"openai":{"path":"/v1/chat/completions","method":"POST"}},"group_ratio":{"a":1,"b":', CASE WHEN p_partkey % 8 = 4 THEN '-1' ELSE '1.5' END, '},"data":[',
+ '{"model_name":"m1","quota_type":', CASE WHEN p_partkey % 8 = 2 THEN '1' ELSE '0' END, ',"model_ratio":', CASE WHEN p_partkey % 8 = 3 THEN '0' ELSE string(p_size + 1) END, ',"completion_ratio":4,',
+ '"enable_groups":["a"', CASE WHEN p_size % 5 = 0 THEN ',"z"' ELSE '' END, '],"supported_endpoint_types":["openai"]}',
+ CASE WHEN p_partkey % 8 = 5 THEN '' ELSE ',{"model_name":"m2","quota_type":0,"model_ratio":0.25,"completion_ratio":2,"enable_groups":["b"],"supported_endpoint_types":["openai"]}' END, ']', CASE WHEN p_partkey % 8 = 6 THEN '' ELSE '}' END)"""
+
+
+def _payloads(spark, sf_dir):
+    return load(spark, sf_dir, "part").select("p_partkey", F.expr(PAYLOAD).alias("raw"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 8 = 6 THEN 'payload:not_json' ELSE array_to_string(list_filter([CASE WHEN p_partkey % 8 = 4 THEN 'group_ratio[b]:invalid' END, CASE WHEN p_size % 5 = 0 THEN 'm1.enable_groups:invalid' END,
+ CASE WHEN p_partkey % 8 = 3 THEN 'm1.model_ratio:invalid' END, CASE WHEN p_partkey % 8 = 2 THEN 'm1.quota_type:invalid' END, CASE WHEN p_partkey % 8 = 5 THEN 'm2:missing' END, CASE WHEN p_partkey % 8 = 7 THEN 'pricing_version:invalid' END,
+ CASE WHEN p_partkey % 8 = 1 THEN 'success:invalid' END], lambda c: c IS NOT NULL), ',') END AS problems FROM part""")
+def pricing_problems(spark, sf_dir):
+    return _payloads(spark, sf_dir).select("p_partkey", F.array_join(payloads.pricing_problems(F.col("raw"), ["m1", "m2"]), ",").alias("problems"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 8 = 0 AND p_size % 5 <> 0)
+SELECT p_partkey, 'm1' AS model, (p_size + 1) * 3.0::DOUBLE AS input_rate, (p_size + 1) * 12.0::DOUBLE AS output_rate FROM p UNION ALL SELECT p_partkey, 'm2', 0.75::DOUBLE, 1.5::DOUBLE FROM p""")
+def pricing_rates(spark, sf_dir):
+    out = payloads.pricing_rates(_payloads(spark, sf_dir), "raw", ["m1", "m2"])
+    return out.select("p_partkey", "model", F.col("input_rate").cast("double").alias("input_rate"), F.col("output_rate").cast("double").alias("output_rate"))

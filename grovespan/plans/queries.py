@@ -83,21 +83,22 @@ def paired_permutation(spark, sf_dir):
 
 @query(f"""WITH {SCORES_SQL}, e AS (SELECT episode_id, replicate_id, avg(score) AS score FROM scores WHERE plan_id = 'left_deep' GROUP BY ALL),
 r AS (SELECT (row_number() OVER (ORDER BY replicate_id))::INT AS i, avg(score) AS mean FROM e GROUP BY replicate_id), n AS (SELECT count(*) AS n FROM r),
-k AS (SELECT draw, side, (floor({DRAW.format(key="'3:' || draw || ':' || side || ':' || rep")} * n) + 1)::INT AS i FROM n, (SELECT unnest(range(1, 51)) AS draw), (SELECT unnest([0, 1]) AS side), (SELECT unnest(range(1, 6)) AS rep))
+k AS (SELECT draw, side, (floor({DRAW.format(key="'3:' || draw || ':' || side || ':' || rep")} * n) + 1)::INT AS i FROM n, (SELECT unnest(range(1, 1001)) AS draw), (SELECT unnest([0, 1]) AS side), (SELECT unnest(range(1, 6)) AS rep))
 SELECT draw::BIGINT AS draw, round(abs(avg(mean) FILTER (side = 1) - avg(mean) FILTER (side = 0)), 9) AS statistic FROM k JOIN r USING (i) GROUP BY draw""")
 def seed_null(spark, sf_dir):
     rows = score_rows(spark, sf_dir).where("plan_id = 'left_deep'")
     means = rows.groupBy("episode_id", "replicate_id").agg(F.avg("score").alias("score")).groupBy("replicate_id").agg(F.avg("score").alias("mean"))
-    return stats.seed_null(means, 5, 50, 3).withColumn("statistic", F.round("statistic", 9))
+    return stats.seed_null(means, 5, 1000, 3).withColumn("statistic", F.round("statistic", 9))
 
 
 _POISSON = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712]::DOUBLE[]"
 
 
-@query(f"""{PAIRED}, w AS (SELECT b, diff, len(list_filter({_POISSON}, lambda c: c < {DRAW.format(key="'5:' || b || ':' || episode_id")})) AS w FROM d, (SELECT unnest(range(1, 101)) AS b)),
+@query(f"""{PAIRED}, h AS (SELECT h, diff, sha256('5:' || h || ':' || episode_id) AS x FROM d, (SELECT unnest(range(0, 63)) AS h)),
+w AS (SELECT h * 16 + i AS b, diff, len(list_filter({_POISSON}, lambda c: c < (('0x' || substr(x, 4 * i + 1, 4))::INT + 0.5::DOUBLE) / 65536)) AS w FROM h, (SELECT unnest(range(0, 16)) AS i) WHERE h * 16 + i < 1000),
 m AS (SELECT b, sum(w * diff) / sum(w) AS m FROM w GROUP BY b) SELECT round(quantile_disc(m, 0.025), 9) AS lower, round(quantile_disc(m, 0.975), 9) AS upper FROM m""")
 def bootstrap_interval(spark, sf_dir):
-    i = stats.bootstrap_interval(_paired(spark, sf_dir), 100, 5)
+    i = stats.bootstrap_interval(_paired(spark, sf_dir), 1000, 5)
     return i.select(F.round("lower", 9).alias("lower"), F.round("upper", 9).alias("upper"))
 
 
