@@ -87,17 +87,6 @@ def marked(attempts: DataFrame, bound: DataFrame) -> DataFrame:
     return attempts.join(bound.select("attempt_id", F.lit(True).alias("accepted")), "attempt_id", "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
 
 
-def binding_problems(attempts: DataFrame, bound: DataFrame) -> DataFrame:
-    """attempt_id, problem where bindings and attempts are not one to one."""
-    named = bound.select("attempt_id", F.col("run_id").alias("b_run"), F.col("stage").alias("b_stage"), F.col("logical_call_id").alias("b_call"))
-    both = named.join(attempts, "attempt_id", "left")
-    lost = both.where("run_id is null").select("attempt_id", F.lit("unknown_attempt").alias("problem"))
-    other = both.where("run_id is not null and (b_run <> run_id or b_stage <> stage or b_call <> logical_call_id)").select("attempt_id", F.lit("identity_differs").alias("problem"))
-    failed = both.where("outcome <> 'accepted'").select("attempt_id", F.lit("not_accepted").alias("problem"))
-    twice = bound.groupBy("run_id", "stage", "logical_call_id").agg(F.count("*").alias("c"), F.min("attempt_id").alias("attempt_id")).where("c > 1").select("attempt_id", F.lit("call_bound_twice").alias("problem"))
-    return lost.unionByName(other).unionByName(failed).unionByName(twice)
-
-
 def stage_clock(attempts: DataFrame) -> DataFrame:
     """run_id, stage, wall: seconds from the first start to the last end, and the ratio of summed to wall time."""
     begin = F.unix_micros("started_at")

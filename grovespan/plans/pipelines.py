@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, partition, trees, worklog
+from ..operators import graph, joins, partition, trees, worklog
 from ..sources.shared import saved
 
 
@@ -69,11 +69,13 @@ def corpus_audit(raw: DataFrame, k: int = 8) -> dict[str, DataFrame]:
     }
 
 
-def rebuilt_observability(nodes: DataFrame, attempts: DataFrame, bound: DataFrame, events: DataFrame, artifacts: DataFrame) -> dict[str, DataFrame]:
+def rebuilt_observability(nodes: DataFrame, attempts: DataFrame, bindings: DataFrame, events: DataFrame, artifacts: DataFrame) -> dict[str, DataFrame]:
     """All derived tables of a run from its raw logs, so that they can be deleted and made again.
 
-    ``events`` holds event_id, node and the artifacts' left_id, right_id, output_id and
-    budget; ``artifacts`` holds node, tokens, source and cache_of.
+    ``attempts`` as ``worklog`` reads them, with attempt_outcome and accepted_attempt as
+    ``joins.binding_problems`` does; ``bindings`` and ``artifacts`` as the checks of
+    ``joins`` read them, artifacts with source; ``events`` as ``joins.event_problems``,
+    with plan_id, k, node, the children's nodes, budget and payload_tokens.
     """
     a = artifacts.select(F.col("node").alias("id"), F.col("tokens"))
     three = events
@@ -81,11 +83,11 @@ def rebuilt_observability(nodes: DataFrame, attempts: DataFrame, bound: DataFram
         three = three.join(a.select(F.col("id").alias(f"{side}_id"), F.col("tokens").alias(f"{side}_tokens")), f"{side}_id", "left")
     spans = nodes.select(F.col("node").alias("n"), "lo", "hi")
     placed = three.join(spans.select(F.col("n").alias("left_node"), F.col("hi").alias("left_hi")), "left_node", "left").join(spans.select(F.col("n").alias("right_node"), F.col("lo").alias("right_lo")), "right_node", "left")
-    missing = three.where("left_tokens is null or right_tokens is null or output_tokens is null").select("event_id", F.lit("artifact_missing").alias("problem"))
     metrics = worklog.merge_metrics(placed)
     lineage = worklog.generative_lineage(artifacts)
     pressures = placed.select("event_id", "plan_id", "k", "node").join(metrics, "event_id").select("plan_id", "k", "node", "generative", "pressure")
+    bound = bindings.where("binding_status = 'succeeded'").select(F.col("accepted_attempt_id").alias("attempt_id"), "run_id", "stage", "logical_call_id")
     return {
-        "plan_metrics": trees.plan_metrics(nodes), "plan_problems": trees.violations(nodes), "binding_problems": worklog.binding_problems(attempts, bound), "event_problems": missing,
-        "merge_metrics": metrics, "lineage": lineage, "exposure": trees.evidence_exposure(nodes, pressures), "work": worklog.reconciled(worklog.marked(attempts, bound), "run_id"),
+        "plan_metrics": trees.plan_metrics(nodes), "plan_problems": trees.violations(nodes), "binding_problems": joins.binding_problems(attempts, bindings), "event_problems": joins.event_problems(events, bindings, artifacts, attempts),
+        "artifact_problems": joins.artifact_binding_counts(artifacts, bindings.where("binding_status = 'succeeded'")), "merge_metrics": metrics, "lineage": lineage, "exposure": trees.evidence_exposure(nodes, pressures), "work": worklog.reconciled(worklog.marked(attempts, bound), "run_id"),
     }

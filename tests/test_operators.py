@@ -232,14 +232,6 @@ def test_enforce_fails(spark):
     assert [r["x"] for r in worklog.problems(df, ["x"], positive=F.col("x") > 0).collect()] == [-1]
 
 
-def test_binding_problems(spark, data):
-    rows = tables.attempts(spark, data)
-    bound = worklog.bindings(rows)
-    assert worklog.binding_problems(rows, bound).count() == 0
-    wrong = bound.limit(1).withColumn("stage", F.lit("none"))
-    assert {r["problem"] for r in worklog.binding_problems(rows, wrong).collect()} == {"identity_differs"}
-
-
 def test_cycles_are_errors(spark):
     e = spark.createDataFrame([(1, 2), (2, 1)], "parent bigint, child bigint")
     with pytest.raises(ValueError):

@@ -2,11 +2,11 @@
 
 import json
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from grovespan.operators import derived, trees, worklog
 from grovespan.plans import pipelines
-from grovespan.sources import tables
 
 RAW = "question_id string, question_type string, question string, answer string, haystack_session_ids array<string>, haystack_dates array<string>, haystack_sessions array<array<struct<role:string,content:string>>>, answer_session_ids array<string>"
 
@@ -34,18 +34,25 @@ def test_corpus_audit(spark):
 
 def test_rebuilt_observability(spark, data):
     nodes = trees.generate(spark, "canonical_balanced", 4)
-    inner = nodes.where("kind = 'internal'")
-    events = inner.select(F.concat(F.lit("ev-"), "node").alias("event_id"), "plan_id", "k", "node", F.col("left").alias("left_node"), F.col("right").alias("right_node"), F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.col("node").alias("output_id"), F.lit(100).cast("bigint").alias("budget"), F.lit(90).cast("bigint").alias("payload_tokens"), F.when(F.col("node") == "node_B_2_3", "cache").otherwise("generated").alias("source"))
-    artifacts = nodes.select("node", F.lit(50).cast("bigint").alias("tokens"), F.when(F.col("node") == "node_B_2_3", "cache").otherwise("generated").alias("source"), F.when(F.col("node") == "node_B_2_3", "node_B_0_1").alias("cache_of"))
-    log = tables.attempts(spark, data)
-    got = pipelines.rebuilt_observability(nodes, log, worklog.bindings(log), events, artifacts)
-    assert got["plan_problems"].count() == got["event_problems"].count() == got["binding_problems"].count() == 0
+    cached = F.col("node") == "node_B_2_3"
+    source = F.when(cached, "cache").otherwise("generated")
+    # Two generated merges and four generated leaves, each bound to an accepted attempt of its own; one merge from the cache.
+    made = nodes.where(~cached).select("node", F.row_number().over(Window.orderBy("node")).alias("n"))
+    log = made.select(F.col("n").cast("bigint").alias("attempt_id"), F.lit(1).cast("bigint").alias("run_id"), F.when(F.col("node").startswith("leaf"), "leaf").otherwise("merge").alias("stage"), F.col("n").cast("bigint").alias("logical_call_id"), F.lit("accepted").alias("outcome"), F.lit("accepted_materialized").alias("attempt_outcome"), F.lit(True).alias("accepted_attempt"), *[F.lit(5).cast("bigint").alias(c) for c in ("input_tokens", "cached_tokens", "output_tokens", "reasoning_tokens", "seconds")], F.lit("2024-01-01").cast("timestamp").alias("started_at"))
+    bindings = made.join(log, F.col("n") == F.col("attempt_id")).select(F.concat(F.lit("b-"), "node").alias("binding_id"), "run_id", "stage", "logical_call_id", F.col("attempt_id").alias("accepted_attempt_id"), F.col("node").alias("output_artifact_id"), F.lit("succeeded").alias("binding_status"))
+    events = nodes.where("kind = 'internal'").select(F.concat(F.lit("ev-"), "node").alias("event_id"), F.lit(1).cast("bigint").alias("run_id"), (F.lit(100) + F.col("lo")).cast("bigint").alias("logical_call_id"), F.when(~cached, F.concat(F.lit("b-"), "node")).alias("binding_id"), F.when(cached, "node_B_0_1").alias("cache_of"), "plan_id", "k", "node", F.col("left").alias("left_node"), F.col("right").alias("right_node"), F.col("left").alias("left_id"), F.col("right").alias("right_id"), F.col("node").alias("output_id"), F.lit(100).cast("bigint").alias("budget"), F.lit(90).cast("bigint").alias("payload_tokens"), source.alias("source"))
+    artifacts = nodes.select("node", F.lit(1).cast("bigint").alias("run_id"), F.lit("h").alias("content_hash"), F.lit(50).cast("bigint").alias("tokens"), F.lit(100).alias("capacity"), F.lit("t").alias("tokenizer"), F.lit("1").alias("version"), source.alias("source"), F.when(cached, "node_B_0_1").alias("cache_of"))
+    got = pipelines.rebuilt_observability(nodes, log, bindings, events, artifacts)
+    for name in ("plan_problems", "event_problems", "binding_problems", "artifact_problems"):
+        assert got[name].collect() == [], name
     assert {(r["pressure"], r["compression"], r["imbalance_signed"]) for r in got["merge_metrics"].collect()} == {(1.0, 0.5, 0.0)}
     exposure = {r["leaf"]: (r["rewrites"], r["earlier_share"]) for r in got["exposure"].collect()}
     assert exposure == {0: (2, 1.0), 1: (2, 0.5), 2: (1, 0.0), 3: (1, 0.0)}
     assert all(r["generative"] for r in got["lineage"].collect())
-    lost = pipelines.rebuilt_observability(nodes, log, worklog.bindings(log), events, artifacts.where("node <> 'leaf_0'"))
-    assert [r["event_id"] for r in lost["event_problems"].collect()] == ["ev-node_B_0_1"]
+    assert got["work"].count() == 1
+    lost = pipelines.rebuilt_observability(nodes, log.where("attempt_id <> 1"), bindings, events, artifacts.where("node <> 'leaf_0'"))
+    assert [(r["event_id"], r["problem"]) for r in lost["event_problems"].collect()] == [("ev-node_B_0_1", "artifact_missing")]
+    assert [r["problem"] for r in lost["binding_problems"].collect()] == ["unknown_attempt"]
 
 
 def test_formulas(spark):
