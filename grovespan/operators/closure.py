@@ -24,21 +24,43 @@ def broken_links(artifacts: DataFrame, links: DataFrame) -> DataFrame:
     return both.select("child", "parent", "bound", problem.alias("problem"))
 
 
+class _Grown:
+    """A table that grows by one written piece a round; pieces are rewritten as one now and then, so plans stay short."""
+
+    MOST = 16
+
+    def __init__(self, first: DataFrame):
+        self.pieces = [saved(first)]
+        self.spent: list[DataFrame] = [self.pieces[0]]
+
+    def add(self, piece: DataFrame, table: DataFrame) -> None:
+        """``piece``, read from the written ``table``."""
+        self.pieces.append(piece)
+        if table not in self.spent:
+            self.spent.append(table)
+        if len(self.pieces) > self.MOST:
+            whole = saved(self.all())
+            for old in self.spent[:-1]:  # the last may still be read
+                dropped(old)
+            self.pieces, self.spent = [whole], [self.spent[-1], whole]
+
+    def all(self) -> DataFrame:
+        out = self.pieces[0]
+        for piece in self.pieces[1:]:
+            out = out.unionByName(piece)
+        return out
+
+
 def _spread(start: DataFrame, links: DataFrame) -> DataFrame:
     """id of ``start(id)`` and of all that depend on them."""
-    seen = saved(start.select("id").distinct())
-    front = seen
+    seen = _Grown(start.select("id").distinct())
+    front = seen.pieces[0]
     while True:
         more = links.join(front, F.col("parent") == F.col("id"), "left_semi").select(F.col("child").alias("id")).distinct()
-        new = saved(more.join(seen, "id", "left_anti"))
-        if new.isEmpty():
-            dropped(new)
-            return seen
-        both = saved(seen.unionByName(new))
-        if front is not seen:
-            dropped(front)
-        dropped(seen)
-        seen, front = both, new
+        front = saved(more.join(seen.all(), "id", "left_anti"))
+        if front.isEmpty():
+            return seen.all()
+        seen.add(front, front)
 
 
 def soundness(artifacts: DataFrame, links: DataFrame) -> DataFrame:
@@ -55,29 +77,21 @@ def soundness(artifacts: DataFrame, links: DataFrame) -> DataFrame:
     wanted = saved(good.groupBy("child").agg(F.count("*").alias("wanted")).join(bad, F.col("child") == F.col("id"), "left_anti"))
     ids = artifacts.select("id").distinct()
     has_links = checked.select(F.col("child").alias("id")).distinct()
-    sound = saved(ids.join(has_links, "id", "left_anti").withColumn("level", F.lit(0)))
-    front = sound
+    sound = _Grown(ids.join(has_links, "id", "left_anti").withColumn("level", F.lit(0)))
+    front = sound.pieces[0]
     # How many parents of each artifact that still waits are sound by now.
-    have = saved(wanted.select("child", "wanted", F.lit(0).cast("bigint").alias("have")))
-    dropped(wanted)
+    have = wanted.select("child", "wanted", F.lit(0).cast("bigint").alias("have"))
     level = 0
     while True:
         level += 1
         met = good.join(front, F.col("parent") == F.col("id")).groupBy("child").agg(F.count("*").alias("more"))
         now = saved(have.join(met, "child", "left").select("child", "wanted", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have")))
-        new = saved(now.where("have = wanted").select(F.col("child").alias("id"), F.lit(level).alias("level")))
-        if front is not sound:
-            dropped(front)
-        dropped(have)
-        if new.isEmpty():
-            dropped(new)
-            dropped(now)
+        front = now.where("have = wanted").select(F.col("child").alias("id"), F.lit(level).alias("level"))
+        if front.isEmpty():
             break
-        both, have = saved(sound.unionByName(new)), saved(now.where("have < wanted"))
-        dropped(now)
-        dropped(sound)
-        sound, front = both, new
+        sound.add(front, now)
+        have = now.where("have < wanted")
     behind = _spread(bad, good)
-    out = ids.join(sound, "id", "left").join(bad, "id", "left").join(behind.withColumn("behind", F.lit(True)), "id", "left")
+    out = ids.join(sound.all(), "id", "left").join(bad, "id", "left").join(behind.withColumn("behind", F.lit(True)), "id", "left")
     status = F.when(F.col("level").isNotNull(), "sound").when(F.col("problem").isNotNull(), "broken").when(F.col("behind"), "depends").otherwise("cycle")
     return out.select("id", status.alias("status"), "problem", "level")

@@ -33,41 +33,53 @@ def _number(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "decimal(30,12)")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _model_problems(row: Column, groups: Column, model: str) -> Column:
+    enabled = F.try_variant_get(row, "$.enable_groups", "array<string>")
+    checks = [
+        _field(row, "$.quota_type", "number", _number(row, "$.quota_type") == 0),
+        _field(row, "$.model_ratio", "number", _number(row, "$.model_ratio") > 0), _field(row, "$.completion_ratio", "number", _number(row, "$.completion_ratio") > 0),
+        _field(row, "$.supported_endpoint_types", "array", F.array_contains(F.try_variant_get(row, "$.supported_endpoint_types", "array<string>"), "openai")),
+        _field(row, "$.enable_groups", "array", (F.size(enabled) > 0) & F.forall(enabled, lambda g: F.array_contains(F.map_keys(groups), g))),
+    ]
+    return F.transform(F.array_compact(F.array(*checks)), lambda c: F.concat(F.lit(f"{model}."), c))
+
+
 def pricing_problems(pricing: Column, models: list[str]) -> Column:
     """Sorted names of what is wrong with a pricing reply (JSON text) for the models that must be in it; empty if nothing is."""
-    v = F.try_parse_json(pricing)
-    text = lambda path: F.try_variant_get(v, path, "string")
-    groups = F.try_variant_get(v, "$.group_ratio", "map<string,variant>")
-    ratio = lambda x: F.try_variant_get(x, "$", "decimal(30,12)")
-    number = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    bad_groups = F.transform(F.map_keys(F.map_filter(groups, lambda _, x: ~F.coalesce(number(x) & (ratio(x) > 0), F.lit(False)))), lambda k: F.concat(F.lit("group_ratio["), k, F.lit("]:invalid")))
-    rows = F.try_variant_get(v, "$.data", "array<variant>")
-    out = [
-        F.array(F.when(v.isNull(), F.lit("payload:not_json")).when(kind(v, "$") != "object", F.lit("payload:wrong_type"))),
-        F.when(kind(v, "$") == "object", F.array(
-            _field(v, "$.success", "boolean", F.try_variant_get(v, "$.success", "boolean")),
-            _field(v, "$.pricing_version", "string", F.trim(text("$.pricing_version")) != ""),
+    text = lambda v, path: F.try_variant_get(v, path, "string")
+    none = F.array().cast("array<string>")
+    number = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)") & (F.try_variant_get(x, "$", "decimal(30,12)") > 0)
+
+    def of_payload(v: Column) -> Column:
+        own = F.array(
+            _field(v, "$.success", "boolean", F.try_variant_get(v, "$.success", "boolean")), _field(v, "$.pricing_version", "string", F.trim(text(v, "$.pricing_version")) != ""),
             _field(v, "$.supported_endpoint", "object"), _field(v, "$.supported_endpoint.openai", "object"),
-            _field(v, "$.supported_endpoint.openai.path", "string", text("$.supported_endpoint.openai.path") == ENDPOINT),
-            _field(v, "$.supported_endpoint.openai.method", "string", F.upper(text("$.supported_endpoint.openai.method")) == METHOD),
-            _field(v, "$.group_ratio", "object", F.size(groups) > 0), _field(v, "$.data", "array"),
-        )),
-        F.when(kind(v, "$.group_ratio") == "object", bad_groups),
-    ]
-    for model in models:
-        # The last row of a name counts.
-        row = F.element_at(F.filter(rows, lambda x: F.try_variant_get(x, "$.model_name", "string") == model), -1)
-        enabled = F.try_variant_get(row, "$.enable_groups", "array<string>")
-        checks = [
-            _field(row, "$.quota_type", "number", _number(row, "$.quota_type") == 0),
-            _field(row, "$.model_ratio", "number", _number(row, "$.model_ratio") > 0), _field(row, "$.completion_ratio", "number", _number(row, "$.completion_ratio") > 0),
-            _field(row, "$.supported_endpoint_types", "array", F.array_contains(F.try_variant_get(row, "$.supported_endpoint_types", "array<string>"), "openai")),
-            _field(row, "$.enable_groups", "array", (F.size(enabled) > 0) & F.forall(enabled, lambda g: F.array_contains(F.map_keys(groups), g))),
-        ]
-        named = F.transform(F.array_compact(F.array(*checks)), lambda c: F.concat(F.lit(f"{model}."), c))
-        there = F.exists(rows, lambda x: F.try_variant_get(x, "$.model_name", "string") == model)
-        out.append(F.when(kind(v, "$.data") == "array", F.when(F.coalesce(there, F.lit(False)), named).otherwise(F.array(F.lit(f"{model}:missing")))))
-    return F.array_sort(F.array_compact(F.flatten(F.array(*[F.coalesce(x, F.array().cast("array<string>")) for x in out]))))
+            _field(v, "$.supported_endpoint.openai.path", "string", text(v, "$.supported_endpoint.openai.path") == ENDPOINT),
+            _field(v, "$.supported_endpoint.openai.method", "string", F.upper(text(v, "$.supported_endpoint.openai.method")) == METHOD),
+            _field(v, "$.group_ratio", "object", F.size(F.try_variant_get(v, "$.group_ratio", "map<string,variant>")) > 0), _field(v, "$.data", "array"),
+        )
+
+        def of_model(model: str, groups: Column):
+            return lambda row: F.when(row.isNull(), F.array(F.lit(f"{model}:missing"))).otherwise(_model_problems(row, groups, model))
+
+        def of_groups(groups: Column) -> Column:
+            bad = F.map_keys(F.map_filter(groups, lambda _, x: ~F.coalesce(number(x), F.lit(False))))
+            out = [F.coalesce(F.transform(bad, lambda k: F.concat(F.lit("group_ratio["), k, F.lit("]:invalid"))), none)]
+            for model in models:
+                # The last row of a name counts.
+                row = F.try_element_at(F.filter(F.try_variant_get(v, "$.data", "array<variant>"), lambda x: text(x, "$.model_name") == model), F.lit(-1))
+                out.append(F.when(kind(v, "$.data") == "array", _once(row, of_model(model, groups))).otherwise(none))
+            return F.concat(*out)
+
+        inside = F.concat(F.array_compact(own), _once(F.try_variant_get(v, "$.group_ratio", "map<string,variant>"), of_groups))
+        return F.when(v.isNull(), F.array(F.lit("payload:not_json"))).when(kind(v, "$") != "object", F.array(F.lit("payload:wrong_type"))).otherwise(F.array_sort(inside))
+
+    return _once(F.try_parse_json(pricing), of_payload)
 
 
 def pricing_rates(rows: DataFrame, raw: str, models: list[str]) -> DataFrame:
