@@ -548,7 +548,7 @@ def quota_shortfalls(spark, sf_dir):
     return contracts.quota_shortfalls(cases, {f"src{i}": 0 if i == 3 else 50 for i in range(23)})
 
 
-from . import cases, corpora, evidence, forests, inference, manifests, protocol, streams  # noqa: E402, F401  (the others add to the queries of protocol)
+from . import artifacts, cases, corpora, forests, inference, manifests, protocol, streams  # noqa: E402, F401  (the others add to the queries of protocol)
 
 QUERIES |= protocol.QUERIES
 SQL |= protocol.SQL
