@@ -427,21 +427,30 @@ c AS (SELECT effect, discordance, unnest([1, 0, 1, 0]) AS x, unnest([0, 1, 1, 0]
 o AS (SELECT effect, discordance, ox - oy AS difference, sum(p * CASE WHEN ox = x THEN 0.95 ELSE 0.05 END * CASE WHEN oy = y THEN 0.95 ELSE 0.05 END) AS probability FROM c, (SELECT unnest([0, 1]) AS ox), (SELECT unnest([0, 1]) AS oy) GROUP BY ALL)"""
 
 
-def _one(spark) -> DataFrame:
-    return stats.scenario_grid(spark, EFFECTS).withColumn("p", stats.difference_probabilities(F.col("effect"), F.col("discordance")))
+# The effects of all strata: the scenario's times the stratum's multiplier.
+_OWN = f"""{DESIGN}, {PROBS.removeprefix('WITH ').replace(PROBS[PROBS.index('g AS'):PROBS.index(chr(10))], f'g AS (SELECT DISTINCT e * multiplier AS effect, d::DOUBLE AS discordance FROM design, (SELECT unnest({list(EFFECTS)})::DOUBLE AS e), (SELECT unnest({list(stats.DISCORDANCE)}) AS d)),', 1)}"""
 
 
-@query(f"{PROBS} SELECT effect, discordance, difference::INT AS difference, round(probability, 10) AS probability FROM o")
+def _one(spark, sf_dir) -> DataFrame:
+    """The difference's chances for every effect and discordance of the table's strata, few rows however many episodes they count."""
+    design = stats.strata_design(_strata(spark, sf_dir)).select("multiplier").distinct()
+    effects = design.select(F.explode(F.array(*[F.lit(float(e)) * F.col("multiplier") for e in EFFECTS])).alias("effect"))
+    grid = effects.withColumn("discordance", F.explode(F.array(*[F.lit(float(d)) for d in stats.DISCORDANCE]))).distinct()
+    return grid.withColumn("p", stats.difference_probabilities(F.col("effect"), F.col("discordance")))
+
+
+@query(f"{_OWN} SELECT round(effect, 9) AS effect, discordance, difference::INT AS difference, round(probability, 10) AS probability FROM o")
 def difference_probabilities(spark, sf_dir):
-    return _one(spark).select("effect", "discordance", F.explode(F.array(*[F.struct(F.lit(d).alias("difference"), F.round(F.col(f"p.{n}"), 10).alias("probability")) for d, n in ((-1, "minus"), (0, "zero"), (1, "plus"))])).alias("x")).select("effect", "discordance", "x.*")
+    each = F.explode(F.array(*[F.struct(F.lit(d).alias("difference"), F.round(F.col(f"p.{n}"), 10).alias("probability")) for d, n in ((-1, "minus"), (0, "zero"), (1, "plus"))]))
+    return _one(spark, sf_dir).select(F.round("effect", 9).alias("effect"), "discordance", each.alias("x")).select("effect", "discordance", "x.*")
 
 
 _STEP = "".join(f", r{i} AS (SELECT r.effect, r.discordance, r.difference + o.difference AS difference, sum(r.probability * o.probability) AS probability FROM {'o' if i == 2 else f'r{i - 1}'} r JOIN o USING (effect, discordance) GROUP BY ALL)" for i in range(2, 6))
 
 
-@query(f"{PROBS}{_STEP} SELECT effect, discordance, difference::INT AS difference, round(probability, 9) AS probability FROM r5")
+@query(f"{_OWN}{_STEP} SELECT round(effect, 9) AS effect, discordance, difference::INT AS difference, round(probability, 9) AS probability FROM r5")
 def difference_distribution(spark, sf_dir):
-    return stats.repeated_distribution(_one(spark)).select("effect", "discordance", F.col("difference").cast("int").alias("difference"), F.round("probability", 9).alias("probability"))
+    return stats.repeated_distribution(_one(spark, sf_dir)).select(F.round("effect", 9).alias("effect"), "discordance", F.col("difference").cast("int").alias("difference"), F.round("probability", 9).alias("probability"))
 
 
 # Each stratum's effect is the scenario's times its multiplier; the strata's distributions are mixed by weight.
