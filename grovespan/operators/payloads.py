@@ -14,28 +14,31 @@ from pyspark.sql import functions as F
 ENDPOINT, METHOD, QUOTA = "/v1/chat/completions", "POST", 500_000
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value made once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind(v: Column, path: str) -> Column:
     """missing, null, or the kind of the value: string, number, boolean, array, object."""
     inner = F.try_variant_get(v, path, "variant")
-    schema = F.schema_of_variant(inner)
-    name = F.when(schema == "VOID", "null").when(schema == "STRING", "string").when(schema == "BOOLEAN", "boolean").when(schema.startswith("ARRAY"), "array").when(schema.startswith("OBJECT"), "object").otherwise("number")
-    return F.when(inner.isNull(), "missing").otherwise(name)
+    name = lambda s: F.when(s == "VOID", "null").when(s == "STRING", "string").when(s == "BOOLEAN", "boolean").when(s.startswith("ARRAY"), "array").when(s.startswith("OBJECT"), "object").when(s.isNull(), "missing").otherwise("number")
+    return _once(F.schema_of_variant(inner), name)
 
 
 def _field(v: Column, path: str, want: str, rule: Column | None = None) -> Column:
     """``name:missing``, ``name:null``, ``name:wrong_type`` or, where ``rule`` does not hold, ``name:invalid``; null if it is as it must be."""
-    name, found = path.removeprefix("$."), kind(v, path)
-    wrong = F.when(found.isin("missing", "null"), F.concat(F.lit(f"{name}:"), found)).when(found != want, F.lit(f"{name}:wrong_type"))
-    return wrong if rule is None else wrong.when(~F.coalesce(rule, F.lit(False)), F.lit(f"{name}:invalid"))
+    name = path.removeprefix("$.")
 
+    def problem(found: Column) -> Column:
+        wrong = F.when(found.isin("missing", "null"), F.concat(F.lit(f"{name}:"), found)).when(found != want, F.lit(f"{name}:wrong_type"))
+        return wrong if rule is None else wrong.when(~F.coalesce(rule, F.lit(False)), F.lit(f"{name}:invalid"))
 
-def _number(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "decimal(30,12)")
+    return _once(kind(v, path), problem)
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value made once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _number(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "decimal(30,12)")
 
 
 def _model_problems(row: Column, groups: Column, model: str) -> Column:
