@@ -220,9 +220,9 @@ s AS (SELECT query_id, vec_id AS item_id, round(coalesce(list_dot_product(q::DOU
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s)"""
 
 
-def _cosine(spark, sf_dir) -> DataFrame:
+def _cosine(spark, sf_dir, cost=None, budget=None) -> DataFrame:
     items = load(spark, sf_dir, "embeddings")
-    return partition.cosine_scores(items.where("vec_id % 50 = 0"), items)
+    return partition.cosine_scores(items.where("vec_id % 50 = 0"), items, cost, budget)
 
 
 @query(f"{COSINE} SELECT query_id, item_id, score, rank::INT AS rank FROM r")
@@ -231,8 +231,8 @@ def cosine_rank(spark, sf_dir):
 
 
 def _packed(spark, sf_dir) -> DataFrame:
-    items = partition.ranked(_cosine(spark, sf_dir))
-    return partition.greedy_pack(items.withColumn("cost", F.col("item_id") % 37 + 5), 200)
+    items = partition.ranked(_cosine(spark, sf_dir, F.col("vec_id") % 37 + 5, 200))
+    return partition.greedy_pack(items, 200)
 
 
 PACK = COSINE.replace("WITH q AS", "WITH RECURSIVE q AS") + """, i AS (SELECT query_id, item_id, rank, item_id % 37 + 5 AS cost FROM r),
