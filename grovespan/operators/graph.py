@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
 from ..sources.shared import dropped, saved
@@ -18,10 +19,38 @@ SPLITS = {"20/30/50": (20, 30, 50), "15/25/60": (15, 25, 60), "10/20/70": (10, 2
 SPLIT_NAMES = ("development", "calibration", "acceptance")
 
 
+#: One of so many episodes is looked at for values that very many share: those that this many of them have.
+HOT_SAMPLE, HOT = 1024, 64
+
+
+def shared_edges(relations: DataFrame) -> DataFrame:
+    """episode_id, r, v of each (relation, value) that two episodes or more have, once per episode: r is the relation's place by name, v the hash of both.
+
+    Most values join nothing, so they are left out by one sorted stream in which a value's
+    episodes are neighbours. Values that very many episodes share (found by a sample, which
+    decides only where rows go) stay out of that stream and are kept as they are.
+    """
+    names = relation_names(relations)
+    r = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in names]).cast("array<string>"), F.col("relation")), F.lit(0)).cast("int")
+    every = relations.where("value <> '' and episode_id is not null").select("episode_id", r.alias("r"), F.xxhash64("relation", "value").alias("v"))
+    some = every.where(F.pmod(F.xxhash64("episode_id"), F.lit(HOT_SAMPLE)) == 0)
+    hot = saved(some.groupBy("r", "v").agg(F.count("*").alias("n")).where(F.col("n") >= HOT).select("r", "v"))
+    order = Window.partitionBy("v", "r").orderBy("episode_id")
+    once = every.join(F.broadcast(hot), ["r", "v"], "left_anti").withColumn("before", F.lag("episode_id").over(order)).where("before is null or before <> episode_id")
+    met = once.withColumn("after", F.lead("episode_id").over(order)).where("before is not null or after is not null")
+    return met.select("episode_id", "r", "v").unionByName(every.join(F.broadcast(hot), ["r", "v"], "left_semi").select("episode_id", "r", "v").distinct())
+
+
+def relation_names(relations: DataFrame) -> list[str]:
+    return sorted(x[0] for x in relations.select("relation").where("relation is not null").distinct().collect())
+
+
 def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
     """episode_id, group_id, group_size, relations: episodes joined by any shared (relation, value), directly or through others.
 
     ``relations(episode_id, relation, value)``; null and empty values join nothing.
+    Only values that two episodes share take part in the rounds, and only episodes that
+    have one; each other episode is a group of its own and passes one shuffle.
     Each round gives every value the least label of its episodes and every episode
     the least of its values, both pre-aggregated, and jumps to the label's own
     label, so rounds grow slowly with the longest chain and a value that very many
@@ -29,8 +58,8 @@ def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
     two episodes of the group, sorted. ``group_id`` is the hash of the sorted episode
     ids; they pass one task as a sorted stream and are never gathered.
     """
-    edges = saved(relations.where("value <> ''").select("episode_id", "relation", F.xxhash64("relation", "value").alias("v")).distinct())
-    labels = saved(relations.select("episode_id").distinct().withColumn("label", F.col("episode_id")))
+    edges = saved(shared_edges(relations))
+    labels = saved(edges.select("episode_id").distinct().withColumn("label", F.col("episode_id")))
     for _ in range(most_rounds):
         per_value = edges.join(labels, "episode_id").groupBy("v").agg(F.min("label").alias("label"))
         # Dealt once more: Spark splits a value that many share only where both sides of the join come from an exchange.
@@ -47,11 +76,16 @@ def leakage_groups(relations: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError("leakage groups did not settle")
     sizes = labels.groupBy("label").agg(F.count("*").alias("group_size"))
-    shared = edges.groupBy("relation", "v").agg(F.count("*").alias("n"), F.min("episode_id").alias("episode_id")).where("n > 1")
+    relation = F.element_at(F.array(*[F.lit(n) for n in relation_names(relations)]).cast("array<string>"), F.nullif(F.col("r"), F.lit(0)))
+    shared = edges.groupBy("r", "v").agg(F.count("*").alias("n"), F.min("episode_id").alias("episode_id")).where("n > 1").withColumn("relation", relation)
     kinds = shared.join(labels, "episode_id").groupBy("label").agg(F.array_join(F.array_sort(F.collect_set("relation")), ",").alias("relations"))
     names = labels.select(F.col("label").cast("string").alias("label"), F.col("episode_id").cast("string").alias("e")).repartition("label").sortWithinPartitions("label", "e").mapInArrow(_named, "l string, group_id string")
     out = labels.join(sizes, "label").join(kinds, "label", "left").join(names, F.col("label").cast("string") == F.col("l"))
-    return out.select("episode_id", "group_id", "group_size", F.coalesce("relations", F.lit("")).alias("relations"))
+    joined = out.select("episode_id", "group_id", "group_size", F.coalesce("relations", F.lit("")).alias("relations"))
+    alone = relations.select("episode_id").where("episode_id is not null").distinct().join(labels, "episode_id", "left_anti")
+    whole = F.array(F.col("episode_id").cast("string"))
+    name = text.canonical_text_hash(F.to_json(F.struct(whole.alias("episode_ids")))) if alone.schema["episode_id"].dataType == T.StringType() else text.canonical_hash(("episode_ids", whole))
+    return joined.unionByName(alone.select("episode_id", F.concat(F.lit("lmg-"), F.substring(name, 1, 16)).alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit("").alias("relations")))
 
 
 def _named(batches):
