@@ -115,10 +115,6 @@ def _named(batches):
         yield pa.RecordBatch.from_arrays([pa.array(done[0], pa.string()), pa.array(done[1], pa.string())], ["l", "group_id"])
 
 
-def stable_hash(**fields) -> str:
-    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
-
-
 def assign_splits(groups: DataFrame, candidate: str) -> DataFrame:
     """group_id, split of ``groups(group_id, question_type, primary, expanded)``: whole groups dealt greedily, most primary episodes first.
 
@@ -126,44 +122,55 @@ def assign_splits(groups: DataFrame, candidate: str) -> DataFrame:
     the split whose targets it fills best: the sum over primary episodes, all
     episodes and primary episodes of each of its types of the decrease of
     |target - assigned|, relative to the total; ties go to the larger hash. The
-    rule is sequential over groups, so one task holds the group table (at most
-    ``most`` rows, which is checked; groups and types only, no episodes).
+    rule is sequential over groups, so they pass one task as a sorted stream, of which it
+    holds a batch and the sums of each split by type; the driver holds the totals by type.
     """
-    shares = [x / 100 for x in SPLITS[candidate]]
-
-    def deal(rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MOST_GROUPS:
-            raise ValueError(f"more than {MOST_GROUPS} groups and types")
-        by_type = rows.groupby("question_type")["primary"].sum().to_dict()
-        total = {"primary": int(rows["primary"].sum()), "expanded": int(rows["expanded"].sum())}
-        have: dict[tuple, float] = {}
-        own: dict[str, list] = {}
-        for g, t, p, e in zip(rows["group_id"], rows["question_type"], rows["primary"], rows["expanded"]):
-            own.setdefault(g, []).append((t, int(p), int(e)))
-        size = {g: sum(p for _, p, _ in x) for g, x in own.items()}
-        out = []
-        for g in sorted(own, key=lambda g: (-size[g], stable_hash(candidate_id=candidate, group_id=g))):
-            parts = [("primary", total["primary"], size[g]), ("expanded", total["expanded"], sum(e for _, _, e in own[g]))]
-            parts += [(("type", t), by_type[t], p) for t, p, _ in own[g]]
-            best = None
-            for name, share in zip(SPLIT_NAMES, shares):
-                score = 0.0
-                for key, whole, n in parts:
-                    if whole > 0 and n > 0:
-                        gap = share * whole - have.get((name, key), 0.0)
-                        score += (abs(gap) - abs(gap - n)) / whole
-                rank = (score, stable_hash(candidate_id=candidate, group_id=g, split=name), name)
-                best = rank if best is None or rank > best else best
-            for key, _, n in parts:
-                have[best[2], key] = have.get((best[2], key), 0.0) + n
-            out.append((g, best[2]))
-        return pd.DataFrame(out, columns=["group_id", "split"])
-
-    return groups.groupBy(F.lit(candidate).alias("candidate")).applyInPandas(lambda _, rows: deal(rows), "group_id string, split string")
-
-
-#: Rows of groups by type that one task may hold: some 2 GB.
-MOST_GROUPS = 10_000_000
+    odd = F.count_if(~F.col("group_id").rlike("^[ -~]*$")).alias("odd")
+    sums = groups.groupBy("question_type").agg(F.sum("primary").alias("p"), F.sum("expanded").alias("e"), odd).collect()
+    kinds = {x["question_type"]: k for k, x in enumerate(sums)}
+    wholes = [float(sum(x["p"] for x in sums)), float(sum(x["e"] for x in sums)), *(float(x["p"]) for x in sums)]
+    names = F.create_map(*[F.lit(x) for t, k in kinds.items() if t is not None for x in (t, k)]) if any(t is not None for t in kinds) else F.create_map().cast("map<string,int>")
+    kind = F.coalesce(names[F.col("question_type")], F.lit(kinds.get(None, 0)))
+    per = groups.withColumn("kind", kind).groupBy("group_id").agg(F.sum("primary").alias("size"), F.sum("expanded").alias("expanded"), F.sort_array(F.collect_list(F.struct("kind", F.col("primary").cast("bigint").alias("n")))).alias("t"))
+    # The hash's JSON writes what is not ASCII as escapes, which Spark does not.
+    one = (("candidate_id", F.lit(candidate)), ("group_id", F.col("group_id")))
+    digest = text.canonical_text_hash(F.to_json(F.struct(*[c.alias(n) for n, c in one]))) if any(x["odd"] for x in sums) else text.canonical_hash(*one)
+    stream = per.withColumn("digest", F.unhex(digest)).repartition(1).sortWithinPartitions(F.desc("size"), "digest").select("group_id", "size", "expanded", F.col("t.kind").alias("kinds"), F.col("t.n").alias("n"))
+
+    def run(batches):
+        shares = [x / 100 for x in SPLITS[candidate]]
+        targets = [[share * whole for whole in wholes] for share in shares]
+        have = [[0.0] * len(wholes) for _ in shares]
+        first = f'{{"candidate_id":{json.dumps(candidate)},"group_id":'
+        for batch in batches:
+            ids, size, expanded = (batch.column(k).to_pylist() for k in range(3))
+            at = batch.column(3).offsets.to_pylist()
+            types, numbers = batch.column(3).values.to_pylist(), batch.column(4).values.to_pylist()
+            shift = batch.column(4).offsets[0].as_py() - at[0]
+            out = []
+            for i, g in enumerate(ids):
+                parts = [(0, size[i]), (1, expanded[i])]
+                parts += [(types[j] + 2, numbers[j + shift]) for j in range(at[i], at[i + 1])]
+                fills = []
+                for goal, own in zip(targets, have):
+                    score = 0.0
+                    for k, n in parts:
+                        if n > 0 and wholes[k] > 0:
+                            gap = goal[k] - own[k]
+                            score += (abs(gap) - abs(gap - n)) / wholes[k]
+                    fills.append(score)
+                top = max(fills)
+                best = [k for k, x in enumerate(fills) if x == top]
+                if len(best) > 1:
+                    named = first + json.dumps(g) + ',"split":"'
+                    best.sort(key=lambda k: hashlib.sha256(f'{named}{SPLIT_NAMES[k]}"}}'.encode()).hexdigest())
+                own = have[best[-1]]
+                for k, n in parts:
+                    own[k] += n
+                out.append(SPLIT_NAMES[best[-1]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["group_id", "split"])
+
+    return stream.mapInArrow(run, "group_id string, split string")
 
 
 def quota_sample(rows: DataFrame, quotas: dict[str, int], seed: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import cost, derived, graph, partition, scores, stats, trees, worklog
+from ..sources.shared import saved
 from ..sources.tables import ATTEMPTS_SQL, EVIDENCE_SQL, SCORES_SQL, attempts, evidence, load, score_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +381,7 @@ def leakage_components(spark, sf_dir):
 def split_assignment(spark, sf_dir):
     groups = graph.leakage_groups(_relations(spark, sf_dir))
     orders = load(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("bigint").alias("episode_id"), F.col("o_orderpriority").alias("question_type"), (F.col("o_orderstatus") == "F").cast("int").alias("p"))
-    typed = groups.join(orders, "episode_id").groupBy("group_id", "question_type").agg(F.sum("p").alias("primary"), F.count("*").alias("expanded"))
+    typed = saved(groups.join(orders, "episode_id").groupBy("group_id", "question_type").agg(F.sum("p").alias("primary"), F.count("*").alias("expanded")))
     out = None
     for candidate in graph.SPLITS:
         own = graph.assign_splits(typed, candidate).select(F.lit(candidate).alias("candidate"), "group_id", "split")
