@@ -3,10 +3,11 @@
 Each file is dealt once, when it is written as a bucketed table: questions and haystacks
 by question, haystack entries and trajectories by trajectory and a salt. The joins of
 the audit then read their sides bucket by bucket, without an exchange. The salt is a
-hash of the question; of trajectories only a few measures per row are kept, and these are
-written once per salt, so one trajectory that a third of all haystacks hold is in
-``SALTS`` buckets. Texts and hashes of a trajectory are read once, however many haystacks
-hold it.
+hash of the question for a trajectory that more than ``HOT`` haystack entries name, else 0;
+of trajectories only a few measures per row are kept, and these are written once per salt,
+so one trajectory that a third of all haystacks hold is in ``SALTS`` buckets, and any other
+is written once. Texts and hashes of a trajectory are read once, however many haystacks
+hold it. Tables are written when they are first read.
 
 Nothing is dropped in silence: every question is normalised or excluded with a reason,
 and rows that make the files unusable (ids that are missing or repeated, haystacks
@@ -15,6 +16,7 @@ without question or the reverse) are in ``problems``, where the status becomes b
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +27,7 @@ from ..sources import json_rows
 from ..sources.shared import saved, shared_folder
 from . import graph
 
-BUCKETS, SALTS = 16, 8
+BUCKETS, SALTS, HOT = 16, 8, 64
 #: Categories of the primary analysis, sizes a question must reach, shares of the splits.
 PRIMARY = ("knowledge-update", "temporal-reasoning")
 LEAST, SIZES = 4, (4, 8, 16)
@@ -77,18 +79,40 @@ class Audit:
     """The audit's tables, each a DataFrame; what several of them read is written once."""
 
     def __init__(self, questions: DataFrame, haystacks: DataFrame, trajectories: DataFrame, buckets: int = BUCKETS):
-        salts = F.array(*[F.lit(k) for k in range(SALTS)])
-        self.questions = bucketed(questions.withColumnRenamed("id", "question_id").withColumnRenamed("evidence_ids", "named_evidence_ids"), ["question_id"], buckets)
-        self.haystacks = bucketed(haystacks, ["question_id"], buckets)
-        self.trajectories = bucketed(trajectory_measures(trajectories).withColumn("salt", F.explode(salts)), ["trajectory_id", "salt"], buckets)
-        entries = haystacks.select("question_id", F.posexplode("evidence_ids").alias("sequence_index", "trajectory_id"))
-        self.entries = bucketed(entries.withColumn("salt", F.pmod(F.xxhash64("question_id"), F.lit(SALTS)).cast("int")), ["trajectory_id", "salt"], buckets)
+        self._rows, self._buckets = (questions, haystacks, trajectories), buckets
+
+    @functools.cached_property
+    def questions(self) -> DataFrame:
+        return bucketed(self._rows[0].withColumnRenamed("id", "question_id").withColumnRenamed("evidence_ids", "named_evidence_ids"), ["question_id"], self._buckets)
+
+    @functools.cached_property
+    def haystacks(self) -> DataFrame:
+        return bucketed(self._rows[1], ["question_id"], self._buckets)
+
+    @functools.cached_property
+    def hot(self) -> DataFrame:
+        """trajectory_id of those that more than ``HOT`` haystack entries name: at most one for every ``HOT`` entries."""
+        named = self.haystacks.select(F.explode("evidence_ids").alias("trajectory_id")).where("trajectory_id is not null")
+        return saved(named.groupBy("trajectory_id").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("trajectory_id", F.lit(True).alias("hot")))
+
+    @functools.cached_property
+    def trajectories(self) -> DataFrame:
+        """The measures, once per salt; raw_sha256 is binary here."""
+        salts = F.when(F.col("hot"), F.array(*[F.lit(k) for k in range(SALTS)])).otherwise(F.array(F.lit(0)))
+        measures = trajectory_measures(self._rows[2]).withColumn("raw_sha256", F.unhex("raw_sha256"))
+        return bucketed(measures.join(self.hot, "trajectory_id", "left").withColumn("salt", F.explode(salts)).drop("hot"), ["trajectory_id", "salt"], self._buckets)
+
+    @functools.cached_property
+    def entries(self) -> DataFrame:
+        rows = self.haystacks.select("question_id", F.posexplode("evidence_ids").alias("sequence_index", "trajectory_id")).join(self.hot, "trajectory_id", "left")
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("question_id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+        return bucketed(rows.withColumn("salt", salt).select("question_id", "sequence_index", "trajectory_id", "salt"), ["trajectory_id", "salt"], self._buckets)
 
     def placed(self) -> DataFrame:
         """Each haystack entry with its trajectory's measures, null where there is none; a repeated trajectory counts by its first row."""
         known = self.trajectories.groupBy("trajectory_id", "salt").agg(F.min(F.struct("raw_sha256", "event_time", "token_count")).alias("t"))
         both = self.entries.join(known, ["trajectory_id", "salt"], "left")
-        return both.select("question_id", F.col("sequence_index").cast("bigint").alias("sequence_index"), F.col("trajectory_id").alias("evidence_id"), "t.event_time", "t.token_count", "t.raw_sha256", F.col("t").isNotNull().alias("known"))
+        return both.select("question_id", F.col("sequence_index").cast("bigint").alias("sequence_index"), F.col("trajectory_id").alias("evidence_id"), "t.event_time", "t.token_count", F.lower(F.hex("t.raw_sha256")).alias("raw_sha256"), F.col("t").isNotNull().alias("known"))
 
     def problems(self) -> DataFrame:
         """id, problem that block the audit."""

@@ -36,13 +36,15 @@ def files(spark: SparkSession, sf_dir: str, folder: str) -> None:
         F.lit("shop").alias("domain"), F.expr("CASE WHEN c_nationkey >= 5 THEN string(c_nationkey) END").alias("environment"),
         F.when(F.expr("c_custkey % 31 = 0"), F.array(F.lit("t-1"))).when(F.size(support) > 0, ids(support)).alias("answer_session_ids"),
     )
-    asked.write.json(f"{folder}/questions.jsonl")
+    asked.write.option("compression", "gzip").json(f"{folder}/questions.jsonl")
     held = both.where("c_custkey % 101 <> 7").select(name.alias("key"), F.coalesce(ids("o"), F.array().cast("array<string>")).alias("value"))
     extra = load(spark, sf_dir, "nation").select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("key"), F.array(F.lit("t0")).alias("value"))
     json_rows.write_maps(held.unionByName(extra), f"{folder}/haystacks.json")
-    state = F.struct(F.col("l_returnflag").alias("thought"), F.concat(F.lit("ship "), F.col("l_partkey").cast("string")).alias("action"), F.concat(F.lit("p/"), F.col("l_suppkey").cast("string")).alias("url"))
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", state.alias("s")))).alias("s"), F.min("l_shipdate").cast("date").cast("string").alias("d"))
-    lines.select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("id"), F.expr("CASE WHEN l_orderkey % 5 <> 0 THEN d END").alias("current_time"), F.lit("2000-01-01").alias("event_time"), F.col("s.s").alias("states")).write.json(f"{folder}/trajectories.jsonl")
+    # Lines are dealt as numbers; their strings are made behind the exchange.
+    state = lambda x: F.struct(x["l_returnflag"].alias("thought"), F.concat(F.lit("ship "), x["l_partkey"].cast("string")).alias("action"), F.concat(F.lit("p/"), x["l_suppkey"].cast("string")).alias("url"))
+    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("s"), F.min("l_shipdate").cast("date").cast("string").alias("d"))
+    rows = lines.select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("id"), F.expr("CASE WHEN l_orderkey % 5 <> 0 THEN d END").alias("current_time"), F.lit("2000-01-01").alias("event_time"), F.transform("s", state).alias("states"))
+    rows.write.option("compression", "gzip").json(f"{folder}/trajectories.jsonl")
 
 
 def audit(spark: SparkSession, sf_dir: str) -> corpus.Audit:
