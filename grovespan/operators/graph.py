@@ -135,7 +135,9 @@ def assign_splits(groups: DataFrame, candidate: str) -> DataFrame:
     # The hash's JSON writes what is not ASCII as escapes, which Spark does not.
     one = (("candidate_id", F.lit(candidate)), ("group_id", F.col("group_id")))
     digest = text.canonical_text_hash(F.to_json(F.struct(*[c.alias(n) for n, c in one]))) if any(x["odd"] for x in sums) else text.canonical_hash(*one)
-    stream = per.withColumn("digest", F.unhex(digest)).repartition(1).sortWithinPartitions(F.desc("size"), "digest").select("group_id", "size", "expanded", F.col("t.kind").alias("kinds"), F.col("t.n").alias("n"))
+    # All in one partition by a length that is the same for all: single partitions of several candidates would be run one after the other by one task of their union.
+    one_task = F.length("digest") + list(SPLITS).index(candidate)
+    stream = per.withColumn("digest", F.unhex(digest)).repartition(2, one_task).sortWithinPartitions(F.desc("size"), "digest").select("group_id", "size", "expanded", F.col("t.kind").alias("kinds"), F.col("t.n").alias("n"))
 
     def run(batches):
         shares = [x / 100 for x in SPLITS[candidate]]
