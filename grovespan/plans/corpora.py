@@ -9,17 +9,20 @@ are written in the shared folder, read again by their readers and audited.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..sources import json_rows
-from ..sources.shared import shared_folder
+from ..sources.shared import shared_folder, shuffles_freed
 from ..sources.tables import load
 from .protocol import query
 
 SPLIT_BYTES = 256 << 10
+#: Lines are dealt in slices of so many bytes of their table, and a bucket has so many of the trajectories' file.
+SLICE_BYTES, BUCKET_BYTES = 128 << 20, 8 << 20
 
 
 def files(spark: SparkSession, sf_dir: str, folder: str) -> None:
@@ -40,19 +43,38 @@ def files(spark: SparkSession, sf_dir: str, folder: str) -> None:
     held = both.where("c_custkey % 101 <> 7").select(name.alias("key"), F.coalesce(ids("o"), F.array().cast("array<string>")).alias("value"))
     extra = load(spark, sf_dir, "nation").select(F.concat(F.lit("x"), F.col("n_nationkey").cast("string")).alias("key"), F.array(F.lit("t0")).alias("value"))
     json_rows.write_maps(held.unionByName(extra), f"{folder}/haystacks.json")
+    table = load(spark, sf_dir, "lineitem")
+    # One slice of orders after the other, so that the shuffle files of one are gone before the next.
+    slices = json_rows.size_of(spark, f"{sf_dir}/lineitem.parquet") // SLICE_BYTES + 1
+    for k in range(slices):
+        _trajectories(table.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(slices)) == k), f"{folder}/trajectories.jsonl")
+
+
+def _trajectories(table: DataFrame, path: str) -> None:
+    """Add the trajectories of an order's lines to the folder ``path``."""
     # Lines are dealt as numbers; their strings are made behind the exchange.
     state = lambda x: F.struct(x["l_returnflag"].alias("thought"), F.concat(F.lit("ship "), x["l_partkey"].cast("string")).alias("action"), F.concat(F.lit("p/"), x["l_suppkey"].cast("string")).alias("url"))
-    lines = load(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("s"), F.min("l_shipdate").cast("date").cast("string").alias("d"))
+    lines = table.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))).alias("s"), F.min("l_shipdate").cast("date").cast("string").alias("d"))
     rows = lines.select(F.concat(F.lit("t"), F.col("l_orderkey").cast("string")).alias("id"), F.expr("CASE WHEN l_orderkey % 5 <> 0 THEN d END").alias("current_time"), F.lit("2000-01-01").alias("event_time"), F.transform("s", state).alias("states"))
-    rows.write.option("compression", "gzip").json(f"{folder}/trajectories.jsonl")
+    rows.write.mode("append").option("compression", "gzip").json(path)
 
 
-def audit(spark: SparkSession, sf_dir: str) -> corpus.Audit:
+def audit(spark: SparkSession, sf_dir: str, measures: tuple[str, ...] = ("token_count",)) -> corpus.Audit:
     folder = f"{shared_folder(spark).rstrip('/')}/grovespan-{uuid.uuid4().hex}"
-    files(spark, sf_dir, folder)
+    with shuffles_freed(spark):
+        files(spark, sf_dir, folder)
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return corpus.Audit(*corpus.read(spark, f"{folder}/questions.jsonl", f"{folder}/haystacks.json", f"{folder}/trajectories.jsonl", SPLIT_BYTES))
+    own = tuple(f"{folder}/{name}" for name in ("questions.jsonl", "haystacks.json", "trajectories.jsonl"))
+    buckets = max(corpus.BUCKETS, json_rows.size_of(spark, own[2]) // BUCKET_BYTES)
+    return corpus.Audit(*corpus.read(spark, *own, SPLIT_BYTES), buckets, measures, own)
+
+
+def released(own: corpus.Audit, result: Callable[[corpus.Audit], DataFrame]) -> DataFrame:
+    """A result that needs nothing of the audit but what was saved; its files and tables go."""
+    out = result(own)
+    own.release()
+    return out
 
 
 BASE = r"""WITH own AS (SELECT o_custkey AS c_custkey, list('t' || o_orderkey ORDER BY o_orderdate, o_orderkey) AS ids,
@@ -80,17 +102,17 @@ judged AS (SELECT question_id, question_type, question_type IN ('knowledge-updat
 
 @query(f"{BASE} SELECT question_id, question_type, CASE WHEN reason IS NULL THEN 'normalized' ELSE 'excluded' END AS status, reason, missing FROM judged")
 def three_file_conversion(spark, sf_dir) -> DataFrame:
-    return audit(spark, sf_dir).conversion()
+    return released(audit(spark, sf_dir), corpus.Audit.conversion)
 
 
 @query(f"{BASE} SELECT question_id AS episode_id, sequence_index::BIGINT AS sequence_index, evidence_id, event_time, token_count, raw_sha256 FROM placed WHERE question_id IN (SELECT question_id FROM judged WHERE reason IS NULL)")
 def three_file_evidence(spark, sf_dir) -> DataFrame:
-    return audit(spark, sf_dir).evidence()
+    return audit(spark, sf_dir, corpus.MEASURES).evidence()
 
 
 @query(f"{BASE} SELECT question_type, support_class, position_bin, prim AS \"primary\", count(*)::BIGINT AS n FROM judged WHERE reason IS NULL GROUP BY ALL")
 def three_file_strata(spark, sf_dir) -> DataFrame:
-    return audit(spark, sf_dir).strata()
+    return released(audit(spark, sf_dir), corpus.Audit.strata)
 
 
 @query(f"""{BASE}, bad AS (SELECT count(*) FILTER (NOT held) + (SELECT count(*) FROM nation) AS problems, count(*) AS questions FROM asked),

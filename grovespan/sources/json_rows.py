@@ -232,6 +232,12 @@ def _files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
     return sorted((s.getPath().toString(), s.getLen()) for s in files.listStatus(where) if s.isFile() and s.getLen() and s.getPath().getName()[0] not in "._")
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or of all that a folder holds."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def ranges_of(spark: SparkSession, path: str, root: str, split_bytes: int = SPLIT_BYTES) -> list[list[Any]]:
     """The ranges of the files: path, first and end byte, size, and the state before the first byte. ``root``: the bracket that each must begin with."""
     parts = [(f, a, min(a + split_bytes, size), size) for f, size in _files(spark, path) for a in range(0, max(size, 1), split_bytes)]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +39,25 @@ def saved(df: DataFrame) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table of ``saved`` that nothing reads any more."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df._grovespan_path)
+    deleted(df.sparkSession, df._grovespan_path)
+
+
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each write in here deletes its shuffle files when it is done; else they stay until the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
