@@ -184,15 +184,19 @@ class Audit:
         return both.select("question_id", F.col("sequence_index").cast("bigint").alias("sequence_index"), F.col("trajectory_id").alias("evidence_id"), *columns, F.col("t").isNotNull().alias("known"))
 
     def problems(self) -> DataFrame:
-        """id, problem that block the audit."""
-        keys = self.questions.join(self.haystacks.select("question_id", F.lit(True).alias("held")), "question_id", "left").where("held is null")
-        more = self.haystacks.join(self.questions, "question_id", "left_anti")
+        """id, problem that block the audit. Where no table was written yet, only the ids are read."""
+        known = vars(self)
+        asked = known["questions"] if "questions" in known else self._bucketed(self._rows[0].select("question_id"), "question_id")
+        bad = F.col("evidence_ids").isNull() | F.exists("evidence_ids", lambda x: x.isNull())
+        held = known["haystacks"].select("question_id", bad.alias("bad")) if "haystacks" in known else self._bucketed(self._rows[1].select("question_id", bad.alias("bad")), "question_id")
+        keys = asked.join(held.select("question_id", F.lit(True).alias("held")), "question_id", "left").where("held is null")
+        more = held.join(asked, "question_id", "left_anti")
         out = _code(keys, "question_id", "no_haystack").unionByName(_code(more, "question_id", "unknown_question"))
-        for rows, key, name in ((self.questions, "question_id", "question"), (self.haystacks, "question_id", "haystack"), (self.trajectories.where("salt = 0"), "trajectory_id", "trajectory")):
-            n = rows.groupBy(key).agg(F.count("*").alias("n"))
-            out = out.unionByName(_code(n.where(F.col(key).isNull()), key, f"{name}_without_id")).unionByName(_code(n.where(F.col(key).isNotNull() & (F.col("n") > 1)), key, f"repeated_{name}"))
-        bad = self.haystacks.where(F.col("evidence_ids").isNull() | F.exists("evidence_ids", lambda x: x.isNull()))
-        return out.unionByName(_code(bad, "question_id", "invalid_haystack"))
+        told = _numbered(known["trajectories"]) if "trajectories" in known else self._rows[2].groupBy(F.col("id").alias("trajectory_id")).agg(F.count("*").alias("n"))
+        for n, key, name in ((asked.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "question"), (held.groupBy("question_id").agg(F.count("*").alias("n")), "question_id", "haystack"), (told, "trajectory_id", "trajectory")):
+            kind = F.when(F.col(key).isNull(), f"{name}_without_id").otherwise(f"repeated_{name}")
+            out = out.unionByName(n.where(F.col(key).isNull() | (F.col("n") > 1)).select(F.col(key).alias("id"), kind.alias("problem")))
+        return out.unionByName(_code(held.where("bad"), "question_id", "invalid_haystack"))
 
     def _flagged(self) -> DataFrame:
         lost = F.when(~F.col("known"), F.struct("sequence_index", "evidence_id")).alias("lost")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus
 from ..sources import json_rows
-from ..sources.shared import shared_folder, shuffles_freed
+from ..sources.shared import saved, shared_folder, shuffles_freed
 from ..sources.tables import load
 from .protocol import query
 
@@ -136,4 +136,4 @@ def three_file_distributions(spark, sf_dir) -> DataFrame:
 @query("""WITH ids AS (SELECT 'q' || c_custkey || CASE WHEN c_custkey % 17 = 0 THEN '_abs' ELSE '' END AS id, 'no_haystack' AS problem FROM customer WHERE c_custkey % 101 = 7)
 SELECT * FROM ids UNION ALL SELECT 'x' || n_nationkey, 'unknown_question' FROM nation""")
 def three_file_problems(spark, sf_dir) -> DataFrame:
-    return audit(spark, sf_dir).problems()
+    return released(audit(spark, sf_dir), lambda a: saved(a.problems()))

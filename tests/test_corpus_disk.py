@@ -54,7 +54,7 @@ def test_slices_make_the_same_trajectories(spark, data, tmp_path, monkeypatch):
     assert len(dealt) > 2 and sum(dealt) == spark.read.parquet(f"{data}/lineitem.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["conversion", "strata"])
+@pytest.mark.parametrize("name", ["conversion", "strata", "problems"])
 def test_only_what_is_returned_stays(spark, data, folder, name):
     rows = getattr(corpora, f"three_file_{name}")(spark, data).collect()
     assert rows and len({p.parent for p in folder.rglob("*.parquet")}) == 1
@@ -71,7 +71,16 @@ def test_a_repeated_trajectory_counts_by_its_first_row_in_a_narrow_table(spark,
     assert narrow.trajectories.where("raw_sha256 is not null").count() == 36
     assert narrow.counts().first() == wide.counts().first()
     problems = lambda a: sorted(map(str, a.problems().collect()))
-    assert problems(narrow) == problems(wide) and len(problems(wide)) == 13
+    unwritten = corpus.Audit(*corpus.read(spark, *files), buckets=3)
+    assert problems(narrow) == problems(wide) == problems(unwritten) and len(problems(wide)) == 13
+
+
+def test_problems_read_ids_only(spark, tmp_path):
+    write(tmp_path, [question("a"), question("b")], {"a": ["t", None], "c": ["t"]}, [{"id": "t"}, {"id": "t"}])
+    audit = corpus.Audit(*corpus.read(spark, *[str(tmp_path / n) for n in ("q.jsonl", "h.json", "t.jsonl")]), buckets=3)
+    assert sorted(map(tuple, audit.problems().collect())) == [("a", "invalid_haystack"), ("b", "no_haystack"), ("c", "unknown_question"), ("t", "repeated_trajectory")]
+    assert not {"questions", "haystacks", "trajectories", "hot"} & set(vars(audit))
+    assert sorted(c for name, _ in audit._tables for c in spark.table(name).columns) == ["bad", "question_id", "question_id"]
 
 
 def test_verdicts_are_those_of_judged(spark, tmp_path):
