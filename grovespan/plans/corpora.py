@@ -133,7 +133,7 @@ def three_file_counts(spark, sf_dir) -> DataFrame:
 @query(f"""{BASE}, m AS (SELECT 'sessions' AS measure, n AS x FROM judged UNION ALL SELECT 'tokens', tokens FROM judged WHERE reason IS NULL), s AS (SELECT measure, list(x ORDER BY x) AS v FROM m GROUP BY measure)
 SELECT measure, len(v)::BIGINT AS n, v[1] AS least, v[round_even((len(v) - 1) * 0.5::DOUBLE, 0)::BIGINT + 1] AS p50, v[round_even((len(v) - 1) * 0.95::DOUBLE, 0)::BIGINT + 1] AS p95, v[-1] AS most, round(list_avg(v), 9) AS mean FROM s""")
 def three_file_distributions(spark, sf_dir) -> DataFrame:
-    return audit(spark, sf_dir).distributions().withColumn("mean", F.round("mean", 9))
+    return released(audit(spark, sf_dir), corpus.Audit.distributions).withColumn("mean", F.round("mean", 9))
 
 
 @query("""WITH ids AS (SELECT 'q' || c_custkey || CASE WHEN c_custkey % 17 = 0 THEN '_abs' ELSE '' END AS id, 'no_haystack' AS problem FROM customer WHERE c_custkey % 101 = 7)

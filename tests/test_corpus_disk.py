@@ -54,7 +54,7 @@ def test_slices_make_the_same_trajectories(spark, data, tmp_path, monkeypatch):
     assert len(dealt) > 2 and sum(dealt) == spark.read.parquet(f"{data}/lineitem.parquet").count()
 
 
-@pytest.mark.parametrize("name", ["conversion", "strata", "problems", "counts"])
+@pytest.mark.parametrize("name", ["conversion", "strata", "distributions", "problems", "counts"])
 def test_only_what_is_returned_stays(spark, data, folder, name):
     rows = getattr(corpora, f"three_file_{name}")(spark, data).collect()
     assert rows and len({p.parent for p in folder.rglob("*.parquet")}) == 1
